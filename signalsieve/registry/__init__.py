@@ -3,6 +3,6 @@
 
 def load():
     from signalsieve.registry import base
-    from signalsieve.registry import catalog, reports, store, text  # noqa: F401
+    from signalsieve.registry import catalog, model, reports, store, streams, text  # noqa: F401
 
     return base.QUERIES, base.ORACLES

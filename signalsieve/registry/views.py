@@ -55,8 +55,11 @@ def items_all(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFram
     """One item per document, about a tenth of the links repeated. ``heavy`` spreads a
     single-split input over the cores before text-heavy work."""
     docs = table(spark, sf_dir, "documents")
-    if heavy:
-        docs = spread(docs)
+    return items_from(spread(docs) if heavy else docs)
+
+
+def items_from(docs: DataFrame) -> DataFrame:
+    """The item view of a batch or stream of documents."""
     d = F.col("doc_id")
     phrase = _pick((d * 7 + d % 3) % 16, TITLES, LAST_TITLE)
     docs = docs.withColumn("site", _pick(d % 8, SITES, LAST_SITE))
