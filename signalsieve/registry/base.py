@@ -38,7 +38,12 @@ def query(name: str, oracle: str | None = None):
     """Registers ``fn(spark, sf_dir)`` under ``name``."""
 
     def add(fn):
-        QUERIES[name] = lambda spark, sf_dir: flat(fn(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # calendar periods are cut in UTC plus an explicit offset
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return flat(fn(spark, sf_dir))
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return fn
