@@ -15,7 +15,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from signalsieve.functions.matching import let
+from signalsieve.functions.matching import let, word_array
 
 # measured best on mixed prose; one group per letter is four times slower
 _FIRST_CHARS_PER_GROUP = 8
@@ -72,6 +72,10 @@ class KeywordIndex:
     def __init__(self, *word_lists: Iterable[str]):
         self.words = sorted({w.lower() for words in word_lists for w in words if w})
         self.pattern = _pattern(self.words) if self.words else None
+        self._starts: dict[str, list[str]] = {}
+        for key in self.words:
+            for end in range(1, len(key) + 1):
+                self._starts.setdefault(key[:end], []).append(key)
 
     def hits(self, lowered: Column) -> Column:
         """Longest keyword at each place of a lower-cased text, distinct."""
@@ -80,13 +84,12 @@ class KeywordIndex:
         return F.array_distinct(F.regexp_extract_all(lowered, F.lit(self.pattern), F.lit(1)))
 
     def _started_by(self, words: Iterable[str]) -> list[str]:
-        low = [w.lower() for w in words]
-        return [k for k in self.words if any(k.startswith(w) for w in low)]
+        return sorted({k for w in words for k in self._starts.get(w.lower(), ())})
 
     def any(self, hits: Column, words: Sequence[str]) -> Column:
         """At least one of ``words`` is contained."""
         closing = self._started_by(words)
-        return F.arrays_overlap(hits, F.lit(closing)) if closing else F.lit(False)
+        return F.arrays_overlap(hits, word_array(closing)) if closing else F.lit(False)
 
     def first(self, hits: Column, pairs: Sequence[tuple[str, str]]) -> Column:
         """The value of the first contained word in list order; null when none is."""
@@ -96,9 +99,13 @@ class KeywordIndex:
                 best[key] = place
         if not best:
             return F.lit(None).cast("string")
-        places = F.map_from_arrays(F.lit(list(best)), F.lit(list(best.values())))
-        values = F.lit([value for _, value in pairs])
-        place = F.array_min(F.transform(hits, lambda h: F.try_element_at(places, h)))
+        # all keys and their places as two literals; the place is looked up by position
+        keys = word_array(list(best))
+        places = word_array([str(p) for p in best.values()]).cast("array<int>")
+        values = word_array([value for _, value in pairs])
+        place = F.array_min(
+            F.transform(hits, lambda h: F.get(places, (F.array_position(keys, h) - 1).cast("int")))
+        )
         return let(place, lambda p: F.get(values, p))
 
     def groups(self, hits: Column, named: dict[str, Sequence[str]]) -> Column:

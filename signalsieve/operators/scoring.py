@@ -14,6 +14,7 @@ from signalsieve.functions.keywords import KeywordIndex
 from signalsieve.functions.matching import any_contains
 from signalsieve.functions.numbers import max_records, records_score
 from signalsieve.functions.phrases import ENGLISH, Phrases, fill
+from signalsieve.functions.reuse import reuse
 from signalsieve.functions.text import text_or_empty
 from signalsieve.operators.settle import settle
 
@@ -25,6 +26,10 @@ def scoring_text(title: Column, body: Column) -> Column:
 
 def rule_keywords(rules: RuleBook = DEFAULT_RULES) -> KeywordIndex:
     """Every keyword that is looked for in the text, found in one pass."""
+    return reuse("text keywords", (rules,), lambda: _text_index(rules))
+
+
+def _text_index(rules: RuleBook) -> KeywordIndex:
     return KeywordIndex(
         rules.vendor_patterns, *rules.data_types.values(), rules.fresh_positive, rules.fresh_negative,
         rules.ransom_sites, fv.COMBO_WORDS, fv.DATABASE_WORDS, fv.ACCESS_WORDS, fv.DISCUSSION_WORDS,
@@ -188,42 +193,25 @@ def reasoning(base: Column, types_boost: Column, freshness: Column, site: Column
     )
 
 
-def score_components(
-    items: DataFrame,
-    rules: RuleBook = DEFAULT_RULES,
-    body_col: str = "content",
-    keep: tuple[str, ...] = ("id", "site_name"),
-) -> DataFrame:
-    """The inputs of the final score, one column each, next to the ``keep`` columns."""
+def _component_steps(rules: RuleBook) -> list[dict[str, Column]]:
+    """The score components in steps; a step uses the columns of the steps before."""
     c = F.col
-    staged = items.select(
-        *keep,
-        scoring_text(c("title"), c(body_col)).alias("text"),
-        F.lower(text_or_empty(c("site_name"))).alias("site"),
-    )
-    # the two passes over the text happen here, once
-    staged = settle(
-        staged,
-        [*keep, "site"],
-        {"hits": rule_keywords(rules).hits(c("text")), "counted": max_records(c("text"))},
-    )
-    staged = staged.withColumn("vendor", vendor_match(c("hits"), rules))
     scored = c("vendor").isNull()
+    ruled = scored & ~c("combo")
     none = F.array().cast("array<string>")
-    staged = staged.select(
-        *keep, "site", "hits", "vendor",
-        F.when(scored, c("counted")).otherwise(-1).alias("records"),
-        F.when(scored, data_types(c("hits"), rules)).otherwise(none).alias("types"),
-    )
-    staged = staged.withColumns(
+    text_pass = {"hits": rule_keywords(rules).hits(c("text")), "counted": max_records(c("text"))}
+    return [
+        text_pass,
+        {"vendor": vendor_match(c("hits"), rules)},
+        {
+            "records": F.when(scored, c("counted")).otherwise(-1),
+            "found": F.when(scored, data_types(c("hits"), rules)).otherwise(none),
+        },
         {
-            "combo": is_combo(c("types")),
+            "combo": is_combo(c("found")),
             "base": records_score(c("records")),
-            "types": F.array_remove(c("types"), "combo"),
-        }
-    )
-    ruled = scored & ~c("combo")
-    staged = staged.withColumns(
+            "types": F.array_remove(c("found"), "combo"),
+        },
         {
             "pos": F.when(ruled, fresh_positive(c("hits"), rules)).otherwise(False),
             "neg": F.when(ruled, fresh_negative(c("hits"), rules)).otherwise(False),
@@ -232,17 +220,65 @@ def score_components(
             "tier2": in_tier2(c("site"), rules),
             "ransom": in_ransom(c("site"), rules),
             "types_boost": type_boost(c("types")),
-        }
-    )
-    return staged.drop("hits").withColumns(
-        {
-            "freshness": freshness_boost(c("pos"), c("neg")),
-            "site_points": site_boost(c("tier1")),
-            "final": final_score(
-                c("base"), c("types_boost"), freshness_boost(c("pos"), c("neg")), site_boost(c("tier1"))
-            ),
-        }
+        },
+        {"freshness": freshness_boost(c("pos"), c("neg")), "site_points": site_boost(c("tier1"))},
+        {"final": final_score(c("base"), c("types_boost"), c("freshness"), c("site_points"))},
+    ]
+
+
+def score_components(
+    items: DataFrame,
+    rules: RuleBook = DEFAULT_RULES,
+    body_col: str = "content",
+    keep: tuple[str, ...] = ("id", "site_name"),
+) -> DataFrame:
+    """The inputs of the final score, one column each, next to the ``keep`` columns."""
+    text_pass, *steps = reuse("score components", (rules,), lambda: _component_steps(rules))
+    read = items.select(
+        *keep,
+        scoring_text(F.col("title"), F.col(body_col)).alias("text"),
+        F.lower(text_or_empty(F.col("site_name"))).alias("site"),
     )
+    # the two passes over the text happen here, once
+    staged = settle(read, [*keep, "site"], text_pass)
+    for step in steps:
+        staged = staged.withColumns(step)
+    return staged.drop("hits", "counted", "found")
+
+
+def _result_columns(phrases: Phrases, urgent_min_score: int) -> dict[str, Column]:
+    c = F.col
+    vendor, combo = c("vendor").isNotNull(), c("combo")
+    is_urgent = urgent(c("final"), c("pos"), c("neg"), c("records"), urgent_min_score)
+
+    def choose(on_vendor: Column, on_combo: Column, on_rules: Column) -> Column:
+        return F.when(vendor, on_vendor).when(combo, on_combo).otherwise(on_rules)
+
+    return {
+        "score": choose(F.lit(2), combo_score(c("base")), c("final")).cast("int"),
+        "category": choose(F.lit("general_discussion"), F.lit("credential_leak"), c("rule_category")),
+        "tags": choose(
+            F.array(F.lit("vendor-ad"), F.lit("low-value")),
+            F.concat(c("types"), F.array(F.lit("combo-aggregate"))),
+            tags(c("types"), c("rule_category"), c("pos"), c("neg"), c("tier1"), c("tier2"), c("ransom")),
+        ),
+        "summary": choose(
+            fill(phrases.vendor_summary, site=text_or_empty(c("site_name"))),
+            fill(phrases.combo_summary, site=text_or_empty(c("site_name"))),
+            summary(c("site_name"), c("rule_category"), c("records"), c("types"), c("pos"), c("neg"), phrases),
+        ),
+        "affected_targets": F.array().cast("array<string>"),
+        "estimated_records": c("records").cast("int"),
+        "data_types": c("types"),
+        "is_urgent": choose(F.lit(False), F.lit(False), is_urgent),
+        "confidence_level": choose(F.lit("low"), F.lit("low"), confidence(c("records"), c("types"))),
+        "reasoning": choose(
+            fill(fv.REASONING_VENDOR, word=c("vendor")),
+            fill(fv.REASONING_COMBO, score=combo_score(c("base"))),
+            reasoning(c("base"), c("types_boost"), c("freshness"), c("site_points"), c("final"),
+                      c("records"), c("types")),
+        ),
+    }
 
 
 def score_items(
@@ -260,43 +296,10 @@ def score_items(
     """
     wanted = tuple(dict.fromkeys((*keep, "site_name")))
     parts = score_components(items, rules, body_col, wanted)
-    c = F.col
-    vendor, combo = c("vendor").isNotNull(), c("combo")
-    none = F.array().cast("array<string>")
-    is_urgent = urgent(c("final"), c("pos"), c("neg"), c("records"), urgent_min_score)
-
-    def choose(on_vendor: Column, on_combo: Column, on_rules: Column) -> Column:
-        return F.when(vendor, on_vendor).when(combo, on_combo).otherwise(on_rules)
-
-    return settle(
-        parts,
-        keep,
-        {
-            "score": choose(F.lit(2), combo_score(c("base")), c("final")).cast("int"),
-            "category": choose(F.lit("general_discussion"), F.lit("credential_leak"), c("rule_category")),
-            "tags": choose(
-                F.array(F.lit("vendor-ad"), F.lit("low-value")),
-                F.concat(c("types"), F.array(F.lit("combo-aggregate"))),
-                tags(c("types"), c("rule_category"), c("pos"), c("neg"), c("tier1"), c("tier2"), c("ransom")),
-            ),
-            "summary": choose(
-                fill(phrases.vendor_summary, site=text_or_empty(c("site_name"))),
-                fill(phrases.combo_summary, site=text_or_empty(c("site_name"))),
-                summary(c("site_name"), c("rule_category"), c("records"), c("types"), c("pos"), c("neg"), phrases),
-            ),
-            "affected_targets": none,
-            "estimated_records": c("records").cast("int"),
-            "data_types": c("types"),
-            "is_urgent": choose(F.lit(False), F.lit(False), is_urgent),
-            "confidence_level": choose(F.lit("low"), F.lit("low"), confidence(c("records"), c("types"))),
-            "reasoning": choose(
-                fill(fv.REASONING_VENDOR, word=c("vendor")),
-                fill(fv.REASONING_COMBO, score=combo_score(c("base"))),
-                reasoning(c("base"), c("types_boost"), c("freshness"), c("site_points"), c("final"),
-                          c("records"), c("types")),
-            ),
-        },
+    columns = reuse(
+        f"score result {urgent_min_score}", (phrases,), lambda: _result_columns(phrases, urgent_min_score)
     )
+    return settle(parts, keep, columns)
 
 
 RESULT_FIELDS = (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from signalsieve.functions import fixed_values as fv
 from signalsieve.functions.fixed_values import DEFAULT_RULES, RuleBook
 from signalsieve.functions.keywords import KeywordIndex
+from signalsieve.functions.reuse import reuse
 from signalsieve.functions.text import text_or_empty
 from signalsieve.operators.settle import settle
 
@@ -18,7 +19,10 @@ ANCHOR_CHARS = 3
 
 def title_keywords(rules: RuleBook = DEFAULT_RULES) -> KeywordIndex:
     """Every keyword that is looked for in a title, found in one pass."""
-    return KeywordIndex(rules.named_targets, [word for word, _ in rules.skip_patterns])
+    return reuse(
+        "title keywords", (rules,),
+        lambda: KeywordIndex(rules.named_targets, [word for word, _ in rules.skip_patterns]),
+    )
 
 
 def _title_hits(title: Column, rules: RuleBook) -> Column:
@@ -37,14 +41,16 @@ def skip_reason(title: Column, rules: RuleBook = DEFAULT_RULES) -> Column:
 
 def triage(df: DataFrame, rules: RuleBook = DEFAULT_RULES, title_col: str = "title") -> DataFrame:
     """adds ``action`` and ``reason``; a named target beats every skip pattern."""
-    index = title_keywords(rules)
-    hits = F.col("_hits")
-    staged = df.withColumn("_hits", _title_hits(F.col(title_col), rules)).withColumns(
-        {"_named": index.any(hits, rules.named_targets), "_skip": index.first(hits, rules.skip_patterns)}
-    )
+    tests = reuse("triage", (rules,), lambda: _triage_tests(rules))
+    staged = df.withColumn("_hits", _title_hits(F.col(title_col), rules)).withColumns(tests)
     return settle(staged, df.columns, _decision(F.col("_named"), F.col("_skip")))
 
 
+def _triage_tests(rules: RuleBook) -> dict[str, Column]:
+    index, hits = title_keywords(rules), F.col("_hits")
+    return {"_named": index.any(hits, rules.named_targets), "_skip": index.first(hits, rules.skip_patterns)}
+
+
 def _decision(named: Column, skip: Column) -> dict[str, Column]:
     return {
         "action": F.when(~named & skip.isNotNull(), SKIP).otherwise(ANALYZE),
