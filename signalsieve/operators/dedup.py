@@ -22,13 +22,16 @@ def new_items(batch: DataFrame, items: DataFrame) -> DataFrame:
     return batch.join(items.select("link"), "link", "left_anti")
 
 
-def new_items_of_small_batch(batch: DataFrame, items: DataFrame) -> DataFrame:
+def new_items_of_small_batch(
+    batch: DataFrame, items: DataFrame, links: DataFrame | None = None
+) -> DataFrame:
     """D1 for a batch far smaller than the store.
 
     The store is reduced to the links of the batch first, so that the runtime may
     broadcast the batch's links (by measured size) and the store is never shuffled.
+    ``links`` may name a cheaper frame with the same links, such as the batch before D2.
     """
-    wanted = batch.select("link").distinct()
+    wanted = (links if links is not None else batch).select("link").distinct()
     seen = items.select("link").join(wanted, "link", "left_semi")
     return batch.join(seen, "link", "left_anti")
 
@@ -46,6 +49,23 @@ def dedup_links(
     return batch.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
+def dedup_links_of_wide_rows(
+    batch: DataFrame, id_col: str = "id", order: list[Column] | None = None
+) -> DataFrame:
+    """D2 for rows with long texts and few repeats: the texts stay where they are.
+
+    Winners are found on (id, link, order) alone. The rest are the losers; when they are few,
+    the runtime broadcasts their ids (by measured size) and the wide rows are filtered in
+    place, else both sides meet on the id, which is never skewed. Reads ``batch`` twice, so
+    it should be a table rather than a long plan.
+    """
+    order = order or [F.col("source_rank"), F.col("position")]
+    narrow = batch.select(id_col, "link", *[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    winners = dedup_links(narrow, [F.col(f"_o{i}") for i in range(len(order))]).select(id_col)
+    losers = narrow.select(id_col).join(winners, id_col, "left_anti")
+    return batch.join(losers, id_col, "left_anti")
+
+
 def insert_ignore(items: DataFrame, batch: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """D3: the item table after the batch; known links and repeats are left out.
 

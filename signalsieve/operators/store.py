@@ -141,6 +141,11 @@ def export_training(items: DataFrame, analysis: DataFrame, since: datetime, unti
     )
 
 
+def write_export(records: DataFrame, folder: str) -> None:
+    """Q8 as line-delimited JSON, in order over the part files; nulls are left out."""
+    records.write.mode("overwrite").option("ignoreNullFields", True).json(folder)
+
+
 def newest_analysis(rows: DataFrame) -> DataFrame:
     """One row per item, the last analysed."""
     order = Window.partitionBy("item_id").orderBy(

@@ -224,11 +224,12 @@ def topn_digest(
     items: DataFrame, analysis: DataFrame, day: date, n: int = fv.DEFAULT_DAILY_TOP_N,
     tz_offset_hours: int = fv.DEFAULT_TZ_OFFSET_HOURS,
 ) -> DataFrame:
-    """Text lines of the best ``n`` items of a day."""
+    """Text lines (period, rank, line) of the best ``n`` items of a day."""
     top = top_scored_day(items, analysis, day, n if n > 0 else fv.DEFAULT_DAILY_TOP_N, tz_offset_hours)
     # at most n rows from here on
     rank = F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("id")))
     return top.select(
+        period_of(DAILY, F.col("created_at"), tz_offset_hours).alias("period"),
         rank.alias("rank"),
         F.format_string(
             "\n%d. [%d/10] %s\n   %s\n   %s", rank, F.col("score"), F.col("title"), F.col("summary"), F.col("link")
@@ -236,14 +237,11 @@ def topn_digest(
     )
 
 
-def digest_text(lines: DataFrame, day: date, phrases: Phrases = ENGLISH) -> DataFrame:
-    """The digest of one day as a single (period, digest) row; at most the top n lines."""
+def digest_text(lines: DataFrame, phrases: Phrases = ENGLISH) -> DataFrame:
+    """P9 lines as one (period, digest) text per day; a day has at most the top n lines."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda r: r["line"])
-    count = F.count(F.lit(1))
-    return lines.agg(
-        F.concat(fill(phrases.top_heading, n=count), F.array_join(ordered, "")).alias("digest"),
-        count.alias("_n"),
-    ).select(F.lit(day.isoformat()).alias("period"), F.when(F.col("_n") > 0, F.col("digest")).otherwise("").alias("digest"))
+    head = fill(phrases.top_heading, n=F.count(F.lit(1)))
+    return lines.groupBy("period").agg(F.concat(head, F.array_join(ordered, "")).alias("digest"))
 
 
 def activity_share(

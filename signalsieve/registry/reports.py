@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from signalsieve.operators import alerts as N
@@ -34,7 +35,9 @@ def _items_sql(period: str) -> str:
 
 
 def _counts(rep: P.Report):
-    return rep.by_source.join(rep.totals.withColumnRenamed("n", "total"), "period")
+    # one row per period and source by now
+    total = F.sum("n").over(Window.partitionBy("period"))
+    return rep.by_source.withColumn("total", total)
 
 
 def _of(rep: P.Report):
@@ -167,7 +170,7 @@ _LINE = ("(chr(10) || rank || '. [' || score || '/10] ' || title || chr(10) || '
 
 @query("p9_topn_digest", f"WITH {ANALYSIS} SELECT CAST(rank AS INTEGER) AS rank, {_LINE} AS line FROM {_TOP} t")
 def _(spark, sf):
-    return P.topn_digest(items_unique(spark, sf), analysis_unique(spark, sf), DAY)
+    return P.topn_digest(items_unique(spark, sf), analysis_unique(spark, sf), DAY).select("rank", "line")
 
 
 @query("p10_activity_share", f"""WITH {ITEMS}, x AS (SELECT created_at FROM it), w AS ({WEEK_SQL})
@@ -291,5 +294,5 @@ SELECT t.period, 'Daily leak report ' || t.period AS title, n || ' leak items co
 FROM t LEFT JOIN d ON d.period = t.period""")
 def _(spark, sf):
     items = items_unique(spark, sf)
-    digest = P.digest_text(P.topn_digest(items, analysis_unique(spark, sf), DAY), DAY)
+    digest = P.digest_text(P.topn_digest(items, analysis_unique(spark, sf), DAY))
     return N.report_notice(P.daily_report(items).totals, N.DAILY, digest)

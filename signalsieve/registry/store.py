@@ -59,6 +59,11 @@ def _(spark, sf):
     return D.dedup_links(items_all(spark, sf)).select("id", "link", "source_rank")
 
 
+@query("d2_dedup_links_wide_rows", f"WITH {ITEMS} SELECT id, link, content FROM it")
+def _(spark, sf):
+    return D.dedup_links_of_wide_rows(items_all(spark, sf)).select("id", "link", "content")
+
+
 @query("d2_dedup_lineitem", """
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalsieve.functions.text import (
@@ -135,3 +135,15 @@ def scan_feed_xml(payloads: DataFrame) -> DataFrame:
         download_links(F.col("content")).alias("download_links"),
         "site_name", "position",
     )
+
+
+FEED_FILE_SCHEMA = "value string"
+
+
+def read_feed_files(spark: SparkSession, folder: str, streaming: bool = False) -> DataFrame:
+    """Landed feed documents as payload rows for ``scan_feed_xml``: one file per document,
+    below ``folder/<site name>/``. With ``streaming`` every new file is one input row."""
+    reader = (spark.readStream if streaming else spark.read).schema(FEED_FILE_SCHEMA)
+    files = reader.option("wholetext", True).format("text").load(f"{folder}/*/*")
+    site = F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
+    return files.select(F.url_decode(site).alias("site_name"), F.col("value").alias("xml"))

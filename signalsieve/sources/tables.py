@@ -22,9 +22,10 @@ def scan_analysis(spark: SparkSession, path: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input has fewer splits than cores (one small file).
+    """Use all cores when a table has fewer splits than cores (one small file).
 
-    Inputs with enough splits come back unchanged: at scale nothing is shuffled.
+    Tables with enough splits come back unchanged: at scale nothing is shuffled. For plain
+    scans only; counting the splits of a plan with shuffles would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

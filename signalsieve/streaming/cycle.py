@@ -54,9 +54,8 @@ def run_cycle(batch: DataFrame, batch_id: int, store: Store, settings: CycleSett
     """One micro-batch: keep unseen links, store them, set stale ones aside, triage, score,
     store the analysis, write the outbox."""
     now = settings.clock(batch_id)
-    unseen = new_items_of_small_batch(
-        dedup_links(batch, [F.col(c) for c in settings.order]), store.read("items", before=batch_id)
-    )
+    first_rows = dedup_links(batch, [F.col(c) for c in settings.order])
+    unseen = new_items_of_small_batch(first_rows, store.read("items", before=batch_id), links=batch)
     store.write("items", unseen, batch_id)
 
     # from here on the written batch is the input, so nothing above is computed twice

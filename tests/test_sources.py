@@ -7,7 +7,7 @@ from signalsieve.functions import fixed_values as fv
 from signalsieve.operators import catalog as C
 from signalsieve.sources import directories as DIR
 from signalsieve.sources import victims as V
-from signalsieve.sources.feeds import author_name, feed_date, scan_feed_xml
+from signalsieve.sources.feeds import author_name, feed_date, read_feed_files, scan_feed_xml
 from signalsieve.sources.pages import main_text, page_main_text
 from signalsieve.sources.tables import scan_items, spread
 
@@ -35,6 +35,21 @@ def test_scan_rss_and_atom(spark):
     assert (two.title, two.author, two.pub_date, two.position) == ("[x] Two", "Al", "2024-01-02T03:04:05Z", 0)
 
 
+def test_feed_files_batch_and_stream(spark, tmp_path):
+    doc = "<rss><channel><item><title>T</title><link>https://a/{}</link></item></channel></rss>"
+    for site in ("my site", "b"):
+        (tmp_path / "in" / site).mkdir(parents=True)
+        (tmp_path / "in" / site / "f.xml").write_text(doc.format(site[0]))
+    rows = scan_feed_xml(read_feed_files(spark, str(tmp_path / "in"))).collect()
+    assert sorted(r.title for r in rows) == ["[b] T", "[my site] T"]
+    stream = scan_feed_xml(read_feed_files(spark, str(tmp_path / "in"), streaming=True)).select("link", "site_name")
+    run = (stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+           .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    run.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.link, r.site_name) for r in got) == [("https://a/b", "b"), ("https://a/m", "my site")]
+
+
 def test_victim_lists(spark, tmp_path):
     live = [{"victim": "V", "group": "g", "attackdate": "d", "country": "US", "activity": "A", "description": "D"},
             {"victim": "W", "group": "g", "claim_url": "https://c"}]
@@ -140,3 +155,31 @@ def test_spread_leaves_split_input_alone(spark):
     wide = spark.range(100, numPartitions=16)
     assert spread(wide) is wide
     assert spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == 8
+
+
+def test_resolve_catalogue(spark):
+    from signalsieve.plans.catalogue import DirectoryDocuments, discovered_sources, resolve_sources
+
+    def lines(*texts):
+        return spark.createDataFrame(list(enumerate(texts, 1)), "line_no long, line string")
+
+    docs = DirectoryDocuments(
+        forum_lines=lines("[Forum](https://f.org/) ONLINE", "[Dead](https://dead.org) ONLINE"),
+        ransom_lines=lines("h", "-", "| [Gang](x) | https://g.org/rss | ONLINE | y |"),
+        market_lines=lines("[Forum](https://m.org) | ONLINE"),
+        feed_maps=spark.sql("select map('k', named_struct('rss_url', 'https://map.org', 'website_name', 'Mapped')) as feeds"),
+        outlines=spark.createDataFrame([('<outline text="Data breach" xmlUrl="https://o.org"/>',)], "opml string"),
+    )
+    probes = spark.createDataFrame(
+        [(u, 200, "<rss") for u in ("https://f.org/feed/", "https://m.org/rss.xml", "https://g.org/rss", "https://o.org", "https://seed")],
+        "url string, status int, body string")
+    found = discovered_sources(docs, probes)
+    assert sorted((r.name, r.rss_url) for r in found.collect()) == [
+        ("Data breach", "https://o.org"), ("Forum", "https://f.org/feed/"), ("Gang (ransom)", "https://g.org/rss"),
+        ("Mapped", "https://map.org")]
+    seed = source_rows(spark, [("forum", "https://seed", True, 0)])
+    local = source_rows(spark, [("gang ransom", "https://local", True, 0)])
+    remote = source_rows(spark, [("inner", "internal://x", True, 0)])
+    sw = spark.createDataFrame([("GANG RANSOM", False)], "toggle_key string, enabled boolean")
+    rows = resolve_sources(seed, found, local, remote, sw, probes).collect()
+    assert sorted(r.rss_url for r in rows) == ["https://o.org", "https://seed", "internal://x"]

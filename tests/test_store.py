@@ -47,6 +47,14 @@ def test_dedup_and_insert(spark):
     assert sorted(ids(D.insert_ignore(once, batch))) == [2, 4, 9]
 
 
+def test_wide_row_dedup_equals_dedup(spark):
+    df = spark.range(5_000).select(
+        "id", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 700).cast("string")).alias("link"),
+        (F.col("id") % 5).alias("source_rank"), F.col("id").alias("position"), F.repeat(F.lit("x"), 500).alias("content"))
+    want = sorted(ids(D.dedup_links(df)))
+    assert sorted(ids(D.dedup_links_of_wide_rows(df))) == want
+
+
 def test_hot_link_keeps_one_row(spark):
     hot = spark.range(20_000).select(
         "id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("link"),
@@ -148,7 +156,7 @@ def test_export_window_and_json(spark, tmp_path):
     df = items(spark, [dict(id=1, full_content="page"), dict(id=2)])
     out = Q.export_training(df, analysis(spark, [dict(item_id=1), dict(item_id=2, score=9)]), NOW, NOW)
     assert ids(out, "item_id") == [2, 1] and len(out.columns) == 18
-    out.coalesce(1).write.json(str(tmp_path / "x"))
+    Q.write_export(out.coalesce(1), str(tmp_path / "x"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "x")).collect()]
     assert ['"full_content"' in x for x in lines] == [False, True]
 
