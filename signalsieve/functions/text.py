@@ -10,12 +10,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from signalsieve.functions import fixed_values as fv
-from signalsieve.functions.matching import any_contains, first_class
+from signalsieve.functions.matching import any_contains, first_class, let
 
 # Whitespace and link patterns.
 ASCII_SPACE = r"[\t\n\f\r ]"
+# a lone space stays as it is, so only places that change are matched
+COLLAPSIBLE_SPACE = r"[\t\n\f\r ]{2,}|[\t\n\f\r]"
 UNICODE_SPACE = (
-    r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+    "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 TAG = r"<[^>]+>"
 LOGIN_NOTICE = r"(?i)You must be registered for see (links|images attach)"
@@ -40,14 +43,14 @@ def first_filled(*cols: Column) -> Column:
 
 def trim_space(col: Column) -> Column:
     """Trim every Unicode white space character, not just U+0020."""
-    return F.regexp_replace(col, rf"^{UNICODE_SPACE}+|{UNICODE_SPACE}+\z", "")
+    return F.trim(col, F.lit(UNICODE_SPACE))
 
 
 def strip_html(col: Column) -> Column:
     """Tags become spaces, login notices go, white space collapses."""
     text = F.regexp_replace(col, TAG, " ")
     text = F.regexp_replace(text, LOGIN_NOTICE, "")
-    return trim_space(F.regexp_replace(text, ASCII_SPACE + "+", " "))
+    return trim_space(F.regexp_replace(text, COLLAPSIBLE_SPACE, " "))
 
 
 def join_categories(names: Column) -> Column:
@@ -99,7 +102,7 @@ def shorten(col: Column, n: int) -> Column:
 def effective_body(full: Column, short: Column, max_chars: int = 0) -> Column:
     """The full page when there is one, else the teaser; cut only on request."""
     body = first_filled(full, short)
-    return shorten(trim_space(body), max_chars) if max_chars > 0 else body
+    return let(trim_space(body), lambda b: shorten(b, max_chars)) if max_chars > 0 else body
 
 
 def site_badge(site: Column) -> Column:

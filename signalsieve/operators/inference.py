@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from signalsieve import schemas
 from signalsieve.functions import fixed_values as fv
-from signalsieve.functions.matching import contained_words
+from signalsieve.functions.matching import contained_words, let
 from signalsieve.functions.phrases import ENGLISH, Phrases
 from signalsieve.functions.text import effective_body, text_or_empty, trim_space
 from signalsieve.operators.scoring import RESULT_FIELDS
@@ -35,17 +35,21 @@ PROMPT_INSTRUCTIONS = (
 def signals(title: Column, body: Column) -> Column:
     """L1: quantities, CVE ids and sensitive words found in the post; null when none."""
     text = F.concat(text_or_empty(title), F.lit(" "), text_or_empty(body))
+    return let(text, _signals_of)
+
+
+def _signals_of(text: Column) -> Column:
     records = trim_space(F.regexp_extract(text, RECORD_PHRASE, 0))
     size = trim_space(F.regexp_extract(text, SIZE_PHRASE, 0))
     cves = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(CVE_ID), F.lit(0)), 1, MAX_CVES), ", ")
     words = F.array_join(contained_words(F.lower(text), fv.SENSITIVE_FIELDS), ", ")
 
     def line(label: str, value: Column) -> Column:
-        return F.when(value != "", F.concat(F.lit(f"\n  {label}: "), value)).otherwise("")
+        return let(value, lambda v: F.when(v != "", F.concat(F.lit(f"\n  {label}: "), v)).otherwise(""))
 
     found = F.concat(line("Records", records), line("DataSize", size), line("CVEs", cves),
                      line("SensitiveFields", words))
-    return F.when(found != "", F.concat(F.lit("PreExtracted:"), found))
+    return let(found, lambda lines: F.when(lines != "", F.concat(F.lit("PreExtracted:"), lines)))
 
 
 def prompt(max_chars: int = 0, phrases: Phrases = ENGLISH) -> Column:
@@ -59,7 +63,7 @@ def prompt(max_chars: int = 0, phrases: Phrases = ENGLISH) -> Column:
         return F.when(text_or_empty(value) != "", F.concat(F.lit(label), value))
 
     links = F.filter(F.transform("download_links", trim_space), lambda u: u != "")
-    lines = [
+    head = [
         F.lit("===== POST ====="),
         F.concat(F.lit("Forum    : "), text_or_empty(c("site_name"))),
         F.concat(F.lit("Title    : "), title),
@@ -70,12 +74,14 @@ def prompt(max_chars: int = 0, phrases: Phrases = ENGLISH) -> Column:
             F.concat(F.lit("Downloads:\n"), F.array_join(F.transform(links, lambda u: F.concat(F.lit("  - "), u)), "\n")),
         ),
         F.when(full != "", "Content  : [full page]").otherwise("Content  : [teaser]"),
-        F.when(body == "", "(no content available)").otherwise(body),
-        signals(title, body),
-        F.lit("================"),
-        F.lit(PROMPT_INSTRUCTIONS.format(language=phrases.language)),
     ]
-    return F.concat_ws("\n", *lines)
+    tail = [F.lit("================"), F.lit(PROMPT_INSTRUCTIONS.format(language=phrases.language))]
+
+    def assemble(text: Column) -> Column:
+        shown = F.when(text == "", "(no content available)").otherwise(text)
+        return F.concat_ws("\n", *head, shown, signals(title, text), *tail)
+
+    return let(body, assemble)
 
 
 _CORRUPT = "_bad"

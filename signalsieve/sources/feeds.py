@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalsieve.functions.matching import let
 from signalsieve.functions.text import (
     download_links,
     first_filled,
@@ -44,22 +45,31 @@ def feed_date(raw: Column) -> Column:
     text = trim_space(text_or_empty(raw))
     text = F.regexp_replace(text, r"^[A-Za-z]{3,9},[ ]*", "")
     text = F.regexp_replace(text, r" (GMT|UTC|UT|Z)$", " +0000")
-    iso = F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T"), F.try_to_timestamp(text))
-    at = F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(form)) for form in DATE_FORMS])
+
+    def read(t: Column) -> Column:
+        iso = F.when(t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T"), F.try_to_timestamp(t))
+        return F.coalesce(iso, *[F.try_to_timestamp(t, F.lit(form)) for form in DATE_FORMS])
+
+    # an absent date is not worth nine attempts
+    at = let(text, lambda t: F.when(t != "", read(t)))
     return F.coalesce(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))
 
 
 def author_name(raw: Column) -> Column:
     """The name in ``mail (name)`` or ``name (mail)`` forms; a bare mail has no name."""
-    text = trim_space(text_or_empty(raw))
-    mail_first = F.regexp_extract(text, r"^[^ @]+@[^ ]+ \(([^)]*)\)$", 1)
-    name_first = F.regexp_extract(text, r"^([^@]+?) ?[(<][^ @]+@[^ ]+[)>]$", 1)
-    return (
-        F.when(mail_first != "", mail_first)
-        .when(name_first != "", name_first)
-        .when(text.rlike(r"^[^ @]+@[^ ]+$"), "")
-        .otherwise(text)
-    )
+
+    def read(t: Column) -> Column:
+        mail_first = r"^[^ @]+@[^ ]+ \(([^)]*)\)$"
+        name_first = r"^([^@]+?) ?[(<][^ @]+@[^ ]+[)>]$"
+        return (
+            F.when(~t.contains("@"), t)
+            .when(t.rlike(mail_first), F.regexp_extract(t, mail_first, 1))
+            .when(t.rlike(name_first), F.regexp_extract(t, name_first, 1))
+            .when(t.rlike(r"^[^ @]+@[^ ]+$"), "")
+            .otherwise(t)
+        )
+
+    return let(trim_space(text_or_empty(raw)), read)
 
 
 def _rss_entries(doc: Column) -> Column:
