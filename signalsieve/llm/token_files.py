@@ -19,48 +19,100 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalsieve.llm.words import slices, split
+from signalsieve.llm.words import own_copy, slices, split
 
 END_ID = 2
 FILE_SCHEMA = "doc_id long, part int, first_token long, n_tokens long, ids array<int>"
-CACHED_WORDS = 500_000  # encoded words a worker keeps
-CACHED_LENGTH = 64
-
-
-@lru_cache(maxsize=4)
-def _encoder(vocabulary: str):
-    """(tokenizer, cache) of a worker process, kept between tasks."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_str(vocabulary), {}
+TEXT_BYTES = 8_000_000  # text encoded at a time; one text may be longer
+CACHED_WORDS = 400_000  # encoded words a worker keeps, the first it meets
+CACHED_LENGTH = 32
+JOINED_WORDS = 500
+MARK = r"[!-&(-/:-@\[-`{-~]"  # ASCII punctuation but the apostrophe, which contractions need
+# signs that may join punctuation in one piece: controls, marks, and a letter that lower-cases to a mark
+OTHER = r"(?:['\x00-\x08\x0e-\x1f\x7fİ]|[^\x00-\x7f\p{L}\p{N}])"
+PLAIN = r"^[a-zß-öø-ÿ]+$"  # lower-case letters that no normalisation changes
+
+
+class Encoder:
+    """Encodes words with a word-end vocabulary; kept by a worker process between tasks."""
+
+    def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.cache: dict[str, bytes] = {}
+        ids = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(ids.values()) + 1, bool)
+        self.closes[[i for w, i in ids.items() if w.endswith("</w>")]] = True
+
+    def _encode(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)  # ids without offsets
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words, many in one call: each word ends at its only word-end id."""
+        ids = np.array(self._encode([" ".join(words)])[0].ids, np.int32)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(words):
+            return self._apart(words)
+        data, cuts = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
+
+    def _apart(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.int32).tobytes()
+                for e in self._encode(words)]
+
+    def pieces(self, words: pa.Array) -> list[bytes]:
+        """Ids of each word, as 32-bit integers."""
+        names = words.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.cache.get, names))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            plain = pc.match_substring_regex(words.take(pa.array(missing)), PLAIN).to_numpy(zero_copy_only=False)
+            easy = [i for i, p in zip(missing, plain) if p]
+            hard = [i for i, p in zip(missing, plain) if not p]
+            groups = [(easy[k : k + JOINED_WORDS], self._joined) for k in range(0, len(easy), JOINED_WORDS)]
+            for at, encode in [*groups, (hard, self._apart)]:
+                for i, ids in zip(at, encode([names[i] for i in at])):
+                    found[i] = ids
+                    if len(self.cache) < CACHED_WORDS and len(names[i]) <= CACHED_LENGTH:
+                        self.cache[names[i]] = ids
+        return found
+
+
+@lru_cache(maxsize=2)
+def _encoder(vocabulary: str) -> Encoder:
+    return Encoder(vocabulary)
 
 
 def encode_texts(texts: pa.Array, vocabulary: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ids) of whole texts, each closed by ``end_id``.
 
-    The vocabulary must split at white space and drop it, as word-end vocabularies do: then a text's
-    ids are those of its words, and every distinct word is encoded once.
+    The vocabulary must lower-case, split at white space and between letters and punctuation, and drop
+    the white space, as word-end vocabularies do. Then a text's ids are those of its pieces, and every
+    distinct piece is encoded once. Pieces are cut where the tokenizer cuts as well: a text in which
+    punctuation touches an apostrophe or other signs is cut at white space only, and one with the
+    beginning of a special token keeps its capitals, too.
     """
-    tokenizer, cache = _encoder(vocabulary)
-    starts, words = split(texts, lower=False)
-    coded = words.dictionary_encode() if len(words) else None
-    distinct = coded.dictionary.to_pylist() if coded is not None else []
-    if len(cache) > CACHED_WORDS:
-        cache.clear()
-    unknown = [w for w in distinct if w not in cache]
-    fresh = {w: e.ids for w, e in zip(unknown, tokenizer.encode_batch(unknown, add_special_tokens=False))}
-    cache.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHED_LENGTH)
-    pieces = [fresh[w] if w in fresh else cache[w] for w in distinct] + [[end_id]]
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    flat = np.fromiter((i for p in pieces for i in p), np.int32, int(sizes.sum()))
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    codes = coded.indices.to_numpy().astype(np.int64) if coded is not None else np.empty(0, np.int64)
-    codes = np.insert(codes, starts[1:], len(distinct))  # the end id behind each text
+    texts = own_copy(texts)
+    lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+    entangled = pc.match_substring_regex(texts, rf"{MARK}{OTHER}|{OTHER}{MARK}|<\|")
+    loose = pc.if_else(entangled, lowered, pc.replace_substring_regex(lowered, f"({MARK}+)", r" \1 "))
+    starts, words = split(loose, lower=False)
+    codes, pieces = np.empty(0, np.int64), []
+    if len(words):
+        coded = words.dictionary_encode()
+        codes, pieces = coded.indices.to_numpy().astype(np.int64), _encoder(vocabulary).pieces(coded.dictionary)
+    codes = np.insert(codes, starts[1:], len(pieces))  # the end id behind each text
+    pieces.append(np.int32(end_id).tobytes())
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) >> 2
+    flat = np.frombuffer(b"".join(pieces), np.int32)
+    first = np.cumsum(sizes) - sizes
     length = sizes[codes]
     ends = np.cumsum(length)
     ids = flat[np.repeat(first[codes] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
@@ -76,7 +128,7 @@ def encode(df: DataFrame, path: str, vocabulary_file: str, end_id: int = END_ID)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", TEXT_BYTES):
                 starts, ids = encode_texts(rows.column("text"), vocabulary, end_id)
                 yield pa.RecordBatch.from_arrays(
                     [

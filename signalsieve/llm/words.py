@@ -12,12 +12,12 @@ import xxhash
 SLICE_BYTES = 2_000_000  # text that is taken apart at a time; one text may be longer
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about SLICE_BYTES of text, or of one longer text."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``limit`` bytes of text, or of one longer text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     first, total = 0, 0
     for row, size in enumerate(sizes):
-        if total and total + size > SLICE_BYTES:
+        if total and total + size > limit:
             yield batch.slice(first, row - first)
             first, total = row, 0
         total += int(size)
@@ -25,10 +25,15 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(first)
 
 
+def own_copy(texts: pa.Array) -> pa.Array:
+    """Large strings without nulls whose data begin at 0 (string kernels misread slices of large strings)."""
+    return pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
+
+
 def split(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]:
     """(starts, words): text i has words[starts[i]:starts[i + 1]]. Words are runs of anything but ASCII
     white space; ``lower`` lower-cases A-Z only. Null texts have no words."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = own_copy(texts)
     if lower:
         texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)
@@ -44,8 +49,8 @@ def hash_words(words: pa.Array) -> np.ndarray:
     if not len(words):
         return np.empty(0, np.uint64)
     coded = words.dictionary_encode()
-    own = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64,
-                      len(coded.dictionary))
+    distinct = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    own = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
     return own[coded.indices.to_numpy()]
 
 
