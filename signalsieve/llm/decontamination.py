@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from signalsieve.llm.words import hash_words, slices, split
+from signalsieve.llm.words import hash_words, own_copy, slices, split
 
 SEED_WORDS = 4
 MIN_SCORE = 0.5
@@ -44,7 +44,7 @@ MATCHES = T.ArrayType(T.StructType([
 
 def normal_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(starts, word hashes) of texts, by runs of letters and digits in lower case."""
-    texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    texts = pc.utf8_lower(own_copy(texts))
     starts, words = split(pc.replace_substring_regex(texts, r"[^\p{L}\p{N}]+", " "), lower=False)
     return starts, hash_words(words)
 
