@@ -28,8 +28,8 @@ from signalsieve.llm.words import own_copy, slices, split
 
 END_ID = 2
 FILE_SCHEMA = "doc_id long, part int, first_token long, n_tokens long, ids array<int>"
-TEXT_BYTES = 8_000_000  # text encoded at a time; one text may be longer
-CACHED_WORDS = 400_000  # encoded words a worker keeps, the first it meets
+TEXT_BYTES = 4_000_000  # text encoded at a time; one text may be longer
+CACHED_WORDS = 250_000  # encoded words a worker keeps, the first it meets
 CACHED_LENGTH = 32
 JOINED_WORDS = 500
 MARK = r"[!-&(-/:-@\[-`{-~]"  # ASCII punctuation but the apostrophe, which contractions need
