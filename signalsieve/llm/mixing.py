@@ -14,7 +14,7 @@ of an output column are left out.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +27,7 @@ LEVELS = 5  # 60 of 64 bits; what agrees in all of them is taken together
 SALTS = 32  # parts into which the rows of one source are dealt when thresholds meet them
 BROADCAST_ROWS = 20_000  # source tables up to this many narrow rows (about 2 MB) are broadcast
 MAX_REPEATS = 3
+SEED = 20_240_101
 
 
 def word_count(text: Column) -> Column:
@@ -114,27 +115,28 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source_key", "budget_id", (F.col("path") + nearer_with).alias("stop"))
 
 
-def mix(
-    df: DataFrame,
-    key: tuple[str, ...] = ("doc_id",),
-    source: str = "source",
-    text: str = "text",
-    weight: Callable[[Column], Column] = lambda rank: F.pmod(rank - 1, F.lit(3)) + 1,
-    cap: int = MAX_REPEATS,
-) -> DataFrame:
-    """One row per input row: ``key``, source, size, source_size, weight, target, taken, h.
+def _source_key(source: str) -> Column:
+    """A key that is never null and orders by code point with null last."""
+    return F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source).cast("string")))
 
-    ``weight`` maps a source's rank (1, 2, ... by code point, null last) to its weight. ``taken`` counts
-    repeats: whole repeats of the source plus one more for rows under its threshold; no row is taken
-    more than ``cap`` times.
-    """
-    # "0" + name or "1": one never-null key, ordered by code point with null last
-    source_key = F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source).cast("string")))
+
+def _hash(key: Sequence[str], text: str) -> Column:
+    return F.xxhash64(F.lit(SEED), *key, F.col(text))
+
+
+def _repeats(cap: int) -> Column:
+    """Times that the plan takes a row with hash h."""
+    under = F.shiftrightunsigned(F.col("h"), 64 - BITS * LEVELS) < F.col("stop")
+    return F.least(F.col("whole") + F.when(under, 1).otherwise(0), F.lit(cap)).cast("int")
+
+
+def _plan(
+    df: DataFrame, key: Sequence[str], source: str, text: str, weight: Callable[[Column], Column], cap: int
+) -> tuple[DataFrame, DataFrame]:
+    """(narrow rows, plan): the plan has one row a source, with the whole repeats and the threshold."""
     rows = written(
-        df.select(
-            *key, source_key.alias("source_key"), word_count(F.col(text)).alias("size"),
-            F.xxhash64(F.lit(20_240_101), *key, F.col(text)).alias("h"),
-        ),
+        df.select(*key, _source_key(source).alias("source_key"), word_count(F.col(text)).alias("size"),
+                  _hash(key, text).alias("h")),
         "mix-rows",
     )
     totals = rows.groupBy("source_key").agg(F.sum("size").cast("long").alias("source_size"))
@@ -144,16 +146,39 @@ def mix(
         "whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     ).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     stops = thresholds(rows.where("size > 0"), owed.select("source_key", F.lit(0).alias("budget_id"), "rest"))
-    plan = cut(owed.join(stops.drop("budget_id"), "source_key").select(
+    return rows, cut(owed.join(stops.drop("budget_id"), "source_key").select(
         "source_key", "source_size", "weight", "target", "whole", "stop"))
-    own_path = F.shiftrightunsigned(F.col("h"), 64 - BITS * LEVELS)
-    repeats = F.least(F.col("whole") + F.when(own_path < F.col("stop"), 1).otherwise(0), F.lit(cap))
-    return (
-        _meet(rows, plan, plan.count())
-        .select(
-            *key,
-            F.when(F.col("source_key") != "1", F.substring("source_key", 2, 1 << 30)).alias(source),
-            "size", "source_size", "weight", "target",
-            (F.col("size") * repeats).cast("long").alias("taken"), "h",
-        )
+
+
+def _by_threes(rank: Column) -> Column:
+    """1, 2, 3, 1, 2, 3, ... by rank."""
+    return F.pmod(rank - 1, F.lit(3)) + 1
+
+
+def mix(
+    df: DataFrame, key: Sequence[str] = ("doc_id",), source: str = "source", text: str = "text",
+    weight: Callable[[Column], Column] = _by_threes, cap: int = MAX_REPEATS,
+) -> DataFrame:
+    """One row per input row: ``key``, source, size, source_size, weight, target, taken, h.
+
+    ``weight`` maps a source's rank (1, 2, ... by code point, null last) to its weight. ``taken`` counts
+    repeats: whole repeats of the source plus one more for rows under its threshold; no row is taken
+    more than ``cap`` times.
+    """
+    rows, plan = _plan(df, key, source, text, weight, cap)
+    return _meet(rows, plan, plan.count()).select(
+        *key,
+        F.when(F.col("source_key") != "1", F.substring("source_key", 2, 1 << 30)).alias(source),
+        "size", "source_size", "weight", "target", (F.col("size") * _repeats(cap)).cast("long").alias("taken"), "h",
     )
+
+
+def mixed_corpus(
+    df: DataFrame, key: Sequence[str] = ("doc_id",), source: str = "source", text: str = "text",
+    weight: Callable[[Column], Column] = _by_threes, cap: int = MAX_REPEATS,
+) -> DataFrame:
+    """The rows of ``df``, each as often as the mix takes it, with all their columns."""
+    _, plan = _plan(df, key, source, text, weight, cap)
+    whole = df.select(F.struct("*").alias("_row"), _source_key(source).alias("source_key"), _hash(key, text).alias("h"))
+    times = _meet(whole, plan.select("source_key", "whole", "stop"), plan.count())
+    return times.select("_row", F.explode(F.array_repeat(F.lit(1), _repeats(cap))).alias("_time")).select("_row.*")

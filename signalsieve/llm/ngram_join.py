@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalsieve.llm.graph import components
-from signalsieve.llm.shared import cut, written
+from signalsieve.llm.shared import WORD, cut, written
 from signalsieve.llm.words import hash_words, mixed, shingles, slices, split
 
 SHINGLE = 4
@@ -69,25 +69,28 @@ def distinct_shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarr
     return starts, hashes, ids.view(np.int64)
 
 
-def _scan(docs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """kind 0: doc_id, n, sid of every document; kind 1: group (as doc_id) and shingle count n of a task."""
+def _scan(docs: DataFrame, width: int) -> DataFrame:
+    """kind 0: doc_id, n, sid, th (text hash) of every document; kind 1: group (as doc_id) and its count n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = np.zeros(1 << ORDER_BITS, np.int64)
 
-        def rows(kind, ids, n, sid):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), ids, pa.array(n), pa.array(sid)],
-                                              names=["kind", "doc_id", "n", "sid"])
+        def rows(kind, ids, n, sid, th):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(n), kind, np.int32)), ids, pa.array(n), pa.array(sid), th],
+                names=["kind", "doc_id", "n", "sid", "th"])
 
         for batch in batches:
             for part in slices(batch, "text"):
                 starts, hashes, sids = distinct_shingles(part.column("text"), width)
                 groups += np.bincount((hashes >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=len(groups))
-                yield rows(0, part.column("doc_id"), np.diff(starts), sids)
+                yield rows(0, part.column("doc_id"), np.diff(starts), sids, part.column("th"))
         used = np.flatnonzero(groups)
-        yield rows(1, pa.array(used), groups[used], np.zeros(len(used), np.int64))
+        zeros = np.zeros(len(used), np.int64)
+        yield rows(1, pa.array(used), groups[used], zeros, pa.array(zeros))
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, sid long")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    return hashed.mapInArrow(run, "kind int, doc_id long, n long, sid long, th long")
 
 
 def _group_counts(scanned: DataFrame) -> np.ndarray:
@@ -265,25 +268,51 @@ def _links(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     return dealt.groupBy("block", "lo", "hi").applyInArrow(_block_links(share), "a long, b long")
 
 
-def similar(docs: DataFrame, width: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+def _grouped(docs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+    """doc_id, th, n and grp of every row: equal grp where links connect; null grp for an empty set."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scanned = written(_scan(docs, width, share), "ngram-scan")
-    nodes = scanned.where("kind = 0").select("doc_id", "n", "sid")
+    scanned = written(_scan(docs, width), "ngram-scan")
+    nodes = scanned.where("kind = 0").select("doc_id", "n", "sid", "th")
     postings = written(_postings(docs, width, share, _group_counts(scanned)), "ngram-postings")
     blocks = components(_ties(postings)).withColumnsRenamed({"v": "sid", "root": "block"})
     # one document stands for all with its set
-    first = nodes.join(blocks, "sid").groupBy("sid", "block").agg(F.min("doc_id").alias("doc_id"))
-    first = cut(first)
+    first = cut(nodes.join(blocks, "sid").groupBy("sid", "block").agg(F.min("doc_id").alias("doc_id")))
     sets = _sets(docs, width, _marks(first)).join(first.select("sid", "block"), "sid").dropDuplicates(["sid"])
     links = cut(_links(written(sets, "ngram-sets"), share))
     roots = components(links).withColumnsRenamed({"v": "sid"})
-    empty = F.col("n") == 0
-    grouped = nodes.join(roots, "sid", "left").select(
-        "doc_id", "n", F.when(empty, F.xxhash64("doc_id")).otherwise(F.coalesce("root", "sid")).alias("grp"))
-    smallest = grouped.where(~empty).groupBy("grp").agg(
+    return nodes.join(roots, "sid", "left").select(
+        "doc_id", "th", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("grp"))
+
+
+def similar(docs: DataFrame, width: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    grouped = _grouped(docs, width, share)
+    shared = grouped.where("grp IS NOT NULL").groupBy("grp").agg(
         F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    return grouped.join(smallest, "grp", "left").select(
+    # empty sets meet nothing; a key of their own keeps them from being one large group
+    at = F.coalesce("grp", F.xxhash64("doc_id", "th"))
+    return grouped.withColumn("at", at).join(shared.withColumnRenamed("grp", "at"), "at", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(empty, F.col("doc_id")).otherwise(F.coalesce("least", "doc_id")).alias("component_id"),
+        F.when(F.col("grp").isNull(), F.col("doc_id")).otherwise(F.coalesce("least", "doc_id")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, width: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
+    """``docs`` with one row of each connected group, that of the smallest id; all columns.
+
+    Among rows of that id, the one with the smallest text hash stays; of rows equal in id and text, any.
+    Rows without words are linked with nothing and all stay.
+    """
+    grouped = _grouped(docs, width, share).where("grp IS NOT NULL")
+    # nulls last: an id is preferred to none
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best")
+    kept = grouped.groupBy("grp").agg(best).select(F.col("best.doc_id").alias("_id"), F.col("best.th").alias("_th"))
+    whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"),
+                        F.xxhash64("text").alias("_th"), "text")
+    spoken = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    whole = whole.withColumn("_spoken", spoken).drop("text")
+    chosen = whole.where("_spoken").join(
+        kept.withColumnsRenamed({"_id": "k_id", "_th": "k_th"}),
+        F.col("_id").eqNullSafe(F.col("k_id")) & (F.col("_th") == F.col("k_th")), "left_semi",
+    ).dropDuplicates(["_id", "_th"])
+    return chosen.select("_row.*").unionByName(whole.where("NOT _spoken").select("_row.*"))

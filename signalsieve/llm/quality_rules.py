@@ -126,18 +126,16 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def measured_order(sample: DataFrame, rules: Sequence[Rule]) -> list[Rule]:
-    """``rules`` by rejections per second on ``sample`` (one job a rule), ties by name.
+def measured_order(df: DataFrame, rules: Sequence[Rule], sample_rows: int) -> list[Rule]:
+    """``rules`` by rejections per second on the first ``sample_rows`` rows (one job a rule), ties by name.
 
-    Every rule is timed alone over the same rows; the sample is cut off from its lineage first,
-    so that only the rule is timed.
+    Taking rows reads only as many partitions as it needs. They become a local table, so that only the
+    rule is timed.
     """
-    from signalsieve.llm.shared import cut
-
-    rows = cut(sample)
-    total = rows.count()
-    if not total:
+    taken = df.take(sample_rows)
+    if not taken:
         return list(rules)
+    rows, total = df.sparkSession.createDataFrame(taken, df.schema), len(taken)
     rated = []
     for rule in rules:
         began = time.perf_counter()
@@ -161,7 +159,8 @@ def cascade(df: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS
     ``sample_rows`` bounds the rows the order is estimated on; every row is judged by every rule
     it takes to reject it.
     """
-    ordered = measured_order(df.limit(sample_rows), rules)
+    narrow = df.select(*[c for c in df.columns if c in MEASURES]) if set(MEASURES) <= set(df.columns) else df
+    ordered = measured_order(narrow, rules, sample_rows)
     return df.withColumn("rejected_by", first_rejection(ordered))
 
 
@@ -177,3 +176,9 @@ def judge(
         *[c for c in keep if c not in MEASURES], *MEASURES, failed.alias("base_failed"),
         (~failed & F.col("rejected_by").isNull()).alias("kept"),
     )
+
+
+def good(df: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``df`` that the base rules and the cascade keep, with all their columns."""
+    whole = df.select(F.struct("*").alias("_row"), "text")
+    return judge(whole, ("_row",), rules, sample_rows).where("kept").select("_row.*")
