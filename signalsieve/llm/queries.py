@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from signalsieve.llm import decontamination, mixing, ngram_join, quality_rules, token_files
+from signalsieve.llm import decontamination, mixing, ngram_join, quality_rules, token_files, warc
 from signalsieve.llm.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +97,19 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_ngram_join")
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
+@query("op2_warc", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+w AS (SELECT payload_digest AS wd, max(page_id) AS first_id FROM p WHERE octet_length(payload) >= 1000 GROUP BY 1)
+SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN w ON payload_digest = wd AND octet_length(payload) >= 1000""")
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arc, out = new_folder(spark, "arc"), new_folder(spark, "warc")
+    warc.write_arc(table(spark, sf_dir, "pages"), arc)
+    warc.to_warc(spark, arc, out)
+    return warc.read_warc(spark, out).where("record_type <> 'warcinfo'").select(
+        F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to_row").alias("refers_to"))
