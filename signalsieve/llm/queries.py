@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalsieve.llm import decontamination, mixing, ngram_join, quality_rules, token_files, warc
+from signalsieve.llm import compression_quality, decontamination, mixing, ngram_join, quality_rules, token_files, warc
 from signalsieve.llm.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,9 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, out).where("record_type <> 'warcinfo'").select(
         F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to_row").alias("refers_to"))
+
+
+@query("op6_compression_quality")
+def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return compression_quality.score(docs, compression_quality.fit(docs, table(spark, sf_dir, "labels")))
