@@ -6,21 +6,24 @@ A document is the set of its distinct shingles of SHINGLE words. The join finds
 
 and gives each document the smallest id it reaches over links.
 
-1. One pass hashes the shingles, gives each document its set's size and id (equal sets share one, so exact
-   copies are one node), and counts shingles in a fixed number of hash groups.
+1. One pass hashes the shingles and gives each document its set's size and id (equal sets share one, so
+   exact copies are one node) and its point: the counts of its shingles in GROUPS hash groups. It also
+   counts shingles over all documents in a fixed number of finer groups.
 2. Two linked sets share one of their first ``n - ceil(0.85 n) + 1`` shingles in any common order. The
-   order is by group count, rarest group first, so that a passage in a third of all documents is not a
-   meeting point. Sets that meet are tied in a star around the smallest, and the components of these
-   ties are the blocks: no link crosses them.
-3. Inside a block, sets become points: the counts of their shingles by hash group. An R-tree over the
-   points is searched with a bound, the summed minima of coordinates, which no overlap exceeds; what
-   passes is compared exactly. Blocks beyond CHUNK_SETS are cut into chunks, and each pair of chunks is a
-   task of its own, so that a block with a third of all sets is not one task.
-4. Pairs already connected by links found in the same task are not compared again. The links found
-   connect what the complete set of links connects.
-
-The R-tree alone cannot narrow the search: counts of few groups are alike for all texts of a length, so
-the meeting points of step 2 make the blocks.
+   order is by that count, rarest group first, so that a passage in a third of all documents is not a
+   meeting point. Shingles met by one set only are dropped.
+3. The sets of a meeting point are searched by an R-tree over their points with a bound that no overlap
+   exceeds, the summed minima of coordinates. Pairs that pass are candidates; a meeting point gives only
+   as many as connect what all its candidates connect. Their components are the blocks: no link crosses
+   them.
+4. Inside a block, the R-tree is built anew over points with more groups, and what passes its bound is
+   compared exactly, shingle by shingle. Pairs already connected by links found in the same task are not
+   compared again: the links found connect what the complete set of links connects.
+
+Meeting points and blocks of more than CHUNK_SETS sets are cut into chunks, and each pair of chunks is a
+task of its own, so that a group with a third of all sets is not one task. One R-tree over all points
+cannot narrow the search, because counts in few groups are alike for all texts of a length; meeting points
+come first for that reason.
 
 Defined results: a text without words, empty or null, has no shingles and is linked with nothing; fewer
 words than SHINGLE are one shingle; a null id takes part, and a component takes its smallest id that is
@@ -42,9 +45,11 @@ from signalsieve.llm.words import hash_words, mixed, shingles, slices, split
 
 SHINGLE = 4
 SHARE = (85, 100)
+GROUPS = 32  # coordinates of a document's point
 ORDER_BITS = 18  # hash groups whose counts order the shingles: 2 MB on the driver and in a task
 SEEN_BITS = 22  # marks of document ids that are read again: 512 KB in a task
 CHUNK_SETS = 512
+SMALL_GROUP = 32  # so few sets are compared with each other without a tree
 CHUNK_SHINGLES = 1_000_000
 LEAF, FANOUT = 16, 8
 
@@ -70,27 +75,28 @@ def distinct_shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _scan(docs: DataFrame, width: int) -> DataFrame:
-    """kind 0: doc_id, n, sid, th (text hash) of every document; kind 1: group (as doc_id) and its count n."""
+    """kind 0: doc_id, n, sid, th (text hash), point of every document; kind 1: group (as doc_id), its count n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = np.zeros(1 << ORDER_BITS, np.int64)
 
-        def rows(kind, ids, n, sid, th):
+        def rows(kind, ids, n, sid, th, points):
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), kind, np.int32)), ids, pa.array(n), pa.array(sid), th],
-                names=["kind", "doc_id", "n", "sid", "th"])
+                [pa.array(np.full(len(n), kind, np.int32)), ids, pa.array(n), pa.array(sid), th, points],
+                names=["kind", "doc_id", "n", "sid", "th", "point"])
 
         for batch in batches:
             for part in slices(batch, "text"):
                 starts, hashes, sids = distinct_shingles(part.column("text"), width)
                 groups += np.bincount((hashes >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=len(groups))
-                yield rows(0, part.column("doc_id"), np.diff(starts), sids, part.column("th"))
+                points = pa.array([p.tobytes() for p in count_vectors(hashes, starts, GROUPS)], pa.binary())
+                yield rows(0, part.column("doc_id"), np.diff(starts), sids, part.column("th"), points)
         used = np.flatnonzero(groups)
         zeros = np.zeros(len(used), np.int64)
-        yield rows(1, pa.array(used), groups[used], zeros, pa.array(zeros))
+        yield rows(1, pa.array(used), groups[used], zeros, pa.array(zeros), pa.nulls(len(used), pa.binary()))
 
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    return hashed.mapInArrow(run, "kind int, doc_id long, n long, sid long, th long")
+    return hashed.mapInArrow(run, "kind int, doc_id long, n long, sid long, th long, point binary")
 
 
 def _group_counts(scanned: DataFrame) -> np.ndarray:
@@ -121,10 +127,77 @@ def _postings(docs: DataFrame, width: int, share: tuple[int, int], counts: np.nd
     return docs.mapInArrow(run, "key long, sid long")
 
 
-def _ties(postings: DataFrame) -> DataFrame:
-    """(a, b): each set and the smallest set it meets, per meeting point of two or more sets."""
-    points = postings.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a < b")
-    return postings.join(points.select("key", "a"), "key").where("sid <> a").select("a", F.col("sid").alias("b")).distinct()
+def _chunked(rows: DataFrame, group: str, chunks: DataFrame) -> DataFrame:
+    """``rows`` with (chunk, lo, hi) for every pair of chunks that a row takes part in.
+
+    ``chunks``: group, k (the number of chunks) of the groups that have more than one.
+    """
+    k = F.coalesce("k", F.lit(1))
+    chunk = F.pmod(F.xxhash64("sid"), k).cast("int")
+    dealt = rows.join(chunks, group, "left").select(*rows.columns, k.alias("k"), chunk.alias("chunk"))
+    pairs = dealt.select(*rows.columns, "chunk", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    return pairs.select(*rows.columns, "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
+
+
+def _ties(postings: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(a, b): candidates that connect, per meeting point, what all its candidates connect."""
+    points = postings.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a < b").select("key")
+    met = written(postings.join(points, "key").distinct(), "ngram-met")
+    crowds = met.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CHUNK_SETS).select(
+        "key", F.ceil(F.col("m") / CHUNK_SETS).cast("int").alias("k"))
+    known = nodes.groupBy("sid").agg(F.first("n").alias("n"), F.first("point").alias("point"))
+    rows = _chunked(met, "key", crowds).join(known, "sid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([rest, rows]).combine_chunks() if rest is not None else rows
+            group = _group_starts(rows)
+            last = int(group[-1]) if len(group) else 0
+            if last:
+                yield _candidate_ties(rows.slice(0, last), share)
+            rest = rows.slice(last)
+        if rest is not None and rest.num_rows:
+            yield _candidate_ties(rest, share)
+
+    dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "sid")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _group_starts(rows: pa.Table) -> np.ndarray:
+    """First row of each run of equal (key, lo, hi)."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for c in ("key", "lo", "hi"):
+        values = rows.column(c).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+def _candidate_ties(rows: pa.Table, share: tuple[int, int]) -> pa.RecordBatch:
+    """Candidates within each (key, lo, hi) group of ``rows``."""
+    part, whole = share
+    first = _group_starts(rows)
+    size = np.diff(np.append(first, rows.num_rows))
+    group = np.repeat(np.arange(len(first)), size)
+    sid, n, chunk, lo, hi = (rows.column(c).to_numpy() for c in ("sid", "n", "chunk", "lo", "hi"))
+    points = np.frombuffer(b"".join(rows.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)
+    small = (size <= SMALL_GROUP) & (lo[first] == hi[first])
+    pairs = []
+    few = small[group]
+    for step in range(1, int(size[small].max(initial=1))):
+        i = np.flatnonzero(few[:-step] & (group[:-step] == group[step:]))
+        j = i + step
+        near = (part + whole) * np.minimum(points[i], points[j]).sum(axis=1) >= part * (n[i] + n[j])
+        pairs.append(np.column_stack([sid[i[near]], sid[j[near]]]))
+    for g in np.flatnonzero(~small).tolist():
+        at = slice(first[g], first[g] + size[g])
+        links = connecting(points[at], n[at], chunk[at], share)
+        if links:
+            pairs.append(sid[at][np.array(links)])
+    found = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0) if pairs else np.empty((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
 
 def _marks(ids: DataFrame) -> np.ndarray:
@@ -195,44 +268,55 @@ class RTree:
         return self.order[at[near(self.points[at], self.sizes[at])]]
 
 
-def count_vectors(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Counts of shingles by hash group; about a group per four shingles of a typical set."""
-    typical = max(1, int(np.median(np.diff(starts))))
-    groups = 1 << int(np.clip(np.ceil(np.log2(max(1, typical / 4))), 3, 9))
+def count_vectors(flat: np.ndarray, starts: np.ndarray, groups: int) -> np.ndarray:
+    """Counts of shingles by hash group."""
     doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    cell = doc * groups + ((flat.view(np.uint64) >> np.uint64(40)) % np.uint64(groups)).astype(np.int64)
+    cell = doc * groups + ((flat.view(np.uint64) >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
     return np.bincount(cell, minlength=(len(starts) - 1) * groups).reshape(-1, groups).astype(np.int32)
 
 
-def linked_pairs(flat: np.ndarray, starts: np.ndarray, chunk: np.ndarray, share: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links between sets (rows of ``flat``, ascending) that connect what all their links connect.
+def connecting(
+    points: np.ndarray, sizes: np.ndarray, chunk: np.ndarray, share: tuple[int, int], verify=None
+) -> list[tuple[int, int]]:
+    """Pairs that connect what all pairs within the bound (and, with ``verify``, truly linked) connect.
 
-    With two chunks, only pairs across them are looked at.
+    With two chunks, only pairs across them are looked at. ``verify(a, near)`` tells which of ``near`` are
+    linked with ``a``.
     """
-    part, whole = share
-    sizes = np.diff(starts)
-    points = count_vectors(flat, starts)
     across = len(np.unique(chunk)) > 1
     asked = np.flatnonzero(chunk == chunk.max())
     held = np.flatnonzero(chunk == chunk.min())
     tree = RTree(points[held], sizes[held])
     root = np.arange(len(sizes))
-    links = []
+    pairs = []
     for a in asked.tolist():
         near = held[tree.search(points[a], int(sizes[a]), share)]
         near = near[root[near] != root[a]] if across else near[(near < a) & (root[near] != root[a])]
-        if not len(near):
-            continue
+        if verify is not None and len(near):
+            near = near[verify(a, near)]
+        for b in near.tolist():
+            if root[a] != root[b]:
+                pairs.append((a, b))
+                root[root == root[b]] = root[a]
+    return pairs
+
+
+def linked_pairs(flat: np.ndarray, starts: np.ndarray, chunk: np.ndarray, share: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links between sets (rows of ``flat``, ascending) that connect what all their links connect."""
+    part, whole = share
+    sizes = np.diff(starts)
+    typical = max(1, int(np.median(sizes)))
+    groups = 1 << int(np.clip(np.ceil(np.log2(max(1, typical / 4))), 3, 9))
+
+    def verify(a: int, near: np.ndarray) -> np.ndarray:
         own = flat[starts[a] : starts[a + 1]]
         values = np.concatenate([flat[starts[b] : starts[b + 1]] for b in near.tolist()])
         same = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
         ends = np.cumsum(sizes[near])
         both = np.add.reduceat(same.astype(np.int64), np.concatenate([[0], ends[:-1]]))
-        for b in near[(part + whole) * both >= part * (sizes[a] + sizes[near])].tolist():
-            if root[a] != root[b]:
-                links.append((a, b))
-                root[root == root[b]] = root[a]
-    return links
+        return (part + whole) * both >= part * (sizes[a] + sizes[near])
+
+    return connecting(count_vectors(flat, starts, groups), sizes, chunk, share, verify)
 
 
 def _block_links(share: tuple[int, int]):
@@ -255,30 +339,23 @@ def _block_links(share: tuple[int, int]):
 
 def _links(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """(a, b) links between set ids; ``sets``: sid, block, set."""
-    sizes = sets.groupBy("block").agg(
-        F.count(F.lit(1)).alias("m"), F.sum(F.size("set")).alias("w")
-    ).select("block", F.greatest(F.ceil(F.col("m") / CHUNK_SETS), F.ceil(F.col("w") / CHUNK_SHINGLES)).cast("int").alias("k"))
-    mine = F.pmod(F.xxhash64("sid"), F.col("k")).cast("int")
-    dealt = (
-        sets.join(sizes, "block")
-        .select("block", "sid", "set", "k", mine.alias("chunk"))
-        .select("block", "sid", "set", "chunk", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-        .withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
-    )
-    return dealt.groupBy("block", "lo", "hi").applyInArrow(_block_links(share), "a long, b long")
+    large = sets.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.sum(F.size("set")).alias("w")).select(
+        "block", F.greatest(F.ceil(F.col("m") / CHUNK_SETS), F.ceil(F.col("w") / CHUNK_SHINGLES)).cast("int").alias("k")
+    ).where("k > 1")
+    return _chunked(sets, "block", large).groupBy("block", "lo", "hi").applyInArrow(_block_links(share), "a long, b long")
 
 
 def _grouped(docs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
     """doc_id, th, n and grp of every row: equal grp where links connect; null grp for an empty set."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = written(_scan(docs, width), "ngram-scan")
-    nodes = scanned.where("kind = 0").select("doc_id", "n", "sid", "th")
+    nodes = scanned.where("kind = 0").select("doc_id", "n", "sid", "th", "point")
     postings = written(_postings(docs, width, share, _group_counts(scanned)), "ngram-postings")
-    blocks = components(_ties(postings)).withColumnsRenamed({"v": "sid", "root": "block"})
+    blocks = components(_ties(postings, nodes, share)).withColumnsRenamed({"v": "sid", "root": "block"})
     # one document stands for all with its set
     first = cut(nodes.join(blocks, "sid").groupBy("sid", "block").agg(F.min("doc_id").alias("doc_id")))
     sets = _sets(docs, width, _marks(first)).join(first.select("sid", "block"), "sid").dropDuplicates(["sid"])
-    links = cut(_links(written(sets, "ngram-sets"), share))
+    links = cut(_links(written(sets.select("sid", "block", "set"), "ngram-sets"), share))
     roots = components(links).withColumnsRenamed({"v": "sid"})
     return nodes.join(roots, "sid", "left").select(
         "doc_id", "th", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("grp"))
