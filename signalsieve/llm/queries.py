@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalsieve.llm import compression_quality, decontamination, mixing, ngram_join, quality_rules, token_files, warc
+from signalsieve.llm import compression_quality, decontamination, html_text, mixing, ngram_join, quality_rules, token_files, warc
 from signalsieve.llm.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return compression_quality.score(docs, compression_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op5_html_text")
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
