@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalsieve.llm import compression_quality, decontamination, html_text, mixing, ngram_join, quality_rules, token_files, warc
+from signalsieve.llm import (
+    compression_quality, decontamination, html_text, mixing, ngram_join, quality_rules, token_files, toxicity_chain, warc,
+)
 from signalsieve.llm.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +126,9 @@ def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_html_text")
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op4_toxicity_chain")
+def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_chain.score(docs, toxicity_chain.fit(docs, table(spark, sf_dir, "labels")))
