@@ -193,9 +193,7 @@ def _candidate_ties(rows: pa.Table, share: tuple[int, int]) -> pa.RecordBatch:
         pairs.append(np.column_stack([sid[i[near]], sid[j[near]]]))
     for g in np.flatnonzero(~small).tolist():
         at = slice(first[g], first[g] + size[g])
-        links = connecting(points[at], n[at], chunk[at], share)
-        if links:
-            pairs.append(sid[at][np.array(links)])
+        pairs.append(connecting(sid[at], points[at], n[at], chunk[at], share))
     found = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0) if pairs else np.empty((0, 2), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
@@ -276,9 +274,9 @@ def count_vectors(flat: np.ndarray, starts: np.ndarray, groups: int) -> np.ndarr
 
 
 def connecting(
-    points: np.ndarray, sizes: np.ndarray, chunk: np.ndarray, share: tuple[int, int], verify=None
-) -> list[tuple[int, int]]:
-    """Pairs that connect what all pairs within the bound (and, with ``verify``, truly linked) connect.
+    ids: np.ndarray, points: np.ndarray, sizes: np.ndarray, chunk: np.ndarray, share: tuple[int, int], verify=None
+) -> np.ndarray:
+    """Pairs of ``ids`` that connect what all pairs within the bound (and, with ``verify``, truly linked) connect.
 
     With two chunks, only pairs across them are looked at. ``verify(a, near)`` tells which of ``near`` are
     linked with ``a``.
@@ -288,7 +286,6 @@ def connecting(
     held = np.flatnonzero(chunk == chunk.min())
     tree = RTree(points[held], sizes[held])
     root = np.arange(len(sizes))
-    pairs = []
     for a in asked.tolist():
         near = held[tree.search(points[a], int(sizes[a]), share)]
         near = near[root[near] != root[a]] if across else near[(near < a) & (root[near] != root[a])]
@@ -296,13 +293,18 @@ def connecting(
             near = near[verify(a, near)]
         for b in near.tolist():
             if root[a] != root[b]:
-                pairs.append((a, b))
                 root[root == root[b]] = root[a]
-    return pairs
+    # as stars around the smallest id, which are the shortest way to say what is connected
+    least = np.full(len(sizes), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, ids)
+    tied = np.flatnonzero(least[root] != ids)
+    return np.column_stack([least[root[tied]], ids[tied]])
 
 
-def linked_pairs(flat: np.ndarray, starts: np.ndarray, chunk: np.ndarray, share: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links between sets (rows of ``flat``, ascending) that connect what all their links connect."""
+def linked_pairs(
+    ids: np.ndarray, flat: np.ndarray, starts: np.ndarray, chunk: np.ndarray, share: tuple[int, int]
+) -> np.ndarray:
+    """Pairs of ``ids`` of sets (rows of ``flat``, ascending) that connect what all their links connect."""
     part, whole = share
     sizes = np.diff(starts)
     typical = max(1, int(np.median(sizes)))
@@ -316,7 +318,7 @@ def linked_pairs(flat: np.ndarray, starts: np.ndarray, chunk: np.ndarray, share:
         both = np.add.reduceat(same.astype(np.int64), np.concatenate([[0], ends[:-1]]))
         return (part + whole) * both >= part * (sizes[a] + sizes[near])
 
-    return connecting(count_vectors(flat, starts, groups), sizes, chunk, share, verify)
+    return connecting(ids, count_vectors(flat, starts, groups), sizes, chunk, share, verify)
 
 
 def _block_links(share: tuple[int, int]):
@@ -329,10 +331,8 @@ def _block_links(share: tuple[int, int]):
         # ascending as signed numbers within each set, whatever order they were written in
         doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         flat = flat[np.lexsort((flat, doc))]
-        sids = table.column("sid").to_numpy()
-        links = linked_pairs(flat, starts, table.column("chunk").to_numpy(), share)
-        a, b = (np.array(x, np.int64) for x in zip(*links)) if links else (np.empty(0, np.int64),) * 2
-        return pa.table({"a": sids[a], "b": sids[b]})
+        found = linked_pairs(table.column("sid").to_numpy(), flat, starts, table.column("chunk").to_numpy(), share)
+        return pa.table({"a": found[:, 0].copy(), "b": found[:, 1].copy()})
 
     return run
 
