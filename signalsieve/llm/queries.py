@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalsieve.llm import (
-    compression_quality, decontamination, html_text, mixing, ngram_join, quality_rules, token_files, toxicity_chain, warc,
+    compression_quality, decontamination, html_text, license_scan, mixing, ngram_join, quality_rules, token_files,
+    toxicity_chain, warc,
 )
 from signalsieve.llm.shared import new_folder
 
@@ -132,3 +133,8 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity_chain.score(docs, toxicity_chain.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op8_license_scan")
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
