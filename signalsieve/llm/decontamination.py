@@ -238,7 +238,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE)
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` without those that match an item; counts are taken over all of ``docs``."""
+    name = "_matches"
+    while name in docs.columns:
+        name = "_" + name
     kept = docs
     for block in blocks(benchmark):
-        kept = with_matches(kept, rare(docs, block), min_score).where(F.size("_matches") == 0).drop("_matches")
+        kept = with_matches(kept, rare(docs, block), min_score, name).where(F.size(name) == 0).drop(name)
     return kept
