@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every turn lowers labels along edges and then follows them once (label of the label), so that long
     chains shrink by halves. Labels are combined before they are shuffled; no group is gathered, and
-    only a count comes to the driver.
+    only a count comes to the driver. The joins are merge joins whatever the size: a small graph would
+    otherwise leave the driver a broadcast table for every join of every turn.
     """
     both = cut(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -23,13 +24,13 @@ def components(edges: DataFrame) -> DataFrame:
         F.col("a").alias("v"), F.least("a", "m").alias("root")))
     while True:
         lower = (
-            both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("root").alias("m"))
+            both.join(labels.hint("merge"), both.b == labels.v).groupBy("a").agg(F.min("root").alias("m"))
         )
-        near = labels.join(lower, labels.v == lower.a).select(
+        near = labels.join(lower.hint("merge"), labels.v == lower.a).select(
             "v", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         target = labels.select(F.col("v").alias("at"), F.col("root").alias("its"))
         turned = cut(
-            near.join(target, near.root == target["at"]).select("v", "old", F.least("root", "its").alias("root"))
+            near.join(target.hint("merge"), near.root == target["at"]).select("v", "old", F.least("root", "its").alias("root"))
         )
         labels = turned.select("v", "root")
         if turned.where("old <> root").isEmpty():
