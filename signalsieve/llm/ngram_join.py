@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalsieve.llm.graph import components
@@ -48,6 +48,7 @@ SHARE = (85, 100)
 GROUPS = 32  # coordinates of a document's point
 ORDER_BITS = 18  # hash groups whose counts order the shingles: 2 MB on the driver and in a task
 SEEN_BITS = 22  # marks of document ids that are read again: 512 KB in a task
+SEEN_SETS = 200_000  # sets that a task remembers, so that a copy is not said twice
 CHUNK_SETS = 512
 SMALL_GROUP = 32  # so few sets are compared with each other without a tree
 CHUNK_SHINGLES = 1_000_000
@@ -108,35 +109,38 @@ def _group_counts(scanned: DataFrame) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, width: int, share: tuple[int, int], counts: np.ndarray) -> DataFrame:
-    """(key, sid): the shingles of which two linked sets share one."""
+    """(key, sid): the shingles of which two linked sets share one; copies in a task say theirs once."""
     part, whole = share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said: set[int] = set()
         for batch in batches:
             for rows in slices(batch, "text"):
                 starts, hashes, sids = distinct_shingles(rows.column("text"), width)
                 sizes = np.diff(starts)
+                fresh = np.zeros(len(sids), bool)
+                for i, sid in enumerate(sids.tolist()):
+                    fresh[i] = sid not in said
+                    if len(said) < SEEN_SETS:
+                        said.add(sid)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 rarity = counts[(hashes >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
                 order = np.lexsort((hashes, rarity, doc))
                 first = sizes + (-part * sizes) // whole + 1  # n - ceil(n * part / whole) + 1
-                picked = np.arange(len(doc)) - starts[:-1][doc] < first[doc]
+                picked = (np.arange(len(doc)) - starts[:-1][doc] < first[doc]) & fresh[doc]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hashes[order][picked].view(np.int64)), pa.array(sids[doc[picked]])], names=["key", "sid"])
 
     return docs.mapInArrow(run, "key long, sid long")
 
 
-def _chunked(rows: DataFrame, group: str, chunks: DataFrame) -> DataFrame:
-    """``rows`` with (chunk, lo, hi) for every pair of chunks that a row takes part in.
-
-    ``chunks``: group, k (the number of chunks) of the groups that have more than one.
-    """
-    k = F.coalesce("k", F.lit(1))
-    chunk = F.pmod(F.xxhash64("sid"), k).cast("int")
-    dealt = rows.join(chunks, group, "left").select(*rows.columns, k.alias("k"), chunk.alias("chunk"))
-    pairs = dealt.select(*rows.columns, "chunk", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    return pairs.select(*rows.columns, "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
+def _chunked(rows: DataFrame, k: Column) -> DataFrame:
+    """``rows`` with (chunk, lo, hi) for every pair of chunks that a row takes part in, of ``k`` chunks in all."""
+    chunk = F.pmod(F.xxhash64("sid"), F.col("k")).cast("int")
+    columns = rows.columns
+    dealt = rows.withColumn("k", k).withColumn("chunk", chunk)
+    pairs = dealt.select(*columns, "chunk", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    return pairs.select(*columns, "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
 
 
 def _ties(postings: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -146,7 +150,8 @@ def _ties(postings: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> Data
     crowds = met.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CHUNK_SETS).select(
         "key", F.ceil(F.col("m") / CHUNK_SETS).cast("int").alias("k"))
     known = nodes.groupBy("sid").agg(F.first("n").alias("n"), F.first("point").alias("point"))
-    rows = _chunked(met, "key", crowds).join(known, "sid")
+    sized = met.join(crowds.withColumnRenamed("k", "crowd"), "key", "left")
+    rows = _chunked(sized, F.coalesce("crowd", F.lit(1))).drop("crowd").join(known, "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -337,12 +342,18 @@ def _block_links(share: tuple[int, int]):
     return run
 
 
-def _links(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """(a, b) links between set ids; ``sets``: sid, block, set."""
-    large = sets.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.sum(F.size("set")).alias("w")).select(
-        "block", F.greatest(F.ceil(F.col("m") / CHUNK_SETS), F.ceil(F.col("w") / CHUNK_SHINGLES)).cast("int").alias("k")
-    ).where("k > 1")
-    return _chunked(sets, "block", large).groupBy("block", "lo", "hi").applyInArrow(_block_links(share), "a long, b long")
+def _links(sets: DataFrame, members: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(a, b) links between set ids. ``sets``: sid, set; ``members``: sid, block, n.
+
+    How a block is cut is found on the narrow members; the sets move to their members and then to their
+    tasks, and no more.
+    """
+    cuts = members.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")).select(
+        "block", F.greatest(F.ceil(F.col("m") / CHUNK_SETS), F.ceil(F.col("w") / CHUNK_SHINGLES)).cast("int").alias("cuts"))
+    narrow = cut(members.join(cuts, "block").select("sid", "block", "cuts"))
+    mine = sets.join(narrow, "sid").dropDuplicates(["sid"])
+    return _chunked(mine, F.col("cuts")).drop("cuts").groupBy("block", "lo", "hi").applyInArrow(
+        _block_links(share), "a long, b long")
 
 
 def _grouped(docs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
@@ -350,12 +361,12 @@ def _grouped(docs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = written(_scan(docs, width), "ngram-scan")
     nodes = scanned.where("kind = 0").select("doc_id", "n", "sid", "th", "point")
-    postings = written(_postings(docs, width, share, _group_counts(scanned)), "ngram-postings")
+    # made twice rather than written: hashing texts again costs less than the disk for all meeting points
+    postings = _postings(docs, width, share, _group_counts(scanned))
     blocks = components(_ties(postings, nodes, share)).withColumnsRenamed({"v": "sid", "root": "block"})
     # one document stands for all with its set
-    first = cut(nodes.join(blocks, "sid").groupBy("sid", "block").agg(F.min("doc_id").alias("doc_id")))
-    sets = _sets(docs, width, _marks(first)).join(first.select("sid", "block"), "sid").dropDuplicates(["sid"])
-    links = cut(_links(written(sets.select("sid", "block", "set"), "ngram-sets"), share))
+    first = cut(nodes.join(blocks, "sid").groupBy("sid", "block", "n").agg(F.min("doc_id").alias("doc_id")))
+    links = cut(_links(_sets(docs, width, _marks(first)), first, share))
     roots = components(links).withColumnsRenamed({"v": "sid"})
     return nodes.join(roots, "sid", "left").select(
         "doc_id", "th", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("grp"))
