@@ -184,13 +184,6 @@ DATABASE_WORDS: list[str] = ["database", "db dump", "sql dump", "backup", "table
 ACCESS_WORDS: list[str] = ["access", "rdp", "shell", "vpn access", "ssh", "admin panel"]
 DISCUSSION_WORDS: list[str] = ["tutorial", "guide", "how to", "discussion", "question", "help", "ask"]
 
-# The ten category names and three confidence names.
-CATEGORIES: list[str] = [
-    "credential_leak", "database_dump", "financial_data", "personal_info", "malware_distribution",
-    "access_sale", "data_trade", "vulnerability_info", "general_discussion", "other",
-]
-CONFIDENCE_LEVELS: list[str] = ["high", "medium", "low"]
-
 # Lowest record count of each base score; zero or fewer scores 2.
 RECORD_SCORE_STEPS: list[tuple[int, int]] = [
     (100_000_000, 9), (10_000_000, 8), (1_000_000, 7), (100_000, 6), (10_000, 5), (1_000, 4), (1, 3),
@@ -249,7 +242,6 @@ FEED_PATHS: list[str] = [
     "/index.rss",
 ]
 FEED_MARKERS: list[str] = ["<rss", "<feed", "<channel>", "<?xml"]
-FEED_PROBE_CHARS = 4096
 INTERNAL_SCHEME = "internal://"
 
 # Label substrings that make an outline entry relevant.
@@ -266,7 +258,6 @@ VICTIMS_LIVE_LINK = "https://www.ransomware.live"
 VICTIMS_LOOK_PREFIX = "https://www.ransomlook.io/group/"
 VICTIMS_WATCH_PREFIX = "https://ransomwatch.telemetry.ltd/#/"
 VICTIM_CATEGORY = "ransomware"
-VICTIMS_WATCH_LIMIT = 200
 
 # Defaults of thresholds, ages and page sizes.
 DEFAULT_NOTIFY_MIN_SCORE = 5
@@ -277,7 +268,6 @@ PAGE_MAX_LIMIT = 200
 PAGE_PREVIEW_CHARS = 300
 TABLE_PREVIEW_CHARS = 64
 TABLE_PAGE_ROWS = 50
-PAGE_INPUT_CAP = 512 * 1024
 MIN_SHARE_PERCENT = 1.5
 
 # Embed colours by message kind.

@@ -44,25 +44,6 @@ def contains_any_of(bound: Column, words: Sequence[str]) -> Column:
     return F.coalesce(F.exists(word_array(wanted), lambda w: bound.contains(w)), F.lit(False))
 
 
-def first_contained(text: Column, words: Sequence[str]) -> Column:
-    """The first word, in list order, that ``text`` contains; null when none is."""
-    return first_contained_value(text, [(w, w) for w in words])
-
-
-def first_contained_value(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
-    """The value paired with the first contained word, in list order; null when none is."""
-    if not pairs:
-        return F.lit(None).cast("string")
-
-    words, values = word_array([w.lower() for w, _ in pairs]), word_array([v for _, v in pairs])
-
-    def search(t: Column) -> Column:
-        hit = F.transform(words, lambda w, i: F.when(t.contains(w), F.get(values, i)))
-        return F.get(F.array_compact(hit), F.lit(0))
-
-    return let(text, search)
-
-
 def first_class(text: Column, classes: Sequence[tuple[str, Sequence[str]]], default: str) -> Column:
     """The first class one of whose words is contained."""
 

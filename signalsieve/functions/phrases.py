@@ -1,5 +1,4 @@
-"""Wording of summaries, reports and alerts. English is the default; the second set
-keeps the wording that existing archives and subscribers use."""
+"""Wording of summaries, reports and alerts; another set can be passed wherever one is taken."""
 
 from __future__ import annotations
 
@@ -113,64 +112,6 @@ ENGLISH = Phrases(
     language="English",
 )
 
-# The established Chinese wording.
-CHINESE = Phrases(
-    vendor_summary="{site}论坛发现供应商广告或低价值帖，无实际泄露价值。",
-    combo_summary="{site}论坛发现凭证组合包（combo list），为聚合数据，非新鲜泄露。",
-    summary="{site}论坛发现{category}，{size}，数据类型：{types}。{freshness}",
-    category_names={
-        "credential_leak": "凭证泄露",
-        "database_dump": "数据库泄露",
-        "financial_data": "金融数据泄露",
-        "personal_info": "个人信息泄露",
-        "access_sale": "访问权限出售",
-        "general_discussion": "一般讨论",
-    },
-    other_category="数据泄露",
-    size_millions="涉及约{n}百万条记录",
-    size_count="涉及约{n}条记录",
-    size_unknown="规模不明",
-    types_unknown="未知",
-    types_joiner="、",
-    fresh_note="数据较新。",
-    stale_note="疑为旧数据。",
-    site_unknown="未知来源",
-    all_failed="所有分析提供者均失败，返回默认低分结果。",
-    daily_title="数据泄露监控日报 {period}",
-    weekly_title="数据泄露监控周报 {period}",
-    alltime_title="数据泄露监控总览",
-    total_line="共收集到 **{n}** 条数据泄露相关信息",
-    updated_line="最后更新时间：{at}",
-    stats_headings={"daily": "## 今日统计", "weekly": "## 本周统计", "alltime": "## 全量统计"},
-    by_source_heading="### 按数据源统计",
-    source_line="- {site}: {n} 条",
-    detail_headings={"daily": "## 今日详情", "weekly": "## 本周详情", "alltime": "## 全量详情"},
-    site_line="- **来源**: {site}",
-    found_line="- **发现时间**: {at}",
-    footer="signalsieve",
-    feed_titles={"daily": "数据泄露监控日报 RSS {period}", "weekly": "数据泄露监控周报 RSS {period}"},
-    feed_descriptions={"daily": "每日数据泄露监控RSS feed，包含{period}的最新数据泄露信息",
-                       "weekly": "每周数据泄露监控RSS feed，包含{period}的最新数据泄露信息"},
-    notice_total="共收集到 {n} 条数据泄露相关信息",
-    top_heading="\n\n📊 今日 TOP {n} 高价值情报：\n",
-    rich_site="📌 来源: `{v}`",
-    rich_targets="🎯 目标: {v}",
-    rich_types="📦 类型: {v}",
-    rich_records="📊 规模: ≈{v} 条",
-    rich_link="🔗 [查看原文]({v})",
-    plain_link="链接: ",
-    link_text="链接",
-    embed_site="来源",
-    embed_time="推送时间",
-    embed_link="链接",
-    embed_open="访问",
-    embed_daily="今日摘要",
-    embed_weekly="报告内容",
-    embed_footers={"urgent": "AI 紧急告警", "weekly": "周报", "daily": "日报",
-                   "normal": "推送", "startup": "启动"},
-    language="Simplified Chinese (简体中文)",
-)
-
 
 def fill(template: str, **columns):
     """A template with ``{name}`` slots as a concat of literals and Columns."""

@@ -66,10 +66,11 @@ def probe_candidates(bases: DataFrame, paths: Sequence[str] = tuple(fv.FEED_PATH
     ).withColumn("url", F.concat("base", "path"))
 
 
-def is_feed_payload(status: Column, body: Column) -> Column:
-    """C11: a good status and a feed marker near the start."""
-    head = F.substring(text_or_empty(body), 1, fv.FEED_PROBE_CHARS)
-    return F.coalesce(status < 400, F.lit(False)) & any_contains(head, fv.FEED_MARKERS)
+def is_feed_payload(status: Column, body: Column, head_chars: int = 0) -> Column:
+    """C11: a good status and a feed marker in the body, or in its first ``head_chars`` characters."""
+    text = text_or_empty(body)
+    looked_at = F.substring(text, 1, head_chars) if head_chars > 0 else text
+    return F.coalesce(status < 400, F.lit(False)) & any_contains(looked_at, fv.FEED_MARKERS)
 
 
 def first_live_endpoint(candidates: DataFrame, probes: DataFrame) -> DataFrame:
@@ -95,8 +96,9 @@ def toggle_key(name: Column) -> Column:
 
 
 def toggle_sources(sources: DataFrame, toggles: DataFrame) -> DataFrame:
-    """Per-source switch; ``toggles`` holds (toggle_key, enabled)."""
-    switch = toggles.select(F.col("toggle_key").alias("_key"), F.col("enabled").alias("_on"))
+    """Per-source switch; ``toggles`` holds (toggle_key, enabled). Of several toggles of one key,
+    off wins."""
+    switch = toggles.groupBy(F.col("toggle_key").alias("_key")).agg(F.bool_and("enabled").alias("_on"))
     return (
         sources.join(switch, toggle_key(F.col("name")) == F.col("_key"), "left")
         .withColumn("enabled", F.coalesce("_on", "enabled"))

@@ -120,8 +120,8 @@ def ingest_counters(
 
 def exists_link(items: DataFrame, links: DataFrame) -> DataFrame:
     """Every given link with whether it is stored."""
-    stored = items.select("link", F.lit(True).alias("_hit"))
-    # item links are unique, so the join cannot multiply rows
+    # distinct, so that the join cannot multiply rows
+    stored = items.select("link").distinct().withColumn("_hit", F.lit(True))
     return links.join(stored, "link", "left").select(
         *links.columns, F.coalesce(F.col("_hit"), F.lit(False)).alias("is_stored")
     )

@@ -15,6 +15,7 @@ from signalsieve.functions.matching import contained_words, let
 from signalsieve.functions.phrases import ENGLISH, Phrases
 from signalsieve.functions.text import effective_body, text_or_empty, trim_space
 from signalsieve.operators.scoring import RESULT_FIELDS
+from signalsieve.operators.settle import settle
 
 # Phrases pointed out to the model.
 RECORD_PHRASE = (
@@ -23,7 +24,6 @@ RECORD_PHRASE = (
 )
 SIZE_PHRASE = r"(?i)[0-9][0-9.]*+[\t\n\f\r ]*+(?:gb|tb|mb|gigabyte|terabyte)"
 CVE_ID = r"(?i)CVE-[0-9]{4}-[0-9]{4,}"
-MAX_CVES = 5
 
 PROMPT_INSTRUCTIONS = (
     "Rate the post above and answer with one JSON object of the agreed schema.\n"
@@ -32,16 +32,17 @@ PROMPT_INSTRUCTIONS = (
 )
 
 
-def signals(title: Column, body: Column) -> Column:
-    """L1: quantities, CVE ids and sensitive words found in the post; null when none."""
+def signals(title: Column, body: Column, max_cves: int = 0) -> Column:
+    """L1: quantities, all CVE ids (or the first ``max_cves``) and sensitive words of the post; null when none."""
     text = F.concat(text_or_empty(title), F.lit(" "), text_or_empty(body))
-    return let(text, _signals_of)
+    return let(text, lambda t: _signals_of(t, max_cves))
 
 
-def _signals_of(text: Column) -> Column:
+def _signals_of(text: Column, max_cves: int) -> Column:
     records = trim_space(F.regexp_extract(text, RECORD_PHRASE, 0))
     size = trim_space(F.regexp_extract(text, SIZE_PHRASE, 0))
-    cves = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(CVE_ID), F.lit(0)), 1, MAX_CVES), ", ")
+    ids = F.regexp_extract_all(text, F.lit(CVE_ID), F.lit(0))
+    cves = F.array_join(F.slice(ids, 1, max_cves) if max_cves > 0 else ids, ", ")
     words = F.array_join(contained_words(F.lower(text), fv.SENSITIVE_FIELDS), ", ")
 
     def line(label: str, value: Column) -> Column:
@@ -64,21 +65,21 @@ def prompt(max_chars: int = 0, phrases: Phrases = ENGLISH) -> Column:
 
     links = F.filter(F.transform("download_links", trim_space), lambda u: u != "")
     head = [
-        F.lit("===== POST ====="),
-        F.concat(F.lit("Forum    : "), text_or_empty(c("site_name"))),
-        F.concat(F.lit("Title    : "), title),
-        optional("PostDate : ", c("pub_date")),
-        optional("Author   : ", c("author")),
+        F.lit("--- item ---"),
+        F.concat(F.lit("site: "), text_or_empty(c("site_name"))),
+        F.concat(F.lit("title: "), title),
+        optional("dated: ", c("pub_date")),
+        optional("by: ", c("author")),
         F.when(
             F.size(links) > 0,
-            F.concat(F.lit("Downloads:\n"), F.array_join(F.transform(links, lambda u: F.concat(F.lit("  - "), u)), "\n")),
+            F.concat(F.lit("links:\n"), F.array_join(F.transform(links, lambda u: F.concat(F.lit("  - "), u)), "\n")),
         ),
-        F.when(full != "", "Content  : [full page]").otherwise("Content  : [teaser]"),
+        F.when(full != "", "text (whole page):").otherwise("text (teaser):"),
     ]
-    tail = [F.lit("================"), F.lit(PROMPT_INSTRUCTIONS.format(language=phrases.language))]
+    tail = [F.lit("--- end ---"), F.lit(PROMPT_INSTRUCTIONS.format(language=phrases.language))]
 
     def assemble(text: Column) -> Column:
-        shown = F.when(text == "", "(no content available)").otherwise(text)
+        shown = F.when(text == "", "(none)").otherwise(text)
         return F.concat_ws("\n", *head, shown, signals(title, text), *tail)
 
     return let(body, assemble)
@@ -90,22 +91,23 @@ _PARSE_SCHEMA = StructType(schemas.RESULT.fields + [StructField(_CORRUPT, String
 
 def parse_result(df: DataFrame, json_col: str = "json") -> DataFrame:
     """L3: adds ``result`` (struct) and ``error``; exactly one of them is set."""
-    parsed = df.withColumn(
-        "_r", F.from_json(F.col(json_col), _PARSE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    )
+    read = F.from_json(F.col(json_col), _PARSE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+    # settled twice, so that filters on the outcome do not spell the parser out again
+    parsed = settle(df, df.columns, {"_r": read})
     r = F.col("_r")
     score = F.coalesce(r["score"], F.lit(0))
     blank = trim_space(text_or_empty(F.col(json_col))) == ""
+    # a parser stops at the end of the first value; as the first of exactly two list items it must stand alone
+    listed = F.try_parse_json(F.concat(F.lit("["), F.col(json_col), F.lit(",0]")))
+    alone = F.coalesce(F.try_variant_get(listed, "$[1]", "int") == 0, F.lit(False)) & F.try_variant_get(
+        listed, "$[2]", "string").isNull()
     error = (
-        F.when(blank | r.isNull() | r[_CORRUPT].isNotNull(), "unparsable result")
+        F.when(blank | r.isNull() | r[_CORRUPT].isNotNull() | ~alone, "unparsable result")
         .when(~score.between(1, 10), F.concat(F.lit("score "), score.cast("string"), F.lit(" out of range [1, 10]")))
         .when(text_or_empty(r["category"]) == "", "category is empty")
     )
-    return (
-        parsed.withColumn("error", error)
-        .withColumn("result", F.when(F.col("error").isNull(), _clean_result(r)))
-        .drop("_r")
-    )
+    judged = settle(parsed, [*df.columns, "_r"], {"error": error})
+    return judged.select(*df.columns, "error", F.when(F.col("error").isNull(), _clean_result(r)).alias("result"))
 
 
 def _clean_result(r: Column) -> Column:

@@ -224,7 +224,9 @@ def page_items(
 
     ``next_created_at``/``next_id`` are set on every row while there is another page.
     """
-    size = limit if 0 < limit <= fv.PAGE_MAX_LIMIT else fv.PAGE_DEFAULT_LIMIT
+    if not 0 < limit <= fv.PAGE_MAX_LIMIT:
+        raise ValueError(f"a page has 1 to {fv.PAGE_MAX_LIMIT} rows, not {limit}")
+    size = limit
     rows = items.filter(F.col("site_name") == site) if site else items
     if cursor is not None:
         at = utc_literal(cursor.created_at)
@@ -272,23 +274,18 @@ def page_items(
 
 
 def stats(items: DataFrame, now: datetime, tz_offset_hours: int = fv.DEFAULT_TZ_OFFSET_HOURS) -> DataFrame:
-    """Q14: totals and today's count, overall (scope ``all``) and per source, in one pass."""
+    """Q14: totals and today's count per source and overall (scope ``all``, there even without items).
+
+    The overall row adds up the rows of the sources.
+    """
     today = in_range(F.col("created_at"), day_bounds(local_today(now, tz_offset_hours), tz_offset_hours))
-    return (
-        items.select("site_name", today.alias("_today"))
-        .rollup("site_name")
-        .agg(
-            F.grouping("site_name").alias("_all"),
-            F.count(F.lit(1)).alias("total_count"),
-            F.count_if(F.col("_today")).alias("today_count"),
-        )
-        .select(
-            F.when(F.col("_all") == 1, "all").otherwise("source").alias("scope"),
-            text_or_empty(F.col("site_name")).alias("site_name"),
-            "total_count",
-            "today_count",
-        )
-    )
+    by_source = items.select("site_name", today.alias("_today")).groupBy("site_name").agg(
+        F.count(F.lit(1)).alias("total_count"), F.count_if(F.col("_today")).alias("today_count"))
+    zero = F.lit(0).cast("long")
+    overall = by_source.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in ("total_count", "today_count")])
+    return by_source.select(
+        F.lit("source").alias("scope"), text_or_empty(F.col("site_name")).alias("site_name"), "total_count", "today_count"
+    ).unionByName(overall.select(F.lit("all").alias("scope"), F.lit("").alias("site_name"), "total_count", "today_count"))
 
 
 def last_7_days(

@@ -59,56 +59,42 @@ def _decision(named: Column, skip: Column) -> dict[str, Column]:
 
 
 def triage_join(
-    df: DataFrame,
-    skip_rules: DataFrame,
-    named_targets: DataFrame,
-    id_col: str = "id",
-    title_col: str = "title",
-    max_inline_rules: int = 2_000,
+    df: DataFrame, skip_rules: DataFrame, named_targets: DataFrame, title_col: str = "title"
 ) -> DataFrame:
     """F3 with the rules held in tables, ``(ord, keyword, reason)`` and ``(keyword)``.
 
-    Up to ``max_inline_rules`` rows the tables become part of the expression and no row
-    moves. Beyond that the titles meet the rules in an equi-join on short anchors.
-    """
-    budget = max_inline_rules + 1
-    if max_inline_rules > 0:
-        skips = skip_rules.select("ord", "keyword", "reason").limit(budget).collect()
-        names = named_targets.select("keyword").limit(budget).collect()
-        if len(skips) <= max_inline_rules and len(names) <= max_inline_rules:
-            book = RuleBook(
-                skip_patterns=[(r.keyword, r.reason) for r in sorted(skips, key=lambda r: r.ord)],
-                named_targets=[r.keyword for r in names],
-            )
-            return triage(df, book, title_col)
-    return _triage_by_anchor(df, skip_rules, named_targets, id_col, title_col)
+    One plan whatever the number of rules: the distinct titles give their pieces of up to ANCHOR_CHARS
+    characters, pieces that no rule starts with drop out, and what meets a rule is checked whole. Only a
+    hash of the title travels with the pieces. Verdicts belong to titles, so rows may share an id.
 
-
-def _triage_by_anchor(
-    df: DataFrame, skip_rules: DataFrame, named_targets: DataFrame, id_col: str, title_col: str
-) -> DataFrame:
-    rules = skip_rules.select("ord", F.lower("keyword").alias("keyword"), "reason").unionByName(
-        named_targets.select(
-            # targets sort before every skip rule
-            F.lit(-1).cast("int").alias("ord"),
-            F.lower("keyword").alias("keyword"),
-            F.lit(None).cast("string").alias("reason"),
-        )
-    )
-    rules = rules.withColumn("anchor", F.substring("keyword", 1, ANCHOR_CHARS))
-    titles = df.select(F.col(id_col).alias("_id"), F.lower(text_or_empty(F.col(title_col))).alias("_low"))
-    grams = titles.filter(F.char_length("_low") > 0).withColumn(
-        "anchor", F.explode(_grams(F.col("_low")))
+    Of several skip rules the smallest ``ord`` decides, then the keyword. A rule without a reason skips
+    with a null reason; null and empty keywords match nothing.
+    """
+    rules = skip_rules.select(
+        F.lit(False).alias("named"), "ord", F.lower("keyword").alias("keyword"), "reason"
+    ).unionByName(named_targets.select(
+        F.lit(True).alias("named"), F.lit(None).cast(skip_rules.schema["ord"].dataType).alias("ord"),
+        F.lower("keyword").alias("keyword"), F.lit(None).cast("string").alias("reason"),
+    )).where(F.char_length("keyword") > 0).withColumn("anchor", F.substring("keyword", 1, ANCHOR_CHARS))
+    low = F.lower(text_or_empty(F.col(title_col)))
+    titles = df.select(low.alias("_low")).distinct().withColumn("_title", F.xxhash64("_low"))
+    pieces = titles.where(F.char_length("_low") > 0).select("_title", F.explode(_grams(F.col("_low"))).alias("anchor"))
+    met = (
+        pieces.join(rules.select("anchor").distinct(), "anchor", "left_semi")
+        .join(rules, "anchor")
+        .join(titles, "_title")
+        .where(F.col("_low").contains(F.col("keyword")))
     )
-    best = (
-        grams.join(rules, "anchor")
-        .filter(F.col("_low").contains(F.col("keyword")))
-        .groupBy("_id")
-        .agg(F.min("ord").alias("_ord"), F.min_by("reason", "ord").alias("_reason"))
+    first = F.min(F.when(~F.col("named"), F.struct("ord", "keyword", "reason")))
+    best = met.groupBy("_low").agg(F.bool_or("named").alias("_named"), first.alias("_skip"))
+    joined = df.withColumn("_low", low).join(best, "_low", "left")
+    named = F.coalesce("_named", F.lit(False))
+    skipped = ~named & F.col("_skip").isNotNull()
+    return joined.select(
+        *df.columns,
+        F.when(skipped, SKIP).otherwise(ANALYZE).alias("action"),
+        F.when(named, fv.REASON_NAMED_TARGET).when(skipped, F.col("_skip.reason")).otherwise(fv.REASON_DEFAULT).alias("reason"),
     )
-    joined = df.join(best, df[id_col] == best["_id"], "left").drop("_id")
-    named = F.coalesce(F.col("_ord") == -1, F.lit(False))
-    return joined.withColumns(_decision(named, F.col("_reason"))).drop("_ord", "_reason")
 
 
 def _grams(text: Column) -> Column:

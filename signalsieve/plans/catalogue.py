@@ -29,11 +29,16 @@ class DirectoryDocuments:
     outlines: DataFrame
 
 
+def _pair(first):
+    return F.struct(first.cast("bigint").alias("first"), F.lit(0).cast("bigint").alias("second"))
+
+
 def _listed(df: DataFrame, *order: str) -> DataFrame:
     """Sources with a ``position`` that follows the given order; only comparisons of it
     count, so it may have gaps."""
-    first, second = F.col(order[0]).cast("bigint"), F.col(order[1]).cast("bigint") if len(order) > 1 else F.lit(0)
-    return df.select("name", "rss_url", F.lit(True).alias("enabled"), (first * 100_000 + second).alias("position"))
+    first, second = F.col(order[0]).cast("bigint"), F.col(order[1] if len(order) > 1 else order[0]).cast("bigint")
+    place = F.struct(first.alias("first"), second.alias("second"))
+    return df.select("name", "rss_url", F.lit(True).alias("enabled"), place.alias("position"))
 
 
 def discovered_sources(docs: DirectoryDocuments, probes: DataFrame) -> DataFrame:
@@ -45,7 +50,7 @@ def discovered_sources(docs: DirectoryDocuments, probes: DataFrame) -> DataFrame
 
     maps = named_feed_map(docs.feed_maps).select(
         # a map has no order of its own; its keys give one
-        "name", "rss_url", F.lit(True).alias("enabled"), F.xxhash64("feed_key").alias("position")
+        "name", "rss_url", F.lit(True).alias("enabled"), _pair(F.xxhash64("feed_key")).alias("position")
     )
     lists = [
         _listed(live(docs.forum_lines, "same_cell"), "line_no", "ord"),

@@ -123,14 +123,14 @@ def _(spark, sf):
 SELECT '[' || upper(lang) || '] Shop ' || doc_id || ' ' || i AS title, '{fv.VICTIMS_WATCH_PREFIX}' || lang || '/shop-' || doc_id || '-' || i AS link,
   '2024-01-05' AS pub_date, '' AS author, 'ransomware' AS category,
   'Ransomware group ' || lang || ' claimed victim: Shop ' || doc_id || ' ' || i AS content, '' AS full_content, {_EMPTY_ARRAY},
-  CAST(i AS INTEGER) AS position FROM documents, range(2) r(i)""")
+  CAST(i AS INTEGER) AS position FROM documents, range(3) r(i)""")
 def _(spark, sf):
     d = c("doc_id").cast("string")
     posts = [
         {"post_title": F.concat(lit("Shop "), d, lit(f" {i}")), "group_name": c("lang"), "discovered": lit("2024-01-05")}
         for i in range(3)
     ]
-    return V.scan_victims_watch(_victims(spark, sf, *posts), limit=2)
+    return V.scan_victims_watch(_victims(spark, sf, *posts))
 
 
 @query("s6_page_main_text")
@@ -338,7 +338,7 @@ def _(spark, sf):
     return _candidates(spark, sf)
 
 
-_FEED_MARK = any_in("substr(body, 1, 4096)", fv.FEED_MARKERS)
+_FEED_MARK = any_in("body", fv.FEED_MARKERS)
 
 
 @query("c10_first_live_endpoint", f"""WITH {_PROBES}

@@ -21,17 +21,17 @@ def _signals_sql(text: str) -> str:
     || CASE WHEN v <> '' THEN chr(10) || '  CVEs: ' || v ELSE '' END || CASE WHEN w <> '' THEN chr(10) || '  SensitiveFields: ' || w ELSE '' END END
   FROM (SELECT trim(regexp_extract(t, '(?i)(\d[\d,\.]*)\s*(million|m|k|thousand|billion)?\s*({nouns})')) AS a,
     trim(regexp_extract(t, '(?i)(\d[\d\.]*)\s*(gb|tb|mb|gigabyte|terabyte)')) AS b,
-    array_to_string(regexp_extract_all(t, '(?i)CVE-\d{{4}}-\d{{4,}}')[1:5], ', ') AS v,
+    array_to_string(regexp_extract_all(t, '(?i)CVE-\d{{4}}-\d{{4,}}'), ', ') AS v,
     array_to_string(list_filter({sql_list(fv.SENSITIVE_FIELDS)}, lambda w: contains(lower(t), w)), ', ') AS w
     FROM (SELECT {text} AS t) t0) t1)"""
 
 
-_EXTRA = "' seen CVE-2024-' || (10000 + x.id) || ' and cve-2023-1 in 2.5 GB'"
+_EXTRA = "' seen CVE-2024-' || (10000 + x.id) || ' and cve-2023-1 in 2.5 GB' || repeat(' CVE-2021-44228', 7)"
 
 
 @query("l1_signals", f"WITH {ITEMS_ALL} SELECT id, {_signals_sql('x.title || chr(32) || x.content || ' + _EXTRA)} AS signals FROM it_all x")
 def _(spark, sf):
-    extra = F.concat(lit(" seen CVE-2024-"), (c("id") + 10000).cast("string"), lit(" and cve-2023-1 in 2.5 GB"))
+    extra = F.concat(lit(" seen CVE-2024-"), (c("id") + 10000).cast("string"), lit(" and cve-2023-1 in 2.5 GB" + " CVE-2021-44228" * 7))
     return items_all(spark, sf, heavy=True).select(
         "id", L.signals(c("title"), F.concat("content", extra)).alias("signals")
     )
@@ -41,11 +41,11 @@ _BODY = r"regexp_replace(CASE WHEN x.full_content <> '' THEN x.full_content ELSE
 
 
 @query("l2_build_prompt", f"""WITH {ITEMS_ALL}
-SELECT id, concat_ws(chr(10), '===== POST =====', 'Forum    : ' || site_name, 'Title    : ' || title,
-  CASE WHEN pub_date <> '' THEN 'PostDate : ' || pub_date END, CASE WHEN author <> '' THEN 'Author   : ' || author END,
-  'Downloads:' || chr(10) || '  - ' || download_links[1],
-  CASE WHEN full_content <> '' THEN 'Content  : [full page]' ELSE 'Content  : [teaser]' END, CASE WHEN {_BODY} = '' THEN '(no content available)' ELSE {_BODY} END,
-  {_signals_sql('x.title || chr(32) || ' + _BODY)}, '================',
+SELECT id, concat_ws(chr(10), '--- item ---', 'site: ' || site_name, 'title: ' || title,
+  CASE WHEN pub_date <> '' THEN 'dated: ' || pub_date END, CASE WHEN author <> '' THEN 'by: ' || author END,
+  'links:' || chr(10) || '  - ' || download_links[1],
+  CASE WHEN full_content <> '' THEN 'text (whole page):' ELSE 'text (teaser):' END, CASE WHEN {_BODY} = '' THEN '(none)' ELSE {_BODY} END,
+  {_signals_sql('x.title || chr(32) || ' + _BODY)}, '--- end ---',
   'Rate the post above and answer with one JSON object of the agreed schema.',
   'Write the summary field in English.',
   'A download list is a sign that data exists. With little evidence choose the lower score.') AS prompt FROM it_all x""")
@@ -53,7 +53,7 @@ def _(spark, sf):
     return items_all(spark, sf, heavy=True).select("id", L.prompt().alias("prompt"))
 
 
-# answers of two invented providers, in eight shapes by id
+# answers of two invented providers, in ten shapes by id
 _GOOD = ('{{"score": {score}, "category": "database_dump", "tags": ["a", "b"], "summary": "s", "affected_targets": ["t"], '
          '"estimated_records": 10, "data_types": ["email"], "is_urgent": true, "confidence_level": "high", "reasoning": "r"}}')
 _SHAPES = [
@@ -65,6 +65,8 @@ _SHAPES = [
     '{"score": 4, "category": "other", "unknown": 1}',
     '{"score": 5, "category": "other", "tags": 3}',
     "",
+    '{"score": 7, "category": "other"} Hope this helps',
+    '{"score": 7, "category": "other"} {"score": 8, "category": "other"}',
 ]
 
 
@@ -93,20 +95,20 @@ FROM (SELECT *, CASE WHEN ok THEN coalesce(TRY_CAST(json_extract_string(j, '$.sc
       FROM (SELECT *, CASE WHEN json_valid(json) THEN json END AS j, json <> '' AND json_valid(json) AS ok FROM {source}) p0) p1"""
 
 
-@query("l3_parse_result", f"""WITH src AS (SELECT doc_id, {_answer_sql('doc_id % 8', '1 + doc_id % 10')} AS json FROM documents),
+@query("l3_parse_result", f"""WITH src AS (SELECT doc_id, {_answer_sql('doc_id % 10', '1 + doc_id % 9')} AS json FROM documents),
 p AS ({_PARSED.format(source='src')})
 SELECT doc_id, error, CASE WHEN error IS NULL THEN score END AS score, CASE WHEN error IS NULL THEN cat END AS category,
   CASE WHEN error IS NULL THEN tags END AS tags FROM p""")
 def _(spark, sf):
     d = c("doc_id")
-    rows = table(spark, sf, "documents").select("doc_id", _answer(d % 8, d % 10 + 1).alias("json"))
+    rows = table(spark, sf, "documents").select("doc_id", _answer(d % 10, d % 9 + 1).alias("json"))
     out = L.parse_result(rows)
     return out.select("doc_id", "error", *[c(f"result.{n}").alias(n) for n in ("score", "category", "tags")])
 
 
 _PROVIDED = f"""results AS (
-  SELECT id AS item_id, 'alpha' AS provider, 0 AS ord, {_answer_sql('id % 8', '1 + id % 10')} AS json, NULL AS call_error FROM it
-  UNION ALL SELECT id, 'beta', 1, {_answer_sql('(id // 8) % 8', '10 - id % 10')}, CASE WHEN id % 5 = 0 THEN 'timeout' END FROM it),
+  SELECT id AS item_id, 'alpha' AS provider, 0 AS ord, {_answer_sql('id % 10', '1 + id % 9')} AS json, NULL AS call_error FROM it
+  UNION ALL SELECT id, 'beta', 1, {_answer_sql('(id // 10) % 10', '10 - id % 9')}, CASE WHEN id % 5 = 0 THEN 'timeout' END FROM it),
 first_ok AS (SELECT item_id, provider, score, cat FROM ({_PARSED.format(source='results')}) p
   WHERE error IS NULL AND call_error IS NULL QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY ord) = 1)"""
 
@@ -115,11 +117,11 @@ def provider_results(items):
     i = c("id")
     alpha = items.select(
         i.alias("item_id"), lit("alpha").alias("provider"), lit(0).alias("ord"),
-        _answer(i % 8, i % 10 + 1).alias("json"), lit(None).cast("string").alias("error"),
+        _answer(i % 10, i % 9 + 1).alias("json"), lit(None).cast("string").alias("error"),
     )
     beta = items.select(
         i.alias("item_id"), lit("beta").alias("provider"), lit(1).alias("ord"),
-        _answer(F.floor(i / 8) % 8, 10 - i % 10).alias("json"), F.when(i % 5 == 0, "timeout").alias("error"),
+        _answer(F.floor(i / 10) % 10, 10 - i % 9).alias("json"), F.when(i % 5 == 0, "timeout").alias("error"),
     )
     return alpha.unionByName(beta)
 

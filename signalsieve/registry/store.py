@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ from signalsieve.registry.views import (
     items_unique,
     table,
 )
-from signalsieve.sources.tables import read_table
+from signalsieve.session import ensure_checkpoint_dir
+from signalsieve.sources.tables import scan_analysis, scan_items
 
 c = F.col
 SINCE, UNTIL = datetime(2024, 1, 5), datetime(2024, 1, 15)
@@ -27,18 +29,22 @@ NOTIFIED_BEFORE = datetime(2024, 1, 8)
 DAY = date(2024, 1, 5)
 
 
-@query("s5_scan_tables", """
-SELECT doc_id AS id, text AS content, lang AS category, '' AS full_content, '' AS author FROM documents""")
+@query("s5_scan_tables", f"""WITH {ITEMS}
+SELECT id, title, link, pub_date, author, category, content, full_content, array_to_string(download_links, '|') AS download_links,
+  site_name, {stamp('created_at')} AS created_at FROM it""")
 def _(spark, sf):
-    from pyspark.sql.types import LongType, StringType, StructField, StructType
+    """The items written as a table and scanned back."""
+    path = f"{ensure_checkpoint_dir(spark)}/items-{uuid.uuid4().hex}"
+    items_unique(spark, sf).select(*schemas.ITEMS.fieldNames()).write.parquet(path)
+    return scan_items(spark, path)
 
-    stored = StructType(
-        [StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType())]
-    )
-    rows = read_table(spark, f"{sf}/documents.parquet", stored).select(
-        c("doc_id").alias("id"), c("text").alias("content"), c("lang").alias("category")
-    )
-    return schemas.conform(rows, schemas.ITEMS).select("id", "content", "category", "full_content", "author")
+
+@query("s5_scan_analysis", f"""WITH {ANALYSIS}
+SELECT item_id, {RESULT_COLUMNS}, model_used, {stamp('analyzed_at')} AS analyzed_at FROM an""")
+def _(spark, sf):
+    path = f"{ensure_checkpoint_dir(spark)}/analysis-{uuid.uuid4().hex}"
+    analysis_unique(spark, sf).write.parquet(path)
+    return scan_analysis(spark, path)
 
 
 # ── dedup and incremental filters ─────────────────────────────────────────────────────

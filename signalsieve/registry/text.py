@@ -22,6 +22,7 @@ from signalsieve.registry.base import (
 from signalsieve.registry.views import items_all, table
 
 c = F.col
+lit = F.lit
 
 
 @query("t1_strip_html", r"""
@@ -176,9 +177,29 @@ def _(spark, sf):
     return TR.triage_join(items_all(spark, sf), *_rule_tables(spark)).select("id", "action", "reason")
 
 
+_TABLE_RULES = """WITH t AS (
+  SELECT doc_id % 97 AS id, CASE doc_id % 4 WHEN 0 THEN 'a Data dump' WHEN 1 THEN 'data and named thing' WHEN 2 THEN 'bare rule' ELSE 'x ' || lang END AS title
+  FROM documents)
+SELECT id, title, CASE WHEN contains(title, 'named') THEN 'analyze' WHEN contains(lower(title), 'data') OR title = 'bare rule' THEN 'skip' ELSE 'analyze' END AS action,
+  CASE WHEN contains(title, 'named') THEN 'named target detected' WHEN contains(lower(title), 'data') THEN 'before all' WHEN title = 'bare rule' THEN NULL
+       ELSE 'passed default' END AS reason FROM t"""
+
+
+@query("f4_triage_join_odd_rules", _TABLE_RULES)
+def _(spark, sf):
+    """Shared ids, a negative ord, a rule without a reason."""
+    d = c("doc_id")
+    title = (F.when(d % 4 == 0, "a Data dump").when(d % 4 == 1, "data and named thing").when(d % 4 == 2, "bare rule")
+             .otherwise(F.concat(lit("x "), c("lang"))))
+    rows = table(spark, sf, "documents").select((d % 97).alias("id"), title.alias("title"))
+    skips = spark.createDataFrame([(-1, "data", "before all"), (3, "dump", "late"), (4, "bare", None), (0, "", "empty"), (0, None, "none")],
+                                  "ord int, keyword string, reason string")
+    return TR.triage_join(rows, skips, spark.createDataFrame([("Named",)], "keyword string"))
+
+
 @query("f4_triage_join_by_anchor", _TRI + " SELECT id, action, reason FROM tri")
 def _(spark, sf):
-    rows = TR.triage_join(items_all(spark, sf), *_rule_tables(spark), max_inline_rules=0)
+    rows = TR.triage_join(items_all(spark, sf), *_rule_tables(spark))
     return rows.select("id", "action", "reason")
 
 

@@ -57,14 +57,6 @@ ANALYSIS = StructType(
 
 NOTIFIED = _struct(("item_id", LongType()))
 
-SOURCES = _struct(
-    ("name", StringType()),
-    ("rss_url", StringType()),
-    ("enabled", BooleanType()),
-    ("tags", _TEXTS),
-    ("note", StringType()),
-)
-
 VICTIMS_LIVE = _struct(
     *[(n, StringType()) for n in
       ("victim", "group", "attackdate", "claim_url", "description", "country", "activity")]

@@ -18,6 +18,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None) -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.signalsieve.inputPartitions", str(cores) if str(cores).isdigit() else "8")
         .config("spark.driver.memory", os.environ.get("SIEVE_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -28,14 +29,19 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None) -
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a scratch folder
-    only where none is named (tests, local runs)."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    A local session (tests, bench) that names none gets a scratch folder of its own; a cluster
+    session is an error, because its machines share no local folder.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
+    if not named and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
     folder = named or tempfile.mkdtemp(prefix="sieve-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -13,24 +13,29 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalsieve.functions.fixed_values import PAGE_INPUT_CAP
-
 # workers get this helper by value, so a job needs no extra files on the executors
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-DROPPED = {"script", "style", "nav", "header", "footer", "aside", "form", "noscript", "iframe", "svg",
+DROPPED = {"script", "style", "nav", "header", "footer", "aside", "noscript", "iframe", "svg",
            "template", "button", "select", "head"}
-BOILERPLATE = re.compile(r"\b(ad|ads|advert|banner|breadcrumb|cookie|menu|promo|related|share|sidebar|social)\b", re.I)
+# first parts of class and id names, such as the whole of "sidebar" and the first part of "ad-top"
+BOILERPLATE = {"ad", "ads", "advert", "banner", "breadcrumb", "cookie", "menu", "promo", "related", "share", "sidebar", "social"}
+FAIR_SHARE = 0.3  # of a page's text, for its article to be taken alone
 BLOCKS = {"p", "div", "section", "ul", "ol", "table", "tr", "pre", "figure", "article", "main", "body", "dl"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 MARKS = {"b": "**", "strong": "**", "em": "*", "i": "*", "code": "`"}
 
 
+def _boilerplate(named: str) -> bool:
+    return any(re.split("[-_]", name)[0] in BOILERPLATE for name in named.lower().split())
+
+
 class _Reader(HTMLParser):
     def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
         self.url = url
         self.muted: list[str] = []  # open tags since a dropped one
+        self.open: list[str] = []  # open tags around it
         self.parts: dict[str, list[str]] = {"article": [], "main": [], "body": []}
         self.inside = {"article": 0, "main": 0}
         self.links: list[str] = []
@@ -48,11 +53,13 @@ class _Reader(HTMLParser):
         named = f"{at.get('class') or ''} {at.get('id') or ''}"
         inner = self.inside["article"] or self.inside["main"]
         if tag in DROPPED and not (tag == "header" and inner) or (
-            tag not in ("article", "main", "body", "html") and BOILERPLATE.search(named)
+            tag not in ("article", "main", "body", "html") and _boilerplate(named)
         ):
             if tag not in VOID:
                 self.muted.append(tag)
             return
+        if tag not in VOID:
+            self.open.append(tag)
         if tag in self.inside:
             self.inside[tag] += 1
         if re.fullmatch("h[1-6]", tag):
@@ -76,7 +83,13 @@ class _Reader(HTMLParser):
             if tag in self.muted:
                 while self.muted.pop() != tag:
                     pass
-            return
+                return
+            if tag not in self.open:
+                return
+            self.muted.clear()  # an unclosed dropped element ends with its parent
+        if tag in self.open:
+            while self.open.pop() != tag:
+                pass
         if tag in MARKS:
             self._emit(MARKS[tag])
         elif tag == "a" and self.links:
@@ -99,7 +112,9 @@ def main_text(html: str | None, url: str | None = "") -> str | None:
         reader.close()
     except (AssertionError, ValueError):
         return None
-    for place in ("article", "main", "body"):
+    sizes = {place: sum(len(x.split()) for x in parts) for place, parts in reader.parts.items()}
+    fair = [p for p in ("article", "main") if sizes[p] >= FAIR_SHARE * sum(sizes.values())]
+    for place in [*fair, *sorted(sizes, key=sizes.get, reverse=True)]:
         text = "".join(reader.parts[place])
         text = re.sub(r"[ \t]*\n[ \t]*", "\n", re.sub(r"\*\*\s*\*\*|\[\s*\]\([^)]*\)", "", text))
         text = re.sub(r"\n{3,}", "\n\n", text).strip()
@@ -108,9 +123,9 @@ def main_text(html: str | None, url: str | None = "") -> str | None:
     return None
 
 
-def page_main_text(pages: DataFrame, max_bytes: int = PAGE_INPUT_CAP) -> DataFrame:
-    """(page_id, url, html) rows to (page_id, url, full_content). Input beyond ``max_bytes``
-    is not read, as when the page was loaded; 0 reads everything."""
+def page_main_text(pages: DataFrame, max_bytes: int = 0) -> DataFrame:
+    """(page_id, url, html) rows to (page_id, url, full_content), from whole pages. With ``max_bytes``
+    set, input beyond it is not read, as when a page was loaded in part."""
     cap = F.col("html")
     if max_bytes > 0:
         # characters first (cheap, JVM-side), exact bytes in the worker

@@ -21,11 +21,14 @@ def scan_analysis(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, schemas.ANALYSIS)
 
 
+INPUT_PARTITIONS = "spark.signalsieve.inputPartitions"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when a table has fewer splits than cores (one small file).
+    """``df`` dealt over as many partitions as the setting INPUT_PARTITIONS states; as it is where it is unset.
 
-    Tables with enough splits come back unchanged: at scale nothing is shuffled. For plain
-    scans only; counting the splits of a plan with shuffles would run it.
+    For machines with more cores than a small table has splits. At scale leave it unset: scans have
+    splits enough, and nothing is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(parts)) if parts else df

@@ -11,10 +11,14 @@ from signalsieve.functions import fixed_values as fv
 from signalsieve.functions.text import first_filled, text_or_empty
 
 
-def read_victims(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Landed JSON files, one top-level array each, as (site_name, json) payload rows need no
-    parsing; this reads them straight into records with the file they came from."""
-    return spark.read.schema(schema).json(path, multiLine=True).withColumn("payload", F.input_file_name())
+def read_victims(spark: SparkSession, path: str) -> DataFrame:
+    """Landed JSON files, one array each, as the (site_name, json) rows that S2 to S4 take.
+
+    A file is one row; its name without the ending is the site.
+    """
+    files = spark.read.text(path, wholetext=True)
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return files.select(name.alias("site_name"), F.col("value").alias("json"))
 
 
 def explode_payloads(payloads: DataFrame, schema: StructType) -> DataFrame:
@@ -85,8 +89,8 @@ def scan_victims_look(payloads: DataFrame) -> DataFrame:
     )
 
 
-def scan_victims_watch(payloads: DataFrame, limit: int = fv.VICTIMS_WATCH_LIMIT) -> DataFrame:
-    """The first ``limit`` posts of each list (newest first in the file)."""
+def scan_victims_watch(payloads: DataFrame, limit: int = 0) -> DataFrame:
+    """All posts of each list, or its first ``limit`` (newest first in the file)."""
     rows = explode_payloads(payloads, schemas.VICTIMS_WATCH)
     if limit > 0:
         rows = rows.filter(F.col("position") < limit)

@@ -10,19 +10,21 @@ def test_signals(values):
     assert got[1] is None
     assert got[2] == "PreExtracted:\n  SensitiveFields: passport, iban"
     assert got[3] == "PreExtracted:\n  Records: 300,000users"
-    assert got[4].count("CVE-") == 5
+    assert got[4].count("CVE-") == 7
+    assert values(lambda x: L.signals(x, F.lit(""), 5), [" ".join(f"CVE-2024-{1000 + i}" for i in range(7))])[0].count("CVE-") == 5
 
 
 def test_parse_result(spark):
     texts = ['{"score": 7, "category": "x", "tags": ["a"], "other": {}}', '{"score": 7', "", None, '{"score": 0, "category": "x"}',
              '{"score": 11, "category": "x"}', '{"score": 3, "category": ""}', '{"category": "x"}', '{"score": "x", "category": "x"}',
-             '{"score": 7.5, "category": "x"}']
+             '{"score": 7.5, "category": "x"}', '{"score": 7, "category": "x"} Hope this helps',
+             '{"score": 7, "category": "x"}\n{"score": 8, "category": "x"}', ' {"score": 7, "category": "x"}\n ']
     df = spark.createDataFrame(list(enumerate(texts)), "i int, json string")
     rows = L.parse_result(df).orderBy("i").collect()
     assert [r.error for r in rows] == [
         None, "unparsable result", "unparsable result", "unparsable result", "score 0 out of range [1, 10]",
         "score 11 out of range [1, 10]", "category is empty", "score 0 out of range [1, 10]", "unparsable result",
-        "unparsable result"]
+        "unparsable result", "unparsable result", "unparsable result", None]
     assert rows[0].result.tags == ["a"] and rows[0].result.data_types == [] and rows[1].result is None
 
 
@@ -54,3 +56,10 @@ def test_rubric(spark):
                                "id long, score int, confidence_level string, is_urgent boolean")
     assert {r.id: r.violations for r in L.rubric_check(df).collect()} == {
         1: ["low confidence above 4"], 2: ["urgent below 8"]}
+
+
+def test_the_parser_stands_once_in_a_plan(spark, tmp_path):
+    df = spark.createDataFrame([(1, "p", 0, "{}", None)], "item_id long, provider string, ord int, json string, error string")
+    df.write.parquet(str(tmp_path / "r"))
+    plan = L.first_valid(spark.read.parquet(str(tmp_path / "r")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") == 1

@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from signalsieve.functions import fixed_values as fv
 from signalsieve.functions.fixed_values import DEFAULT_RULES, RuleBook
-from signalsieve.functions.phrases import CHINESE
+from dataclasses import replace
+
+from signalsieve.functions.phrases import ENGLISH
 from signalsieve.operators.scoring import score_items
 from signalsieve.operators.triage import triage, triage_join
 
@@ -26,7 +28,7 @@ def test_triage_order(spark):
     ]
     skips = spark.createDataFrame([(i, k, r) for i, (k, r) in enumerate(fv.SKIP_PATTERNS)], "ord int, keyword string, reason string")
     names = spark.createDataFrame([(k,) for k in fv.NAMED_TARGETS], "keyword string")
-    for out in (triage(df), triage_join(df, skips, names), triage_join(df, skips, names, max_inline_rules=0)):
+    for out in (triage(df), triage_join(df, skips, names)):
         assert [(r.action, r.reason) for r in out.orderBy("id").collect()] == want
 
 
@@ -34,10 +36,20 @@ def test_triage_join_short_keywords(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "éx"), (3, "")], "id long, title string")
     skips = spark.createDataFrame([(0, "b", "one"), (1, "éx", "two"), (2, "a", "late")], "ord int, keyword string, reason string")
     names = spark.createDataFrame([], "keyword string")
-    rows = triage_join(df, skips, names, max_inline_rules=0).orderBy("id").collect()
+    rows = triage_join(df, skips, names).orderBy("id").collect()
     assert [r.reason for r in rows] == ["one", "two", "passed default"]
 
 
+def test_triage_join_odd_rules(spark):
+    df = spark.createDataFrame([(1, "good target"), (1, "plain title"), (2, "old dump"), (3, "bare rule"), (4, None)], "id long, title string")
+    skips = spark.createDataFrame([(-1, "old", "first"), (0, "dump", "second"), (1, "bare", None), (2, None, "x"), (3, "", "y")],
+                                  "ord int, keyword string, reason string")
+    names = spark.createDataFrame([("TARGET",), (None,)], "keyword string")
+    rows = {(r.title, r.action, r.reason) for r in triage_join(df, skips, names).collect()}
+    assert rows == {("good target", "analyze", "named target detected"), ("plain title", "analyze", "passed default"),
+                    ("old dump", "skip", "first"), ("bare rule", "skip", None), (None, "analyze", "passed default")}
+
+
 def test_vendor_beats_everything(spark):
     [r] = scored(spark, [("5 million email password telegram @x", "fresh combolist", "leakbase")])
     assert (r.score, r.category, r.tags, r.estimated_records) == (2, "general_discussion", ["vendor-ad", "low-value"], -1)
@@ -85,9 +97,10 @@ def test_urgent_threshold_is_a_parameter(spark):
 
 def test_wording(spark):
     row = ("5 million email password latest", "", "")
-    [en], [zh] = scored(spark, [row]), scored(spark, [row], phrases=CHINESE)
+    other = replace(ENGLISH, site_unknown="somewhere", types_joiner=" + ", fresh_note=" New!")
+    [en], [own] = scored(spark, [row]), scored(spark, [row], phrases=other)
     assert en.summary == "unknown source: credential leak, about 5 million records, data types: email, password. Data looks recent."
-    assert zh.summary == "未知来源论坛发现凭证泄露，涉及约5百万条记录，数据类型：email、password。数据较新。"
+    assert own.summary == "somewhere: credential leak, about 5 million records, data types: email + password. New!"
     assert en.reasoning == ("Rule-based: base=7, datatype_boost=2, freshness=1, site=0 -> final=10. "
                             "Records=5000000, types=[email password]")
 

@@ -9,7 +9,7 @@ from signalsieve.sources import directories as DIR
 from signalsieve.sources import victims as V
 from signalsieve.sources.feeds import author_name, feed_date, read_feed_files, scan_feed_xml
 from signalsieve.sources.pages import main_text, page_main_text
-from signalsieve.sources.tables import scan_items, spread
+from signalsieve.sources.tables import INPUT_PARTITIONS, scan_items, spread
 
 
 def test_feed_dates_and_authors(values):
@@ -59,12 +59,13 @@ def test_victim_lists(spark, tmp_path):
     assert (b.title, b.link, b.content, b.pub_date) == ("[G] W", "https://c", "", "")
     posts = [{"post_title": f"P {i}", "group_name": "G"} for i in range(250)] + [{"post_title": ""}]
     df = spark.createDataFrame([("s", json.dumps(posts))], "site_name string, json string")
-    assert V.scan_victims_watch(df).count() == 200
+    assert V.scan_victims_watch(df).count() == 250 and V.scan_victims_watch(df, 200).count() == 200
     assert V.scan_victims_watch(df, limit=0).count() == 250
     [look] = V.scan_victims_look(df.limit(1)).filter("position = 3").collect()
     assert look.link == fv.VICTIMS_LOOK_PREFIX + "g#p-3"
     (tmp_path / "v.json").write_text(json.dumps(live, indent=1))
-    assert V.read_victims(spark, str(tmp_path / "v.json"), schemas.VICTIMS_LIVE).count() == 2
+    landed = V.read_victims(spark, str(tmp_path / "v.json"))
+    assert landed.first().site_name == "v" and V.scan_victims_live(landed).count() == 2
 
 
 def test_main_text(spark):
@@ -73,6 +74,10 @@ def test_main_text(spark):
     assert main_text(html, "https://e.org/p") == "# Head\n\nOne **two** [link](https://e.org/x)\n\n- a\n- b"
     assert main_text("<body><p>only</p></body>", "") == "only"
     assert main_text("<nav>x</nav>", "") is None and main_text(None, "") is None
+    assert main_text('<div class="wrap no-sidebar"><p>kept</p></div><div class="ad-top">x</div>') == "kept"
+    assert main_text("<form><p>forum post</p></form>") == "forum post"
+    assert main_text("<div><nav>unclosed</div><p>rest</p>") == "rest"
+    assert main_text("<article>hi</article><div>" + "long text " * 9 + "</div>") == ("long text " * 9).strip()
     df = spark.createDataFrame([(1, "u", html), (2, "u", ""), (3, "u", "<p>" + "é" * 50)], "page_id long, url string, html string")
     rows = {r.page_id: r.full_content for r in page_main_text(df, max_bytes=0).collect()}
     assert rows[2] is None and rows[1].startswith("# Head") and len(rows[3]) == 50
@@ -134,7 +139,9 @@ def test_probing(spark):
         [("https://a/feed/", 200, "<rss"), ("https://a/rss.xml", 200, "<feed"), ("https://b/feed/", 200, "<html>"),
          ("https://b/rss.xml", 404, "<rss"), ("https://b/index.rss", None, "<rss")], "url string, status int, body string")
     assert [(r.base, r.rss_url) for r in C.first_live_endpoint(cand, probes).collect()] == [("https://a", "https://a/feed/")]
-    late = probes.select(C.is_feed_payload(F.lit(200), F.concat(F.repeat(F.lit(" "), 4096), "body")).alias("x"))
+    late_body = F.concat(F.repeat(F.lit(" "), 4096), "body")
+    assert probes.select(C.is_feed_payload(F.lit(200), late_body).alias("x")).where("x").count() > 0
+    late = probes.select(C.is_feed_payload(F.lit(200), late_body, 4096).alias("x"))
     assert not any(r.x for r in late.collect())
     sources = spark.createDataFrame([("i", "internal://x"), ("l", "https://a/feed/"), ("d", "https://dead")], "name string, rss_url string")
     assert sorted(r.name for r in C.alive_sources(sources, probes).collect()) == ["i", "l"]
@@ -151,10 +158,13 @@ def test_scan_items_adds_columns(spark, tmp_path):
     assert scan_items(spark, str(tmp_path / "i")).columns == schemas.ITEMS.fieldNames()
 
 
-def test_spread_leaves_split_input_alone(spark):
-    wide = spark.range(100, numPartitions=16)
-    assert spread(wide) is wide
-    assert spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == 8
+def test_spread_follows_its_setting(spark):
+    df = spark.range(10, numPartitions=1)
+    assert spread(df).rdd.getNumPartitions() == int(spark.conf.get(INPUT_PARTITIONS))
+    own = spark.newSession()
+    own.conf.unset(INPUT_PARTITIONS)
+    if own.conf.get(INPUT_PARTITIONS, None) is None:
+        assert spread(own.range(10, numPartitions=1)).rdd.getNumPartitions() == 1
 
 
 def test_resolve_catalogue(spark):

@@ -1,3 +1,4 @@
+import pytest
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -132,7 +133,8 @@ def test_pages_concatenate_to_everything(spark):
             break
         cursor = Q.Cursor(page[0].next_created_at, page[0].next_id)
     assert seen == list(range(22, -1, -1))
-    assert Q.page_items(df, an, limit=500).count() == 23  # out of range falls back to 50
+    with pytest.raises(ValueError):
+        Q.page_items(df, an, limit=500)
     row = Q.page_items(df, an).filter("id = 3").first()
     assert row.ai_score == 9 and row.ai_summary == "sum"
 

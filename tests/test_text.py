@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from signalsieve.functions import fixed_values as fv
 from signalsieve.functions import text as T
 from signalsieve.functions.keywords import KeywordIndex
-from signalsieve.functions.matching import any_contains, contained_words, first_contained
+from signalsieve.functions.matching import any_contains, contained_words
 from signalsieve.functions.numbers import max_records, records_score
 
 
@@ -77,7 +77,6 @@ def test_records_score_steps(values):
 
 def test_matching_helpers(values):
     assert values(lambda x: any_contains(x, ["b", "ab"]), ["xaby", "", None]) == [True, False, False]
-    assert values(lambda x: first_contained(x, ["zz", "b", "a"]), ["a b", "a", ""]) == ["b", "a", None]
     assert values(lambda x: contained_words(x, ["a", "c", "b"]), ["abc"]) == [["a", "c", "b"]]
 
 
