@@ -7,13 +7,14 @@ A document is the set of its distinct shingles of SHINGLE words. The join finds
 and gives each document the smallest id it reaches over links.
 
 1. One pass hashes the shingles and gives each document its set's size and id (equal sets share one, so
-   exact copies are one node) and its point: the counts of its shingles in GROUPS hash groups. It also
-   counts shingles over all documents in a fixed number of finer groups.
+   exact copies are one node) and its point: the counts of its shingles by hash group, with more groups
+   for longer texts. It also counts shingles over all documents in a fixed number of finer groups.
 2. Two linked sets share one of their first ``n - ceil(0.85 n) + 1`` shingles in any common order. The
    order is by that count, rarest group first, so that a passage in a third of all documents is not a
    meeting point. Shingles met by one set only are dropped.
 3. The sets of a meeting point are searched by an R-tree over their points with a bound that no overlap
-   exceeds, the summed minima of coordinates. Pairs that pass are candidates; a meeting point gives only
+   exceeds, the summed minima of coordinates. (Texts whose points differ in length are compared in the
+   shorter one's groups, which the longer one's fold into.) Pairs that pass are candidates; a meeting point gives only
    as many as connect what all its candidates connect. Their components are the blocks: no link crosses
    them.
 4. Inside a block, the R-tree is built anew over points with more groups, and what passes its bound is
@@ -45,13 +46,13 @@ from signalsieve.llm.words import hash_words, mixed, shingles, slices, split
 
 SHINGLE = 4
 SHARE = (85, 100)
-GROUPS = 32  # coordinates of a document's point
+LEVELS = (5, 10)  # a document's point has 2 ** 5 to 2 ** 10 coordinates, about one to eight shingles
 ORDER_BITS = 18  # hash groups whose counts order the shingles: 2 MB on the driver and in a task
 SEEN_BITS = 22  # marks of document ids that are read again: 512 KB in a task
 SEEN_SETS = 200_000  # sets that a task remembers, so that a copy is not said twice
 CHUNK_SETS = 512
 SMALL_GROUP = 32  # so few sets are compared with each other without a tree
-CHUNK_SHINGLES = 1_000_000
+CHUNK_SHINGLES = 2_000_000
 LEAF, FANOUT = 16, 8
 
 
@@ -90,7 +91,7 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
             for part in slices(batch, "text"):
                 starts, hashes, sids = distinct_shingles(part.column("text"), width)
                 groups += np.bincount((hashes >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=len(groups))
-                points = pa.array([p.tobytes() for p in count_vectors(hashes, starts, GROUPS)], pa.binary())
+                points = pa.array(packed_points(hashes, starts), pa.binary())
                 yield rows(0, part.column("doc_id"), np.diff(starts), sids, part.column("th"), points)
         used = np.flatnonzero(groups)
         zeros = np.zeros(len(used), np.int64)
@@ -187,19 +188,37 @@ def _candidate_ties(rows: pa.Table, share: tuple[int, int]) -> pa.RecordBatch:
     size = np.diff(np.append(first, rows.num_rows))
     group = np.repeat(np.arange(len(first)), size)
     sid, n, chunk, lo, hi = (rows.column(c).to_numpy() for c in ("sid", "n", "chunk", "lo", "hi"))
-    points = np.frombuffer(b"".join(rows.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)
+    points, level = rows.column("point").to_pylist(), level_of(n)
     small = (size <= SMALL_GROUP) & (lo[first] == hi[first])
-    pairs = []
-    few = small[group]
-    for step in range(1, int(size[small].max(initial=1))):
-        i = np.flatnonzero(few[:-step] & (group[:-step] == group[step:]))
-        j = i + step
-        near = (part + whole) * np.minimum(points[i], points[j]).sum(axis=1) >= part * (n[i] + n[j])
-        pairs.append(np.column_stack([sid[i[near]], sid[j[near]]]))
+    pairs = [np.empty((0, 2), np.int64)]
+    # linked sets are alike in size, so their levels are the same or neighbours
+    for low in np.unique(level).tolist():
+        here = np.flatnonzero(small[group] & (level >= low) & (level <= low + 1))
+        if not len(here):
+            continue
+        x = folded([points[i] for i in here.tolist()], low)
+        for step in range(1, int(size[small].max(initial=1))):
+            i = np.flatnonzero(group[here[:-step]] == group[here[step:]])
+            i = i[np.minimum(level[here[i]], level[here[i + step]]) == low]
+            a, b = here[i], here[i + step]
+            near = (part + whole) * np.minimum(x[i], x[i + step]).sum(axis=1) >= part * (n[a] + n[b])
+            pairs.append(np.column_stack([sid[a[near]], sid[b[near]]]))
     for g in np.flatnonzero(~small).tolist():
-        at = slice(first[g], first[g] + size[g])
-        pairs.append(connecting(sid[at], points[at], n[at], chunk[at], share))
-    found = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0) if pairs else np.empty((0, 2), np.int64)
+        at = np.arange(first[g], first[g] + size[g])
+        upper, lower = sides(chunk[at])
+        one = upper[0] == lower[0]
+        for high in np.unique(level[at]).tolist():
+            for other in (high - 1, high, high + 1):
+                if one and other > high:
+                    continue  # the same pairs as with the two levels exchanged
+                asked, held = upper[level[at[upper]] == high], lower[level[at[lower]] == other]
+                if not len(asked) or not len(held):
+                    continue
+                both = np.unique(np.concatenate([asked, held]))
+                x = folded([points[i] for i in at[both].tolist()], min(high, other))
+                pairs.append(connecting(sid[at[both]], x, n[at[both]], np.searchsorted(both, asked),
+                                        np.searchsorted(both, held), share))
+    found = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
 
@@ -278,17 +297,40 @@ def count_vectors(flat: np.ndarray, starts: np.ndarray, groups: int) -> np.ndarr
     return np.bincount(cell, minlength=(len(starts) - 1) * groups).reshape(-1, groups).astype(np.int32)
 
 
+def level_of(sizes: np.ndarray) -> np.ndarray:
+    """log2 of the number of groups of a set of this size."""
+    return np.clip(np.ceil(np.log2(np.maximum(sizes, 1) / 8)), *LEVELS).astype(np.int64)
+
+
+def packed_points(flat: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """The point of each set, in as many groups as its size asks for."""
+    levels = level_of(np.diff(starts))
+    out: list[bytes] = [b""] * len(levels)
+    for level in np.unique(levels).tolist():
+        mine = np.flatnonzero(levels == level)
+        own = np.concatenate([flat[starts[i] : starts[i + 1]] for i in mine.tolist()])
+        bounds = np.concatenate([[0], np.cumsum(np.diff(starts)[mine])])
+        for i, row in zip(mine.tolist(), count_vectors(own, bounds, 1 << level)):
+            out[i] = row.tobytes()
+    return out
+
+
+def folded(points: list[bytes], level: int) -> np.ndarray:
+    """Points of ``level`` or more as a matrix of 2 ** level groups: equal remainders add up."""
+    rows = [np.frombuffer(p, np.int32) for p in points]
+    return np.stack([r if len(r) == 1 << level else r.reshape(-1, 1 << level).sum(axis=0, dtype=np.int32) for r in rows])
+
+
 def connecting(
-    ids: np.ndarray, points: np.ndarray, sizes: np.ndarray, chunk: np.ndarray, share: tuple[int, int], verify=None
+    ids: np.ndarray, points: np.ndarray, sizes: np.ndarray, asked: np.ndarray, held: np.ndarray,
+    share: tuple[int, int], verify=None,
 ) -> np.ndarray:
     """Pairs of ``ids`` that connect what all pairs within the bound (and, with ``verify``, truly linked) connect.
 
-    With two chunks, only pairs across them are looked at. ``verify(a, near)`` tells which of ``near`` are
-    linked with ``a``.
+    Pairs have one of ``asked`` and one of ``held`` (places); the two are the same places or have none in
+    common. ``verify(a, near)`` tells which of ``near`` are linked with ``a``.
     """
-    across = len(np.unique(chunk)) > 1
-    asked = np.flatnonzero(chunk == chunk.max())
-    held = np.flatnonzero(chunk == chunk.min())
+    across = asked[0] != held[0]
     tree = RTree(points[held], sizes[held])
     root = np.arange(len(sizes))
     for a in asked.tolist():
@@ -306,6 +348,11 @@ def connecting(
     return np.column_stack([least[root[tied]], ids[tied]])
 
 
+def sides(chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the upper and the lower chunk, the same ones where there is one chunk."""
+    return np.flatnonzero(chunk == chunk.max()), np.flatnonzero(chunk == chunk.min())
+
+
 def linked_pairs(
     ids: np.ndarray, flat: np.ndarray, starts: np.ndarray, chunk: np.ndarray, share: tuple[int, int]
 ) -> np.ndarray:
@@ -323,7 +370,7 @@ def linked_pairs(
         both = np.add.reduceat(same.astype(np.int64), np.concatenate([[0], ends[:-1]]))
         return (part + whole) * both >= part * (sizes[a] + sizes[near])
 
-    return connecting(ids, count_vectors(flat, starts, groups), sizes, chunk, share, verify)
+    return connecting(ids, count_vectors(flat, starts, groups), sizes, *sides(chunk), share, verify)
 
 
 def _block_links(share: tuple[int, int]):
