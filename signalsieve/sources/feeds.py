@@ -1,4 +1,4 @@
-"""RSS and Atom payloads to items."""
+"""RSS (also in RDF form), Atom and JSON feed payloads to items."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from signalsieve.functions.text import (
     trim_space,
 )
 
-# The parts of the two feed formats that are read.
+# The parts of the feed formats that are read.
 RSS_SCHEMA = (
     "channel struct<item: array<struct<"
     "title: string, link: string, description: string, `content:encoded`: string, author: string, "
@@ -27,6 +27,19 @@ ATOM_SCHEMA = (
     "title: string, link: array<struct<_href: string, _rel: string>>, summary: string, content: string, "
     "author: struct<name: string>, category: array<struct<_term: string>>, published: string, updated: string>>"
 )
+RDF_SCHEMA = (
+    "item array<struct<title: string, link: string, description: string, `content:encoded`: string, author: string, "
+    "`dc:creator`: string, `dc:subject`: array<string>, pubDate: string, `dc:date`: string>>"
+)
+JSON_SCHEMA = (
+    "items array<struct<id: string, url: string, external_url: string, title: string, content_html: string, "
+    "content_text: string, summary: string, date_published: string, date_modified: string, "
+    "author: struct<name: string>, authors: array<struct<name: string>>, tags: array<string>>>"
+)
+ENTRIES = ("array<struct<link:string,title:string,published:string,updated:string,author:string,"
+           "categories:array<string>,content:string,description:string>>")
+# an ampersand that begins none of the five names and no number that XML knows
+BARE_AMPERSAND = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#[xX][0-9A-Fa-f]+);)"
 # Date forms in feeds, tried in this order after the day name is cut off.
 DATE_FORMS = [
     "d MMM yyyy HH:mm:ss Z",
@@ -72,16 +85,16 @@ def author_name(raw: Column) -> Column:
     return let(trim_space(text_or_empty(raw)), read)
 
 
-def _rss_entries(doc: Column) -> Column:
+def _rss_entries(items: Column, category: str = "category") -> Column:
     return F.transform(
-        doc["channel"]["item"],
+        items,
         lambda e: F.struct(
             text_or_empty(e["link"]).alias("link"),
             text_or_empty(e["title"]).alias("title"),
             first_filled(e["pubDate"], e["dc:date"]).alias("published"),
             F.lit("").alias("updated"),
             first_filled(author_name(e["author"]), text_or_empty(e["dc:creator"])).alias("author"),
-            e["category"].alias("categories"),
+            e[category].alias("categories"),
             e["content:encoded"].alias("content"),
             e["description"].alias("description"),
         ),
@@ -109,24 +122,64 @@ def _atom_entries(doc: Column) -> Column:
     )
 
 
+def _json_entries(doc: Column) -> Column:
+    return F.transform(
+        doc["items"],
+        lambda e: F.struct(
+            first_filled(e["url"], e["external_url"], e["id"]).alias("link"),
+            text_or_empty(e["title"]).alias("title"),
+            text_or_empty(e["date_published"]).alias("published"),
+            text_or_empty(e["date_modified"]).alias("updated"),
+            first_filled(F.get(e["authors"], F.lit(0))["name"], e["author"]["name"]).alias("author"),
+            e["tags"].alias("categories"),
+            first_filled(e["content_html"], e["content_text"]).alias("content"),
+            e["summary"].alias("description"),
+        ),
+    )
+
+
+def _xml_entries(text: Column) -> Column:
+    """Entries of an XML feed; null where it does not parse."""
+    def root(name: str) -> Column:
+        return text.rlike(rf"<(?:[A-Za-z]+:)?{name}[ \t\r\n>]")
+
+    def read(schema: str) -> Column:
+        return F.from_xml(text, schema, XML_OPTIONS)
+
+    return (
+        F.when(root("feed"), _atom_entries(read(ATOM_SCHEMA)))
+        .when(root("RDF"), _rss_entries(read(RDF_SCHEMA)["item"], "dc:subject"))
+        .otherwise(_rss_entries(read(RSS_SCHEMA)["channel"]["item"]))
+    )
+
+
+def _entries(text: Column) -> Column:
+    """Entries of a feed document of any form, an empty list where there are none.
+
+    XML that gives none is read again with its bare ampersands written out, which is the usual fault.
+    """
+    none = F.array().cast(ENTRIES)
+    given = text_or_empty(text)
+    as_json = F.coalesce(_json_entries(F.from_json(given, JSON_SCHEMA)).cast(ENTRIES), none)
+    plain = _xml_entries(given).cast(ENTRIES)
+    mended = _xml_entries(F.regexp_replace(given, BARE_AMPERSAND, "&amp;")).cast(ENTRIES)
+    as_xml = let(plain, lambda e: F.when(F.size(F.coalesce(e, none)) > 0, e).otherwise(F.coalesce(mended, none)))
+    return F.when(trim_space(given).startswith("{"), as_json).otherwise(as_xml)
+
+
+def unreadable_feeds(payloads: DataFrame) -> DataFrame:
+    """(site_name, xml) documents that are not blank and give no entry at all."""
+    blank = trim_space(text_or_empty(F.col("xml"))) == ""
+    return payloads.where(~blank & (F.size(_entries(F.col("xml"))) == 0))
+
+
 def scan_feed_xml(payloads: DataFrame) -> DataFrame:
     """(site_name, xml) rows to items, one per entry with a link and a title.
 
-    ``position`` is the place of the entry in its feed. Broken documents give no rows.
+    ``position`` is the place of the entry in its feed. What stays unreadable is in ``unreadable_feeds``.
     """
-    none = F.array().cast(
-        "array<struct<link:string,title:string,published:string,updated:string,author:string,"
-        "categories:array<string>,content:string,description:string>>"
-    )
-    is_atom = F.col("xml").rlike(r"<(?:[A-Za-z]+:)?feed[ \t\r\n>]")
-    parsed = payloads.withColumn("_atom", is_atom).withColumns(
-        {
-            "_rss_doc": F.when(~F.col("_atom"), F.from_xml("xml", RSS_SCHEMA, XML_OPTIONS)),
-            "_atom_doc": F.when(F.col("_atom"), F.from_xml("xml", ATOM_SCHEMA, XML_OPTIONS)),
-        }
-    )
-    entries = F.coalesce(_rss_entries(F.col("_rss_doc")), _atom_entries(F.col("_atom_doc")), none)
-    rows = parsed.select("site_name", F.posexplode(entries).alias("position", "e"))
+    parsed = payloads.select("site_name", _entries(F.col("xml")).alias("entries"))
+    rows = parsed.select("site_name", F.posexplode("entries").alias("position", "e"))
     e = F.col("e")
     rows = rows.select(
         "site_name",

@@ -193,3 +193,24 @@ def test_resolve_catalogue(spark):
     sw = spark.createDataFrame([("GANG RANSOM", False)], "toggle_key string, enabled boolean")
     rows = resolve_sources(seed, found, local, remote, sw, probes).collect()
     assert sorted(r.rss_url for r in rows) == ["https://o.org", "https://seed", "internal://x"]
+
+
+def test_feed_forms(spark):
+    from signalsieve.sources.feeds import scan_feed_xml, unreadable_feeds
+
+    rdf = ('<?xml version="1.0"?><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" '
+           'xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>c</title></channel><item><title>One</title>'
+           '<link>https://e/1</link><dc:date>2024-01-02T10:00:00Z</dc:date><dc:creator>Ann</dc:creator><dc:subject>x</dc:subject></item></rdf:RDF>')
+    js = json.dumps({"version": "https://jsonfeed.org/version/1.1", "items": [
+        {"id": "1", "url": "https://e/2", "title": "Two", "content_html": "<p>b</p>", "date_published": "2024-01-02T10:00:00Z",
+         "authors": [{"name": "Bob"}], "tags": ["t", "u"]}, {"id": "no title"}]})
+    bare = ("<rss><channel><item><title>A & B &nbsp;C</title><link>https://e/3?a=1&b=2</link>"
+            "<description>x &amp; y</description></item></channel></rss>")
+    rows = [("s", x) for x in (rdf, js, bare, "<rss><channel><item><title>cut off", "", None, "no feed")]
+    df = spark.createDataFrame(rows, "site_name string, xml string")
+    got = {r.link: r for r in scan_feed_xml(df).collect()}
+    assert set(got) == {"https://e/1", "https://e/2", "https://e/3?a=1&b=2"}
+    assert (got["https://e/1"].author, got["https://e/1"].category, got["https://e/1"].pub_date) == ("Ann", "x", "2024-01-02T10:00:00Z")
+    assert (got["https://e/2"].author, got["https://e/2"].category, got["https://e/2"].content) == ("Bob", "t, u", "b")
+    assert got["https://e/3?a=1&b=2"].title.startswith("[s] A & B")
+    assert {r.xml for r in unreadable_feeds(df).collect()} == {"<rss><channel><item><title>cut off", "no feed"}
