@@ -13,6 +13,7 @@ from signalsieve.operators import store as Q
 from signalsieve.registry.base import ANALYSIS, ITEMS, ITEMS_ALL, RESULT_COLUMNS, STORED, query, stamp
 from signalsieve.registry.views import (
     NOW,
+    analysis_of,
     analysis_unique,
     event_items,
     items_all,
@@ -161,8 +162,11 @@ _JOIN_COLUMNS = ["id", "title", "link", "site_name", "score", "ai_category", "su
 @query("q5_top_scored_day", _JOINED + f""" FROM it JOIN an ON an.item_id = it.id
 WHERE {_LOCAL_DAY} = DATE '{DAY}' ORDER BY an.score DESC, it.id LIMIT 20""")
 def _(spark, sf):
-    rows = Q.top_scored_day(items_unique(spark, sf), analysis_unique(spark, sf), DAY)
-    return rows.select(*_JOIN_COLUMNS)
+    from signalsieve.functions.periods import day_bounds, in_range
+
+    # only the day's items are scored
+    of_day = items_unique(spark, sf, heavy=True).filter(in_range(c("created_at"), day_bounds(DAY)))
+    return Q.top_scored_day(of_day, analysis_of(of_day), DAY).select(*_JOIN_COLUMNS)
 
 
 @query("q5_top_scored_per_day", _JOINED + f""", CAST({_LOCAL_DAY} AS VARCHAR) AS day,

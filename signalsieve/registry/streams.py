@@ -15,7 +15,9 @@ from signalsieve.registry.views import NOW, event_items, items_from, table
 from signalsieve.session import ensure_checkpoint_dir
 from signalsieve.streaming.cycle import CycleSettings, stream_cycle
 from signalsieve.streaming.store import Store
-from signalsieve.streaming.windows import stream_counts, stream_dedup, stream_late, stream_retention
+from signalsieve.streaming.windows import (
+    read_counts, stream_counts, stream_dedup, stream_late, stream_retention, write_counts,
+)
 
 c = F.col
 
@@ -99,21 +101,26 @@ def _(spark, sf):
 
 def _window_sql(start: str, days: int) -> str:
     return f"""WITH {_EVENTS}, w AS (SELECT {start} - to_hours(8) AS s, site_name, count(*) AS n FROM ev GROUP BY 1, 2)
-SELECT {stamp('s')} AS window_start, {stamp(f's + to_days({days})')} AS window_end, site_name, n
-FROM w WHERE s + to_days({days}) <= (SELECT max(created_at) FROM ev)"""
+SELECT {stamp('s')} AS window_start, {stamp(f's + to_days({days})')} AS window_end, site_name, n FROM w"""
+
+
+def _counted(spark, sf, kind: str) -> DataFrame:
+    folder = new_folder(spark)
+    write_counts(_events(spark, sf), folder, kind).awaitTermination()
+    return read_counts(spark, folder)
 
 
 @query("st4_stream_daily_counts", _window_sql("CAST(CAST(created_at + to_hours(8) AS DATE) AS TIMESTAMP)", 1))
 def _(spark, sf):
-    return drained(stream_counts(_events(spark, sf), "daily"))
+    return _counted(spark, sf, "daily")
 
 
 @query("st4_stream_weekly_counts", _window_sql("CAST(date_trunc('week', created_at + to_hours(8)) AS TIMESTAMP)", 7))
 def _(spark, sf):
-    return drained(stream_counts(_events(spark, sf), "weekly"))
+    return _counted(spark, sf, "weekly")
 
 
-@query("st4_batch_daily_counts", _window_sql("CAST(CAST(created_at + to_hours(8) AS DATE) AS TIMESTAMP)", 1).split("FROM w WHERE")[0] + "FROM w")
+@query("st4_batch_daily_counts", _window_sql("CAST(CAST(created_at + to_hours(8) AS DATE) AS TIMESTAMP)", 1))
 def _(spark, sf):
     return stream_counts(event_items(table(spark, sf, "events")), "daily")
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from signalsieve.operators.alerts import Channel
 from signalsieve.streaming.cycle import CycleSettings, identified, run_cycle, stream_cycle
 from signalsieve.streaming.store import Store
-from signalsieve.streaming.windows import stream_counts, stream_dedup, stream_retention
+from signalsieve.streaming.windows import read_counts, stream_counts, stream_dedup, stream_retention, write_counts
 
 NOW = datetime(2024, 1, 20, 12)
 SCHEMA = ("title string, link string, pub_date string, author string, category string, content string, full_content string, "
@@ -134,6 +134,17 @@ def test_late_rows_do_not_reopen_windows(spark, tmp_path):
     assert sorted((str(r.window_end), r.n) for r in rows) == [("2024-01-01 16:00:00", 1), ("2024-01-05 16:00:00", 1)]
 
 
+def test_late_rows_count_and_open_windows_show(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "o")
+    schema = "link string, created_at timestamp, site_name string"
+    for rows in ([("a", datetime(2024, 1, 1), "s"), ("b", datetime(2024, 1, 5), "s")],
+                 [("late", datetime(2024, 1, 1), "s"), ("c", datetime(2024, 1, 9), "s")]):
+        events(spark, folder, rows)
+        write_counts(spark.readStream.schema(schema).parquet(folder), out).awaitTermination()
+    got = sorted((str(r.window_end), r.n) for r in read_counts(spark, out).collect())
+    assert got == [("2024-01-01 16:00:00", 2), ("2024-01-05 16:00:00", 1), ("2024-01-09 16:00:00", 1)]
+
+
 def test_retention(spark):
     df = spark.createDataFrame([("a", NOW - timedelta(days=10), "s"), ("b", NOW - timedelta(days=11), "s")],
                                "link string, created_at timestamp, site_name string")
