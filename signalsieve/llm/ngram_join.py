@@ -148,11 +148,14 @@ def _ties(postings: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> Data
     """(a, b): candidates that connect, per meeting point, what all its candidates connect."""
     points = postings.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a < b").select("key")
     met = written(postings.join(points, "key").distinct(), "ngram-met")
-    crowds = met.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CHUNK_SETS).select(
-        "key", F.ceil(F.col("m") / CHUNK_SETS).cast("int").alias("k"))
+    # texts that share a passage meet at many of its shingles; one of all points with the same sets is enough
+    kinds = met.groupBy("key").agg(
+        F.count(F.lit(1)).alias("m"), F.min("sid").alias("least"), F.bit_xor(F.xxhash64("sid")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("y"))
+    kept = kinds.groupBy("m", "least", "x", "y").agg(F.min("key").alias("key")).select(
+        "key", F.ceil(F.col("m") / CHUNK_SETS).cast("int").alias("crowd"))
     known = nodes.groupBy("sid").agg(F.first("n").alias("n"), F.first("point").alias("point"))
-    sized = met.join(crowds.withColumnRenamed("k", "crowd"), "key", "left")
-    rows = _chunked(sized, F.coalesce("crowd", F.lit(1))).drop("crowd").join(known, "sid")
+    rows = _chunked(met.join(kept, "key"), F.col("crowd")).drop("crowd").join(known, "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
