@@ -55,6 +55,8 @@ GONE_NAMES = set(
     "disqus discussion share sharing social follow related recommended recommendations promo promotion "
     "promoted sponsored sponsor newsletter subscribe subscription signup login popup popover modal overlay breadcrumb "
     "breadcrumbs pagination pager toolbar skip widget widgets".split())
+# names of parts that may well be longer than the article, and still are no article
+READERS = set("comment comments reply replies respond disqus discussion related recommended recommendations".split())
 GONE_ROLES = set("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
 MODIFIERS = set("no has with without is not hide hides".split())
 
@@ -118,20 +120,21 @@ def parse(text: str) -> Node:
     return root
 
 
-def _names(node: Node) -> bool:
-    """Whether class, id or role say that an element is no article."""
+def _names(node: Node) -> set[str]:
+    """The words by which class, id, role or style say that an element is no article."""
     if not node.attrs or node.attrs.isspace():
-        return False
+        return set()
     own = node.named()
     if "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", own.get("style", "")):
-        return True
+        return {"hidden"}
     if own.get("role", "").lower() in GONE_ROLES:
-        return True
+        return {own["role"].lower()}
+    found = set()
     for name in (own.get("class", "") + " " + own.get("id", "")).lower().split():
         parts = [p for p in re.split(r"[-_]+", name) if p]
-        if parts and parts[0] not in MODIFIERS and GONE_NAMES.intersection(parts):
-            return True
-    return False
+        if parts and parts[0] not in MODIFIERS:
+            found |= GONE_NAMES.intersection(parts)
+    return found
 
 
 def weigh(node: Node, host: str) -> None:
@@ -164,7 +167,9 @@ def mark(root: Node) -> Node:
     """Marks elements that are no article as gone, and returns the main container."""
     articles: list[Node] = []
 
-    def walk(node: Node, in_article: bool) -> None:
+    outer: set[int] = set()  # articles that lie in no other
+
+    def walk(node: Node, in_article: bool, nested: bool) -> None:
         node.left = node.own
         for child in node.children:
             if isinstance(child, str):
@@ -174,22 +179,35 @@ def mark(root: Node) -> Node:
                 continue
             main = child.tag in ("article", "main") or "main" in child.attrs and child.named().get("role") == "main"
             held = len(articles)
-            walk(child, in_article or main)
-            named = child.tag not in ("html", "body", "main") and _names(child)
+            walk(child, in_article or main, nested or child.tag == "article")
+            named = _names(child) if child.tag not in ("html", "body", "main") else set()
+            if named == {"header"} and in_article:
+                child.tag, named = "header", set()  # of an article's own header, the headings stay
             tagged = child.tag in GONE_TAGS and not (child.tag == "header" and in_article)
             # what holds an article, or is a form around most of a page, is not gone
             holds = any(a.left for a in articles[held:])
-            around = child.tag == "form" and child.words > max(PROSE_WORDS, root.words // 2)
-            if (named and (main or not holds)) or (tagged and not holds and not around):
+            around = child.words > max(PROSE_WORDS, root.words // 2)
+            layout = around and not named & READERS and "hidden" not in named and child.tag in ("div", "section", "table", "td")
+            if (named and (main or not holds) and not layout) or (
+                tagged and not holds and not (around and child.tag == "form")
+            ):
                 child.gone = True
                 del articles[held:]
                 continue
             if main:
                 articles.append(child)
+                if child.tag == "article" and not nested:
+                    outer.add(id(child))
             node.left += child.left
 
-    walk(root, False)
+    walk(root, False, False)
     # the largest article that is fair in size, innermost among near equals
+    own = [a for a in articles if a.tag == "article"]
+    top = max(own, key=kept_words, default=None)
+    if top is not None and top.left and top.left >= FAIR_SHARE * root.left and top.left >= MOST * sum(
+        a.left for a in own if id(a) in outer
+    ):
+        return top
     best = max(articles, key=kept_words, default=None)
     if best is not None and best.left and best.left >= FAIR_SHARE * root.left:
         inner = [a for a in articles if a.tag == "article" and a.left >= MOST * best.left]

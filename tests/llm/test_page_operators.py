@@ -28,6 +28,10 @@ def text_of(page, url="http://h.example/x", drop=()):
     ("<article><p>a &lt;b&gt; &#233; &unknown; c</p></article>", "a <b> é &unknown; c"),
     ("<body><header><h1>Site</h1></header><article><header><h1>Title</h1><span>by me</span></header><p>x</p></article>", "Title x"),
     ("<div><div class='cookie-notice'>accept</div><div class='ad'>buy</div><p>the text of it</p></div>", "the text of it"),
+    ("<main><article><p>" + "own " * 30 + "</p></article><div>" + "other " * 25 + "</div></main>", ("own " * 30).strip()),
+    ("<div class='content-with-sidebar'><p>" + "body " * 50 + "</p><div class='sidebar'>links here</div></div><p>x</p>", ("body " * 50).strip()),
+    ("<article><div class='post-header'><h1>T</h1><span>by me</span></div><p>text</p></article>", "T text"),
+    ("<div><p>short</p></div><div class='comments'>" + "long talk " * 60 + "</div>", "short"),
     ("<article><p>1 < 2 and <notclosed", "1 < 2 and <notclosed"),
 ])
 def test_single_pages(page, want):
