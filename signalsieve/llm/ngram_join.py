@@ -425,8 +425,9 @@ def _grouped(docs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
 def similar(docs: DataFrame, width: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     grouped = _grouped(docs, width, share)
-    shared = grouped.where("grp IS NOT NULL").groupBy("grp").agg(
-        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    # written, so that both sides of the join are plain exchanges and a large group of copies can be split
+    shared = cut(grouped.where("grp IS NOT NULL").groupBy("grp").agg(
+        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"))
     # empty sets meet nothing; a key of their own keeps them from being one large group
     at = F.coalesce("grp", F.xxhash64("doc_id", "th"))
     return grouped.withColumn("at", at).join(shared.withColumnRenamed("grp", "at"), "at", "left").select(
