@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalsieve.llm.graph import components
-from signalsieve.llm.shared import WORD, cut, written
+from signalsieve.llm.shared import WORD, cut, rows_per_batch, written
 from signalsieve.llm.words import hash_words, mixed, shingles, slices, split
 
 SHINGLE = 4
@@ -49,6 +49,7 @@ SHARE = (85, 100)
 LEVELS = (5, 10)  # a document's point has 2 ** 5 to 2 ** 10 coordinates, about one to eight shingles
 ORDER_BITS = 18  # hash groups whose counts order the shingles: 2 MB on the driver and in a task
 SEEN_BITS = 22  # marks of document ids that are read again: 512 KB in a task
+BATCH_ROWS = 1_000  # texts that a task holds at a time
 SEEN_SETS = 200_000  # sets that a task remembers, so that a copy is not said twice
 CHUNK_SETS = 512
 SMALL_GROUP = 32  # so few sets are compared with each other without a tree
@@ -147,7 +148,8 @@ def _chunked(rows: DataFrame, k: Column) -> DataFrame:
 def _ties(postings: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
     """(a, b): candidates that connect, per meeting point, what all its candidates connect."""
     points = postings.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a < b").select("key")
-    met = written(postings.join(points, "key").distinct(), "ngram-met")
+    with rows_per_batch(postings.sparkSession, BATCH_ROWS):
+        met = written(postings.join(points, "key").distinct(), "ngram-met")
     # texts that share a passage meet at many of its shingles; one of all points with the same sets is enough
     kinds = met.groupBy("key").agg(
         F.count(F.lit(1)).alias("m"), F.min("sid").alias("least"), F.bit_xor(F.xxhash64("sid")).alias("x"),
@@ -409,14 +411,16 @@ def _links(sets: DataFrame, members: DataFrame, share: tuple[int, int]) -> DataF
 def _grouped(docs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
     """doc_id, th, n and grp of every row: equal grp where links connect; null grp for an empty set."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scanned = written(_scan(docs, width), "ngram-scan")
+    with rows_per_batch(docs.sparkSession, BATCH_ROWS):
+        scanned = written(_scan(docs, width), "ngram-scan")
     nodes = scanned.where("kind = 0").select("doc_id", "n", "sid", "th", "point")
     # made twice rather than written: hashing texts again costs less than the disk for all meeting points
     postings = _postings(docs, width, share, _group_counts(scanned))
     blocks = components(_ties(postings, nodes, share)).withColumnsRenamed({"v": "sid", "root": "block"})
     # one document stands for all with its set
     first = cut(nodes.join(blocks, "sid").groupBy("sid", "block", "n").agg(F.min("doc_id").alias("doc_id")))
-    links = cut(_links(_sets(docs, width, _marks(first)), first, share))
+    with rows_per_batch(docs.sparkSession, BATCH_ROWS):
+        links = cut(_links(_sets(docs, width, _marks(first)), first, share))
     roots = components(links).withColumnsRenamed({"v": "sid"})
     return nodes.join(roots, "sid", "left").select(
         "doc_id", "th", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("grp"))

@@ -24,14 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from signalsieve.llm.shared import rows_per_batch
 from signalsieve.llm.words import own_copy, slices, split
 
 END_ID = 2
 FILE_SCHEMA = "doc_id long, part int, first_token long, n_tokens long, ids array<int>"
-TEXT_BYTES = 4_000_000  # text encoded at a time; one text may be longer
-CACHED_WORDS = 250_000  # encoded words a worker keeps, the first it meets
+TEXT_BYTES = 2_000_000  # text encoded at a time; one text may be longer
+CACHED_WORDS = 120_000  # encoded words a worker keeps, the first it meets
 CACHED_LENGTH = 32
 JOINED_WORDS = 500
+BATCH_ROWS = 1_000
 MARK = r"[!-&(-/:-@\[-`{-~]"  # ASCII punctuation but the apostrophe, which contractions need
 # signs that may join punctuation in one piece: controls, marks, and a letter that lower-cases to a mark
 OTHER = r"(?:['\x00-\x08\x0e-\x1f\x7fİ]|[^\x00-\x7f\p{L}\p{N}])"
@@ -126,6 +128,7 @@ def encode(df: DataFrame, path: str, vocabulary_file: str, end_id: int = END_ID)
         vocabulary = f.read()  # a vocabulary file: a few MB whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # of tasks before in this worker
         part, done = TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows in slices(batch, "text", TEXT_BYTES):
@@ -148,15 +151,16 @@ def encode(df: DataFrame, path: str, vocabulary_file: str, end_id: int = END_ID)
         .repartitionByRange(F.col("doc_id"), tie)
         .sortWithinPartitions(F.col("doc_id"), tie)
     )
-    (
-        ordered.mapInArrow(run, FILE_SCHEMA)
-        .write.option("compression", "zstd")
-        .option("orc.bloom.filter.columns", "doc_id")
-        .option("orc.bloom.filter.fpp", "0.01")
-        .option("orc.row.index.stride", "1000")
-        .option("orc.stripe.size", str(16 << 20))
-        .orc(path)
-    )
+    with rows_per_batch(df.sparkSession, BATCH_ROWS):
+        (
+            ordered.mapInArrow(run, FILE_SCHEMA)
+            .write.option("compression", "zstd")
+            .option("orc.bloom.filter.columns", "doc_id")
+            .option("orc.bloom.filter.fpp", "0.01")
+            .option("orc.row.index.stride", "1000")
+            .option("orc.stripe.size", str(8 << 20))
+            .orc(path)
+        )
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
