@@ -2,10 +2,12 @@
 
 Words are runs of letters and digits, lower-cased, so that case and punctuation do not hide a copy. Every
 run of SEED_WORDS words of a test item is a seed. A first pass counts the seeds over the whole corpus;
-seeds that are far more frequent than their item's typical seed are common phrases and are dropped. The
-rule is relative to the item, so an item that has leaked into a third of all documents keeps its seeds. A
-second pass meets the seeds in the documents and aligns the words around each meeting with the item. The
-score is the alignment's value divided by that of a full copy (1.0).
+seeds that are far more frequent than their item's typical seed are common: mostly phrases, but also the
+stretch of an item that many documents share. A second pass meets the seeds in the documents and aligns the
+words around each meeting with the item. At a common seed it does so only if enough of the item's words
+stand around it for MIN_SCORE, a bound that no alignment exceeds. So no seed is dropped: the counts decide
+what is bounded first, not what is found. The score is the alignment's value divided by that of a full
+copy (1.0).
 
 The benchmark is a query set that is held against all documents in blocks of bounded size; documents are
 never shuffled, and no key can be hot. A copy is found if it keeps one seed intact and scores MIN_SCORE.
@@ -32,8 +34,7 @@ from signalsieve.llm.words import hash_words, own_copy, slices, split
 
 SEED_WORDS = 4
 MIN_SCORE = 0.5
-COMMON_TIMES = 10  # a seed this many times as frequent as its item's median seed is a common phrase
-COMMON_LEAST = 10
+COMMON_TIMES = 10  # a seed this many times as frequent as its item's median seed is common
 BLOCK_BYTES = 8_000_000  # benchmark text held in a task at a time
 MATCH, MISMATCH, GAP = 2, -1, -1
 MATCHES = T.ArrayType(T.StructType([
@@ -100,6 +101,7 @@ class Block:
     first: np.ndarray  # places of seed s: [first[s], first[s + 1])
     item: np.ndarray
     place: np.ndarray
+    common: np.ndarray  # of the seed at this place, whether it is common for its item
 
     def words_of(self, item: int) -> np.ndarray:
         return self.words[self.starts[item] : self.starts[item + 1]]
@@ -112,16 +114,15 @@ class Block:
         return np.where(self.seeds[at] == hashes, at, -1)
 
 
-def _block(ids: list[int | None], starts: np.ndarray, words: np.ndarray, kept=None) -> Block:
+def _block(ids: list[int | None], starts: np.ndarray, words: np.ndarray, common=None) -> Block:
     hashes, item = runs(starts, words, SEED_WORDS)
     real = item >= 0
-    if kept is not None:
-        real &= kept
+    common = (np.zeros(len(hashes), bool) if common is None else common)[real]
     place = (np.arange(len(hashes)) - starts[:-1][item])[real]
     hashes, item = hashes[real], item[real]
     order = np.argsort(hashes, kind="stable")
     seeds, first = np.unique(hashes[order], return_index=True)
-    return Block(ids, starts, words, seeds, np.append(first, len(order)), item[order], place[order])
+    return Block(ids, starts, words, seeds, np.append(first, len(order)), item[order], place[order], common[order])
 
 
 def read_block(items: DataFrame) -> Block:
@@ -143,8 +144,8 @@ def blocks(benchmark: DataFrame) -> Iterator[Block]:
         yield read_block(items.where(part).orderBy("item_id", "text"))
 
 
-def rare(docs: DataFrame, block: Block) -> Block:
-    """The block without its common seeds, by counts over all documents."""
+def ranked(docs: DataFrame, block: Block) -> Block:
+    """The block with its common seeds marked, by counts over all documents."""
     if not len(block.seeds):
         return block
 
@@ -165,12 +166,17 @@ def rare(docs: DataFrame, block: Block) -> Block:
     times[counted.column("seed").to_numpy()] = counted.column("n").to_numpy()
     hashes, item = runs(block.starts, block.words, SEED_WORDS)
     own = times[block.find(hashes)]
-    kept = np.zeros(len(hashes), bool)
+    common = np.zeros(len(hashes), bool)
     for k in range(len(block.ids)):
         here = np.flatnonzero(item[block.starts[k] : block.starts[k + 1]] == k) + block.starts[k]
         if len(here):
-            kept[here] = own[here] <= max(COMMON_LEAST, COMMON_TIMES * float(np.median(own[here])))
-    return _block(block.ids, block.starts, block.words, kept)
+            common[here] = own[here] > COMMON_TIMES * float(np.median(own[here]))
+    return _block(block.ids, block.starts, block.words, common)
+
+
+def may_reach(window: np.ndarray, item: np.ndarray, value: float) -> bool:
+    """Whether an alignment can have this value: its matches are item words that the window holds."""
+    return MATCH * np.count_nonzero(np.isin(item, window)) >= value
 
 
 def find_in_batch(texts: pa.Array, block: Block, min_score: float) -> list[list[dict]]:
@@ -180,21 +186,25 @@ def find_in_batch(texts: pa.Array, block: Block, min_score: float) -> list[list[
     found = block.find(hashes)
     hits = np.flatnonzero((found >= 0) & (text >= 0))
     out: list[list[dict]] = [[] for _ in range(len(starts) - 1)]
-    met: dict[tuple[int, int], list[int]] = defaultdict(list)
+    met: dict[tuple[int, int], dict[int, bool]] = defaultdict(dict)
     for at in hits.tolist():
         for k in range(block.first[found[at]], block.first[found[at] + 1]):
-            # where the item would begin if nothing was added or left out
-            met[int(text[at]), int(block.item[k])].append(at - int(block.place[k]))
+            # where the item would begin if nothing was added or left out, and whether only common seeds say so
+            begins, begin = met[int(text[at]), int(block.item[k])], at - int(block.place[k])
+            begins[begin] = begins.get(begin, True) and bool(block.common[k])
     for (doc, item), begins in met.items():
         wanted = block.words_of(item)
+        least = min_score * MATCH * len(wanted)
         slack = 4 + len(wanted) // 2
         lo, hi = int(starts[doc]), int(starts[doc + 1])
         best, reach = (0.0, 0, 0), None
-        for begin in sorted(set(begins)):
+        for begin in sorted(begins):
             if reach is not None and begin <= reach:
                 continue  # inside the window before
-            reach = begin + slack // 2
             a, b = max(lo, begin - slack), min(hi, begin + len(wanted) + slack + slack // 2)
+            if begins[begin] and not may_reach(words[a:b], wanted, least):
+                continue
+            reach = begin + slack // 2
             value, first, last = align(words[a:b], wanted)
             score = value / (MATCH * len(wanted))
             if score > best[0]:
@@ -227,7 +237,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE)
     """doc_id, item_id, score, first_word, last_word of every document and item that match."""
     out = None
     for block in blocks(benchmark):
-        found = with_matches(docs.select("doc_id", "text"), rare(docs, block), min_score)
+        found = with_matches(docs.select("doc_id", "text"), ranked(docs, block), min_score)
         rows = found.select("doc_id", F.inline("_matches"))
         out = rows if out is None else out.unionByName(rows)
     if out is None:
@@ -243,5 +253,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_
         name = "_" + name
     kept = docs
     for block in blocks(benchmark):
-        kept = with_matches(kept, rare(docs, block), min_score, name).where(F.size(name) == 0).drop(name)
+        kept = with_matches(kept, ranked(docs, block), min_score, name).where(F.size(name) == 0).drop(name)
     return kept

@@ -261,6 +261,19 @@ def test_blocks_and_empty_tables(planted, monkeypatch):
     assert decontamination.decontaminate(docs, bench.limit(0)).count() == 9
 
 
+@pytest.mark.parametrize("copies", [10, 11, 1000])
+def test_part_shared_by_many_is_found(spark, copies):
+    words, others = [f"word{i}" for i in range(20)], [f"other{i}" for i in range(20)]
+    edited = [w if i % 6 else f"new{i}" for i, w in enumerate(others)]  # 6 of 17 seeds intact
+    texts = [" ".join(["before", *part, "after"]) for part in (words[:10], edited)]
+    phrase = " ".join(["so", *words[:4], "and", "no", "more"])
+    docs = [(k * 3 + j, t) for k in range(copies) for j, t in enumerate([*texts, phrase])]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(others))], "item_id long, text string")
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in decontamination.matches(table, bench).collect()) == [i for i, _ in docs if i % 3 < 2]
+    assert sorted(r.doc_id for r in decontamination.decontaminate(table, bench).collect()) == [i for i, _ in docs if i % 3 == 2]
+
+
 def plain_local_score(a, b):
     best, before = 0, [0] * (len(a) + 1)
     for y in b:
