@@ -5,12 +5,13 @@ run of SEED_WORDS words of a test item is a seed. A first pass counts the seeds
 seeds that are far more frequent than their item's typical seed are common: mostly phrases, but also the
 stretch of an item that many documents share. A second pass meets the seeds in the documents and aligns the
 words around each meeting with the item. At a common seed it does so only if enough of the item's words
-stand around it for MIN_SCORE, a bound that no alignment exceeds. So no seed is dropped: the counts decide
+stand around it for a match, a bound that no alignment exceeds. So no seed is dropped: the counts decide
 what is bounded first, not what is found. The score is the alignment's value divided by that of a full
-copy (1.0).
+copy (1.0). A match has a score of MIN_SCORE, or a value of RUN_WORDS intact words, whatever share of a long
+item that is.
 
 The benchmark is a query set that is held against all documents in blocks of bounded size; documents are
-never shuffled, and no key can be hot. A copy is found if it keeps one seed intact and scores MIN_SCORE.
+never shuffled, and no key can be hot. A copy is found if it keeps one seed intact and is a match by score or value.
 
 Defined results: null or empty texts and items match nothing; items of fewer than SEED_WORDS words are not
 searched; equal items each give their own match; repeated rows are judged each; an empty benchmark or
@@ -34,6 +35,7 @@ from signalsieve.llm.words import hash_words, own_copy, slices, split
 
 SEED_WORDS = 4
 MIN_SCORE = 0.5
+RUN_WORDS = 13  # an alignment worth so many words in a row is a match in an item of any length
 COMMON_TIMES = 10  # a seed this many times as frequent as its item's median seed is common
 BLOCK_BYTES = 8_000_000  # benchmark text held in a task at a time
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -194,10 +196,10 @@ def find_in_batch(texts: pa.Array, block: Block, min_score: float) -> list[list[
             begins[begin] = begins.get(begin, True) and bool(block.common[k])
     for (doc, item), begins in met.items():
         wanted = block.words_of(item)
-        least = min_score * MATCH * len(wanted)
+        least = MATCH * min(min_score * len(wanted), RUN_WORDS)
         slack = 4 + len(wanted) // 2
         lo, hi = int(starts[doc]), int(starts[doc + 1])
-        best, reach = (0.0, 0, 0), None
+        best, reach = (0, 0, 0), None
         for begin in sorted(begins):
             if reach is not None and begin <= reach:
                 continue  # inside the window before
@@ -206,13 +208,13 @@ def find_in_batch(texts: pa.Array, block: Block, min_score: float) -> list[list[
                 continue
             reach = begin + slack // 2
             value, first, last = align(words[a:b], wanted)
-            score = value / (MATCH * len(wanted))
-            if score > best[0]:
-                best = (score, a + first - lo, a + last - lo)
-                if score == 1.0:
+            if value > best[0]:
+                best = (value, a + first - lo, a + last - lo)
+                if value == MATCH * len(wanted):
                     break
-        if best[0] >= min_score:
-            out[doc].append({"item_id": block.ids[item], "score": best[0], "first_word": best[1], "last_word": best[2]})
+        if best[0] >= least:
+            score = best[0] / (MATCH * len(wanted))
+            out[doc].append({"item_id": block.ids[item], "score": score, "first_word": best[1], "last_word": best[2]})
     for row in out:
         row.sort(key=lambda m: (m["item_id"] is None, m["item_id"] or 0))
     return out

@@ -274,6 +274,17 @@ def test_part_shared_by_many_is_found(spark, copies):
     assert sorted(r.doc_id for r in decontamination.decontaminate(table, bench).collect()) == [i for i, _ in docs if i % 3 == 2]
 
 
+def test_long_run_of_a_long_item_is_found(spark):
+    words = [f"word{i}" for i in range(59)]
+    texts = [words[20:45], words[20:33], words[20:32], words[:18] + ["x"] + words[19:25]]
+    docs = [(i, " ".join(["before", *t, "after"])) for i, t in enumerate(texts)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.score, r.first_word, r.last_word) for r in decontamination.matches(table, bench).collect()}
+    assert got == {0: (25 / 59, 1, 25), 1: (13 / 59, 1, 13), 3: (47 / 118, 1, 25)}
+    assert [r.doc_id for r in decontamination.decontaminate(table, bench).collect()] == [2]
+
+
 def plain_local_score(a, b):
     best, before = 0, [0] * (len(a) + 1)
     for y in b:
