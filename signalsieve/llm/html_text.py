@@ -40,6 +40,7 @@ OUT = "page_id long, url string, text string, n_chars long"
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style template noscript textarea title iframe object svg math select".split())
+RAW_TEXT = set("script style textarea title iframe".split())  # end at their own end tag only; the rest of RAW holds elements
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
              "strike strong sub sup time tt u var wbr".split())
 PROSE = set("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th caption figcaption".split())
@@ -83,6 +84,7 @@ def parse(text: str) -> Node:
     """The element tree of a page; unclosed elements end with their parent."""
     root = Node("#page")
     stack = [root]
+    beside: dict[tuple[int, str], int] = {}  # open elements beyond MAX_DEPTH, by place in the stack and tag
     at, end_of_text = 0, len(text)
     while at < end_of_text:
         m = TOKEN.search(text, at)
@@ -97,26 +99,48 @@ def parse(text: str) -> Node:
             continue
         tag = tag.lower()
         if m["end"]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+            depth = 0
+            for k in range(len(stack) - 1, 0, -1):
+                if beside and beside.get((k, tag)):
+                    beside[k, tag] -= 1  # of an element that was not pushed
+                    del stack[k + 1 :]
+                    depth = -1
+                    break
+                if stack[k].tag == tag:
+                    depth = k
+                    break
             # an inline end tag does not close blocks around it
-            if depth and not (tag in INLINE and any(n.tag in SCOPES for n in stack[depth + 1 :])):
+            if depth > 0 and not (tag in INLINE and any(n.tag in SCOPES for n in stack[depth + 1 :])):
                 del stack[depth:]
+            if beside:
+                beside = {key: n for key, n in beside.items() if n and key[0] < len(stack)}
             continue
         closes = ENDS.get(tag) or ({"p"} if tag in BLOCKS_THAT_END_P else None)
         if closes:
+            implied = next((key for key in beside if key[0] == len(stack) - 1 and key[1] in closes and beside[key]), None)
+            if implied:
+                beside[implied] -= 1
             for k in range(len(stack) - 1, 0, -1):
+                if implied:
+                    break
                 if stack[k].tag in closes:
                     del stack[k:]
+                    beside = {key: n for key, n in beside.items() if key[0] < len(stack)}
                     break
-                if stack[k].tag in SCOPES and stack[k].tag not in closes:
+                if stack[k].tag in ("template", "object") or stack[k].tag in SCOPES and stack[k].tag not in closes:
                     break
         node = Node(tag, m["attrs"])
         stack[-1].children.append(node)
-        if tag in RAW and not m["attrs"].endswith("/"):
+        if tag in RAW_TEXT and not m["attrs"].endswith("/"):
             end = re.compile(rf"</{tag}\s*>", re.I).search(text, at)
             at = end.end() if end else end_of_text
-        elif tag not in VOID and len(stack) < MAX_DEPTH:
-            stack.append(node)  # deeper elements lie side by side; their text stays
+        elif tag in VOID or tag in ("svg", "math") and m["attrs"].endswith("/"):
+            continue
+        elif len(stack) < MAX_DEPTH or tag in RAW and stack[-1].tag not in RAW:
+            stack.append(node)
+        else:  # deeper elements lie side by side; their text stays
+            key = len(stack) - 1, tag
+            beside[key] = beside.get(key, 0) + 1
     return root
 
 
@@ -140,6 +164,8 @@ def _names(node: Node) -> set[str]:
 def weigh(node: Node, host: str) -> None:
     """Fills the words and hashes of a tree, bottom up."""
     digest = xxhash.xxh64(f"{host}\n{node.tag}\n{node.attrs}")
+    if node.tag in RAW:
+        node.children.clear()
     for child in node.children:
         if isinstance(child, str):
             words = child.split()

@@ -54,6 +54,20 @@ def site(n, menu="<div><div>Home Shop About</div></div>"):
     return [(i, f"http://site.example/{i}", page(i)) for i in range(n)]
 
 
+@pytest.mark.parametrize("tag", ["select", "svg", "math", "object", "template", "noscript"])
+def test_unclosed_elements_end_with_their_parent(tag):
+    page = f"<body><article><div><{tag}><b>gone</div><p>the rest of the article stays</p></article></body>"
+    assert html_text.page_text("u", page, lambda h: [False] * len(h)) == "the rest of the article stays"
+    page = f"<body><article><{tag}><b>gone</b></{tag}><p>the text</p></article></body>"
+    assert html_text.page_text("u", page, lambda h: [False] * len(h)) == "the text"
+
+
+def test_ends_of_deep_elements_close_nothing_else():
+    deep = "<div>" * 200 + "deep" + "<select><option>gone</select>" + "</div>" * 200
+    page = f"<body><p>outside</p><div><article>{deep}<p>the rest of the article stays</p></article></div></body>"
+    assert html_text.page_text("u", page, lambda h: [False] * len(h)) == "deep the rest of the article stays"
+
+
 def test_frames_are_removed_and_passages_stay(spark):
     pages = spark.createDataFrame([(*p, "x") for p in site(40)], "page_id long, url string, html string, text string")
     got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
