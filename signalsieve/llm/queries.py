@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalsieve.llm import (
-    compression_quality, decontamination, html_text, license_scan, mixing, ngram_join, quality_rules, token_files,
-    toxicity_chain, warc,
+    compression_quality, decontamination, html_text, license_scan, mixing, ngram_join, prefix_trie, quality_rules,
+    token_files, toxicity_chain, warc,
 )
 from signalsieve.llm.shared import new_folder
 
@@ -138,3 +138,51 @@ def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_license_scan")
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+# CRC-32 of a decimal number: each byte, then eight shifts
+CRC_SQL = """xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1),
+                lambda i: ascii(substr(CAST(conv_id AS VARCHAR), i, 1))::BIGINT)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [k::BIGINT for k in range(8)]),
+                             lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)))"""
+
+
+@query("op11_prefix_trie", f"""
+WITH o AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+        FROM conversations WHERE conv_id IS NOT NULL)
+),
+h AS (SELECT conv_id, {CRC_SQL} % 6 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (
+  SELECT h.conv_id, 0 AS own, o.pos, role, text FROM h JOIN o ON o.conv_id = h.conv_id - h.conv_id % 100 AND o.pos <= h.h
+  UNION ALL
+  SELECT conv_id, 1 AS own, pos, role, text FROM h JOIN o USING (conv_id) WHERE pos > h.h
+),
+s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth, text,
+             sha256(length(role) || ':' || role || text) AS turn FROM r),
+p AS (
+  SELECT a.conv_id, a.depth, any_value(length(a.text)) AS chars,
+         sha256(string_agg(b.turn, '' ORDER BY b.depth)) AS path
+  FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.depth <= a.depth GROUP BY a.conv_id, a.depth
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM h
+),
+q AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p),
+n AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+         sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM q GROUP BY path, depth
+),
+u AS (SELECT n.path, q.path AS up FROM n JOIN q ON q.conv_id = n.conv_id AND q.depth = n.depth - 1),
+c AS (SELECT up AS path, count(*) AS n_children FROM u GROUP BY up),
+t AS (
+  SELECT q.path, sum(CASE WHEN c.path IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved_tokens
+  FROM n LEFT JOIN c ON c.path = n.path JOIN q ON q.conv_id = n.conv_id AND q.depth <= n.depth GROUP BY q.path
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, a.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs,
+       CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM n JOIN t USING (path) LEFT JOIN c ON c.path = n.path LEFT JOIN u ON u.path = n.path LEFT JOIN n a ON a.path = u.up""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
