@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from signalsieve.llm import (
     compression_quality, decontamination, html_text, license_scan, mixing, ngram_join, prefix_trie, quality_rules,
-    token_files, toxicity_chain, warc,
+    token_files, toxicity_chain, warc, whitening,
 )
 from signalsieve.llm.shared import new_folder
 
@@ -182,7 +182,12 @@ t AS (
 )
 SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, a.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs,
        CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
-       CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
 FROM n JOIN t USING (path) LEFT JOIN c ON c.path = n.path LEFT JOIN u ON u.path = n.path LEFT JOIN n a ON a.path = u.up""")
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
