@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from signalsieve.llm import (
     compression_quality, decontamination, html_text, license_scan, mixing, ngram_join, prefix_trie, quality_rules,
-    token_files, toxicity_chain, warc, whitening,
+    token_counts, token_files, toxicity_chain, warc, whitening,
 )
 from signalsieve.llm.shared import new_folder
 
@@ -191,3 +191,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_whitening")
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+TOKEN_LIMIT = 512
+
+
+@query("op13_token_counts")
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each call fills a cache of its own; a lasting one is a path that runs share."""
+    counts = token_counts.count_tokens(
+        table(spark, sf_dir, "documents"), new_folder(spark, "token-counts"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
