@@ -13,6 +13,15 @@ from signalsieve.llm import decontamination, mixing, ngram_join, quality_rules,
 from signalsieve.llm.shared import new_folder, written
 
 
+BATCH_ROWS = 500  # whole texts in an Arrow batch, in and outside the workers
+
+
+def _whole_texts(spark: SparkSession) -> None:
+    """Smaller Arrow batches, also for what a stage returns and its caller writes: a batch of whole texts is
+    held several times, in the executor and in its worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules.good(docs)
@@ -20,11 +29,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    _whole_texts(spark)
     return ngram_join.one_of_each(docs, width=5, share=(80, 100))
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of test items."""
+    _whole_texts(spark)
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -35,6 +46,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files, and each document's place in them as read back."""
+    _whole_texts(spark)
     path = new_folder(spark, "pipeline-tokens")
     token_files.encode(docs, path, public_tokenizers.path("word_bpe_49k.json"))
     return token_files.read_back(spark, path)

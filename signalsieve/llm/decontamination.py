@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from signalsieve.llm.shared import releasing
 from signalsieve.llm.words import hash_words, own_copy, slices, split
 
 SEED_WORDS = 4
@@ -151,6 +152,7 @@ def ranked(docs: DataFrame, block: Block) -> Block:
     if not len(block.seeds):
         return block
 
+    @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(block.seeds), np.int64)
         for batch in batches:
@@ -226,6 +228,7 @@ def with_matches(docs: DataFrame, block: Block, min_score: float = MIN_SCORE, na
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()),
                                ("last_word", pa.int64())]))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, "text"):

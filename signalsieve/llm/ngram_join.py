@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalsieve.llm.graph import components
-from signalsieve.llm.shared import WORD, cut, rows_per_batch, written
+from signalsieve.llm.shared import WORD, cut, releasing, rows_per_batch, written
 from signalsieve.llm.words import hash_words, mixed, shingles, slices, split
 
 SHINGLE = 4
@@ -80,6 +80,7 @@ def distinct_shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarr
 def _scan(docs: DataFrame, width: int) -> DataFrame:
     """kind 0: doc_id, n, sid, th (text hash), point of every document; kind 1: group (as doc_id), its count n."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = np.zeros(1 << ORDER_BITS, np.int64)
 
@@ -114,6 +115,7 @@ def _postings(docs: DataFrame, width: int, share: tuple[int, int], counts: np.nd
     """(key, sid): the shingles of which two linked sets share one; copies in a task say theirs once."""
     part, whole = share
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said: set[int] = set()
         for batch in batches:
@@ -159,6 +161,7 @@ def _ties(postings: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> Data
     known = nodes.groupBy("sid").agg(F.first("n").alias("n"), F.first("point").alias("point"))
     rows = _chunked(met.join(kept, "key"), F.col("crowd")).drop("crowd").join(known, "sid")
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
@@ -238,6 +241,7 @@ def _marks(ids: DataFrame) -> np.ndarray:
 def _sets(docs: DataFrame, width: int, marks: np.ndarray) -> DataFrame:
     """(sid, set) of the documents that are marked; a few more may come along."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bit = batch.column("_bit").to_numpy()

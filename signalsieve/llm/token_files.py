@@ -24,16 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalsieve.llm.shared import rows_per_batch
+from signalsieve.llm.shared import releasing, rows_per_batch
 from signalsieve.llm.words import own_copy, slices, split
 
 END_ID = 2
 FILE_SCHEMA = "doc_id long, part int, first_token long, n_tokens long, ids array<int>"
-TEXT_BYTES = 2_000_000  # text encoded at a time; one text may be longer
-CACHED_WORDS = 120_000  # encoded words a worker keeps, the first it meets
+TEXT_BYTES = 1_000_000  # text encoded at a time; one text may be longer
+CACHED_WORDS = 40_000  # encoded words a worker keeps, the first it meets
 CACHED_LENGTH = 32
 JOINED_WORDS = 500
-BATCH_ROWS = 1_000
+BATCH_ROWS = 500
 MARK = r"[!-&(-/:-@\[-`{-~]"  # ASCII punctuation but the apostrophe, which contractions need
 # signs that may join punctuation in one piece: controls, marks, and a letter that lower-cases to a mark
 OTHER = r"(?:['\x00-\x08\x0e-\x1f\x7fİ]|[^\x00-\x7f\p{L}\p{N}])"
@@ -87,7 +87,7 @@ class Encoder:
         return found
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
@@ -127,8 +127,8 @@ def encode(df: DataFrame, path: str, vocabulary_file: str, end_id: int = END_ID)
     with open(vocabulary_file, encoding="utf-8") as f:
         vocabulary = f.read()  # a vocabulary file: a few MB whatever the corpus
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.default_memory_pool().release_unused()  # of tasks before in this worker
         part, done = TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows in slices(batch, "text", TEXT_BYTES):
@@ -172,6 +172,7 @@ def documents_by_id(spark: SparkSession, path: str, ids: Sequence[int]) -> DataF
     return stored(spark, path).where(F.col("doc_id").isin(list(ids)))
 
 
+@releasing
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("ids")
