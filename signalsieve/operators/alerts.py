@@ -229,3 +229,15 @@ def report_notice(
         "body",
         F.lit(kind).alias("kind"),
     )
+
+
+def notice_alerts(notices: DataFrame) -> DataFrame:
+    """Rows of ``report_notice`` in the shape of alerts, to be routed and rendered like them."""
+    none = F.lit("")
+    values = {
+        "item_id": F.lit(None).cast("long"), "link": none, "site_name": none, "score": F.lit(0), "category": none,
+        "summary": none, "affected_targets": F.array().cast("array<string>"),
+        "data_types": F.array().cast("array<string>"), "estimated_records": F.lit(0), "is_urgent": F.lit(False),
+        "confidence_level": none,
+    }
+    return notices.select("period", *[values.get(n, F.col(n)).alias(n) for n in ALERT_FIELDS])

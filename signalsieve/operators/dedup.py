@@ -99,11 +99,16 @@ def ingest_counters(
     order: list[Column] | None = None,
 ) -> DataFrame:
     """Per source how many rows were fetched, new, stale and fresh."""
-    fetched = batch.groupBy("site_name").agg(F.count(F.lit(1)).alias("fetched"))
     order = order or [F.col("source_rank"), F.col("position")]
     # keep only what the counters need before the rows move
     narrow = batch.select("link", "site_name", "pub_date", *[c.alias(f"_o{i}") for i, c in enumerate(order)])
     unseen = new_items(dedup_links(narrow, [F.col(f"_o{i}") for i in range(len(order))]), items)
+    return counters_of(batch, unseen, max_age_days, now)
+
+
+def counters_of(batch: DataFrame, unseen: DataFrame, max_age_days: int, now: datetime) -> DataFrame:
+    """D5 where the new rows of the batch are at hand."""
+    fetched = batch.groupBy("site_name").agg(F.count(F.lit(1)).alias("fetched"))
     fresh = is_fresh(F.col("pub_date"), max_age_days, now)
     counted = unseen.groupBy("site_name").agg(
         F.count(F.lit(1)).alias("new"),

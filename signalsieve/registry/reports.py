@@ -165,10 +165,10 @@ def _(spark, sf):
 _TOP = f"""(SELECT row_number() OVER (ORDER BY an.score DESC, it.id) AS rank, an.score, it.title, an.summary, it.link
   FROM it JOIN an ON an.item_id = it.id WHERE CAST(it.created_at + to_hours(8) AS DATE) = DATE '{DAY}'
   QUALIFY row_number() OVER (ORDER BY an.score DESC, it.id) <= 20)"""
-_LINE = ("(chr(10) || rank || '. [' || score || '/10] ' || title || chr(10) || '   ' || summary || chr(10) || '   ' || link)")
+LINE = ("(chr(10) || rank || '. [' || score || '/10] ' || title || chr(10) || '   ' || summary || chr(10) || '   ' || link)")
 
 
-@query("p9_topn_digest", f"WITH {ANALYSIS} SELECT CAST(rank AS INTEGER) AS rank, {_LINE} AS line FROM {_TOP} t")
+@query("p9_topn_digest", f"WITH {ANALYSIS} SELECT CAST(rank AS INTEGER) AS rank, {LINE} AS line FROM {_TOP} t")
 def _(spark, sf):
     return P.topn_digest(items_unique(spark, sf), analysis_unique(spark, sf), DAY).select("rank", "line")
 
@@ -289,7 +289,7 @@ def _(spark, sf):
 
 @query("n7_report_notice", f"""WITH {ANALYSIS}, t AS (SELECT {_D.replace('created_at', 'it.created_at')} AS period, count(*) AS n FROM it GROUP BY 1),
 d AS (SELECT '{DAY}' AS period, chr(10) || chr(10) || '📊 Today''s top ' || count(*) || ':' || chr(10)
-  || string_agg({_LINE}, '' ORDER BY rank) AS digest FROM {_TOP} x)
+  || string_agg({LINE}, '' ORDER BY rank) AS digest FROM {_TOP} x)
 SELECT t.period, 'Daily leak report ' || t.period AS title, n || ' leak items collected' || coalesce(digest, '') AS body, 'daily' AS kind
 FROM t LEFT JOIN d ON d.period = t.period""")
 def _(spark, sf):

@@ -4,16 +4,19 @@ a new folder below the checkpoint folder and returns what arrived there."""
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalsieve.operators.alerts import Channel
 from signalsieve.registry.base import ITEMS, parts_cte, query, scored_cte, stamp, triage_cte
+from signalsieve.registry.reports import LINE
 from signalsieve.registry.store import _STALE
 from signalsieve.registry.views import NOW, event_items, items_from, table
 from signalsieve.session import ensure_checkpoint_dir
 from signalsieve.streaming.cycle import CycleSettings, stream_cycle
+from signalsieve.streaming.links import read_first_rows, write_first_rows
 from signalsieve.streaming.store import Store
 from signalsieve.streaming.windows import (
     read_counts, stream_counts, stream_dedup, stream_late, stream_retention, write_counts,
@@ -42,10 +45,10 @@ def drained(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def cycle_store(spark, sf) -> Store:
+def cycle_store(spark, sf, **more) -> Store:
     store = Store(spark, new_folder(spark))
     channels = (Channel("text", "text"), Channel("mobile", "rich"))
-    settings = CycleSettings(clock=lambda _: NOW, channels=channels)
+    settings = CycleSettings(clock=lambda _: NOW, channels=channels, **more)
     stream_cycle(items_from(stream_of(spark, sf, "documents")), store, settings).awaitTermination()
     return store
 
@@ -79,6 +82,37 @@ def _(spark, sf):
     )
 
 
+@query("st1_stream_counters", f"""WITH {ITEMS}
+SELECT f.site_name, f.fetched, count(it.id) AS new, count(it.id) FILTER (WHERE {_STALE}) AS stale,
+  count(it.id) FILTER (WHERE NOT {_STALE}) AS fresh
+FROM (SELECT site_name, count(*) AS fetched FROM it_all GROUP BY 1) f LEFT JOIN it ON it.site_name = f.site_name GROUP BY 1, 2""")
+def _(spark, sf):
+    return cycle_store(spark, sf).read("counters").drop("counted_at")
+
+
+_TODAY = (NOW + timedelta(hours=8)).date()
+_MONDAY = _TODAY - timedelta(days=_TODAY.weekday())
+_WEEK = f"{_MONDAY}_{_MONDAY + timedelta(days=6)}"
+
+
+@query("st1_stream_notices", f"""WITH {_CYCLE},
+local AS (SELECT *, CAST(created_at + to_hours(8) AS DATE) AS day FROM it),
+top AS (SELECT row_number() OVER (ORDER BY score DESC, id) AS rank, score, title, summary, link FROM scored
+  WHERE CAST(created_at + to_hours(8) AS DATE) = DATE '{_TODAY}' QUALIFY rank <= 20),
+digest AS (SELECT chr(10) || chr(10) || '📊 Today''s top ' || count(*) || ':' || chr(10) || string_agg({LINE}, '' ORDER BY rank) AS text
+  FROM top HAVING count(*) > 0),
+sent AS (
+  SELECT 'daily' AS kind, '{_TODAY}' AS period, 'Daily leak report {_TODAY}' AS title,
+    (SELECT count(*) FROM local WHERE day = DATE '{_TODAY}') || ' leak items collected' || coalesce((SELECT text FROM digest), '') AS body
+  UNION ALL SELECT 'weekly', '{_WEEK}', 'Weekly leak report {_WEEK}',
+    (SELECT count(*) FROM local WHERE day BETWEEN DATE '{_MONDAY}' AND DATE '{_MONDAY + timedelta(days=6)}') || ' leak items collected'
+)
+SELECT kind, period, title, body, channel FROM sent, (VALUES ('text'), ('mobile')) ch(channel)""")
+def _(spark, sf):
+    store = cycle_store(spark, sf, daily_notice=True, weekly_notice_on=_TODAY.weekday())
+    return store.read("notices").select("kind", "period", "title", "body", "channel")
+
+
 _EVENTS = """ev AS (SELECT event_id AS id, 'https://example.org/e/' || user_id || '/' || event_type AS link,
   strftime(ts - to_days(CAST(event_id % 14 AS INTEGER)), '%Y-%m-%dT%H:%M:%SZ') AS pub_date, 'site' || (user_id % 20) AS site_name,
   date_trunc('second', ts) AS created_at FROM events)"""
@@ -93,6 +127,19 @@ def _(spark, sf):
     return drained(stream_dedup(_events(spark, sf), "90 days").select("link"))
 
 
+@query("st2_stream_first_rows", f"""WITH {_EVENTS} SELECT link, id, site_name FROM ev
+QUALIFY row_number() OVER (PARTITION BY link ORDER BY id) = 1""")
+def _(spark, sf):
+    # the events in four files, so that later micro-batches bring smaller ids of known links
+    landed = f"{new_folder(spark)}/in"
+    events = table(spark, sf, "events")
+    events.withColumn("part", c("event_id") % 4).repartition("part").write.partitionBy("part").parquet(landed)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{landed}/part=*")
+    rows, folder = event_items(stream), new_folder(spark)
+    write_first_rows(rows, folder, lambda _: NOW, order=("id",), buckets=16).awaitTermination()
+    return read_first_rows(spark, folder, rows.schema, order=("id",)).select("link", "id", "site_name")
+
+
 @query("st3_stream_late", f"""WITH {_EVENTS}
 SELECT id, site_name, strptime(pub_date, '%Y-%m-%dT%H:%M:%SZ') <= created_at - to_days(7) AS late FROM ev""")
 def _(spark, sf):

@@ -11,10 +11,13 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from signalsieve import schemas
+from signalsieve.operators.alerts import pending_urgent_outbox
 from signalsieve.operators.store import newest_analysis, prune
+from signalsieve.streaming.links import LinkIndex
+from signalsieve.streaming.tables import exists, read_table
 
 OUTBOX = StructType(
     [f for f in schemas.ANALYSIS.fields if f.name in ("item_id",)]
@@ -24,30 +27,60 @@ OUTBOX = StructType(
         "is_urgent", "confidence_level")]
     + [StructField(n, StringType()) for n in ("channel", "layout", "payload")]
 )
-TABLES = {"items": schemas.ITEMS, "analysis": schemas.ANALYSIS, "outbox": OUTBOX, "notified": schemas.NOTIFIED}
+# urgent alerts that no batch has sent yet, as of each batch
+OPEN_URGENT = StructType([f for f in OUTBOX.fields if f.name not in ("channel", "layout", "payload")])
+COUNTERS = StructType(
+    [StructField("site_name", StringType())] + [StructField(n, LongType()) for n in ("fetched", "new", "stale", "fresh")]
+    + [StructField("counted_at", TimestampType())]
+)
+NOTICES = StructType([StructField(n, StringType()) for n in ("kind", "period", "title", "body", "channel", "layout", "payload")])
+ANSWERS = StructType(
+    [StructField("item_id", LongType()), StructField("provider", StringType()), StructField("ord", IntegerType()),
+     StructField("json", StringType()), StructField("error", StringType())]
+)
+CYCLES = StructType([StructField("done_at", TimestampType())])
+TABLES = {
+    "items": schemas.ITEMS, "analysis": schemas.ANALYSIS, "outbox": OUTBOX, "notified": schemas.NOTIFIED,
+    "open_urgent": OPEN_URGENT, "counters": COUNTERS, "notices": NOTICES, "answers": ANSWERS, "cycles": CYCLES,
+}
 INITIAL = -1
 
 
 @dataclass(frozen=True)
 class Store:
-    """Item, analysis, outbox and notified tables under one shared folder."""
+    """The tables of the cycle and the index of stored links under one shared folder."""
 
     spark: SparkSession
     root: str
 
+    @property
+    def links(self) -> LinkIndex:
+        return LinkIndex(self.spark, f"{self.root}/_links")
+
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
     def create(self) -> "Store":
-        """Empty tables where there are none, so that the first batch can read them."""
-        for table, schema in TABLES.items():
-            empty = self.spark.createDataFrame([], schema)
-            empty.coalesce(1).write.mode("ignore").parquet(f"{self.path(table)}/batch_id={INITIAL}")
+        """Marks a new store. One of an earlier version gets what it lacks: an index of its links, and as open ones the
+        urgent items that nobody was told about."""
+        if exists(self.spark, self.path("cycles")):
+            return self
+        if exists(self.spark, self.path("items")):
+            missed = pending_urgent_outbox(self.read("items"), self.current_analysis(), self.read("notified"))
+            self.write("open_urgent", missed, INITIAL)
+            self.links.create(self.read("items"))
+        self.write("cycles", self.spark.createDataFrame([], CYCLES), INITIAL)
         return self
 
+    def last_batch(self, before: int) -> int:
+        """The last complete batch before the given one."""
+        rows = read_table(self.spark, self.path("cycles"), "done_at timestamp, batch_id int")
+        found = rows.filter(F.col("batch_id") < before).agg(F.max("batch_id")).first()[0]
+        return INITIAL if found is None else found
+
     def read(self, table: str, before: int | None = None, batch: int | None = None) -> DataFrame:
         schema = StructType(TABLES[table].fields + [StructField("batch_id", IntegerType())])
-        rows = self.spark.read.schema(schema).parquet(self.path(table))
+        rows = read_table(self.spark, self.path(table), schema)
         if before is not None:
             rows = rows.filter(F.col("batch_id") < before)
         if batch is not None:
@@ -72,5 +105,6 @@ class Store:
         target.write("analysis", kept.analysis, INITIAL)
         alive = target.read("items").select(F.col("id").alias("item_id"))
         target.write("notified", self.read("notified").join(alive, "item_id", "left_semi"), INITIAL)
-        target.write("outbox", self.read("outbox"), INITIAL)
-        return target
+        for table in ("outbox", "counters", "notices"):
+            target.write(table, self.read(table), INITIAL)
+        return target.create()

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from signalsieve.functions import fixed_values as fv
 from signalsieve.functions.periods import utc_literal
 from signalsieve.operators.dedup import published_at
+from signalsieve.streaming.tables import read_table
 
 COUNTS = "window_start timestamp, window_end timestamp, site_name string, n long"
 
@@ -86,8 +87,8 @@ def write_counts(
 
 
 def read_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """window_start, window_end, site_name, n of all windows so far, open ones included."""
-    parts = spark.read.schema(COUNTS).parquet(f"{folder}/counts/batch=*")
+    """window_start, window_end, site_name, n of all windows so far, open ones included; none before the first batch."""
+    parts = read_table(spark, f"{folder}/counts", COUNTS)
     return parts.groupBy("window_start", "window_end", "site_name").agg(F.sum("n").alias("n"))
 
 

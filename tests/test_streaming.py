@@ -1,10 +1,12 @@
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from signalsieve.operators.alerts import Channel
 from signalsieve.streaming.cycle import CycleSettings, identified, run_cycle, stream_cycle
-from signalsieve.streaming.store import Store
+from signalsieve.streaming.links import LinkIndex, first_rows_of_batch, read_first_rows, write_first_rows
+from signalsieve.streaming.store import TABLES, Store
 from signalsieve.streaming.windows import read_counts, stream_counts, stream_dedup, stream_retention, write_counts
 
 NOW = datetime(2024, 1, 20, 12)
@@ -49,7 +51,7 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     batch = identified(spark.read.schema(SCHEMA).parquet(folder), F.lit(NOW.isoformat()).cast("timestamp"))
     store = Store(spark, str(tmp_path / "store")).create()
     settings = CycleSettings(clock=lambda n: NOW)
-    tables = ("items", "analysis", "outbox", "notified")
+    tables = tuple(TABLES)
 
     def state():
         return {t: sorted(map(str, store.read(t).collect())) for t in tables}
@@ -59,7 +61,13 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     run_cycle(batch, 0, store, settings)
     assert state() == first
     run_cycle(batch, 1, store, settings)
-    assert state() == first
+    second = state()
+    assert {t: v for t, v in second.items() if t not in ("counters", "cycles")} == {
+        t: v for t, v in first.items() if t not in ("counters", "cycles")}
+    seen = [r for r in store.read("counters").collect() if not r.new]
+    assert [(r.site_name, r.fetched, r.stale, r.fresh) for r in seen] == [("leakbase", 2, 0, 0)]
+    run_cycle(batch, 1, store, settings)
+    assert state() == second
 
 
 def test_missed_urgent_items_are_sent_once(spark, tmp_path):
@@ -145,8 +153,143 @@ def test_late_rows_count_and_open_windows_show(spark, tmp_path):
     assert got == [("2024-01-01 16:00:00", 2), ("2024-01-05 16:00:00", 1), ("2024-01-09 16:00:00", 1)]
 
 
+def test_nothing_read_before_the_first_batch(spark, tmp_path):
+    assert read_counts(spark, str(tmp_path)).count() == 0
+    assert read_first_rows(spark, str(tmp_path), LINKS).count() == 0
+
+
 def test_retention(spark):
     df = spark.createDataFrame([("a", NOW - timedelta(days=10), "s"), ("b", NOW - timedelta(days=11), "s")],
                                "link string, created_at timestamp, site_name string")
     assert [r.link for r in stream_retention(df, 10, NOW).collect()] == ["a"]
     assert stream_retention(df, 0, NOW).count() == 2
+
+
+LINKS = "link string, source_rank int, position long, site_name string"
+
+
+def link_rows(spark, rows):
+    return spark.createDataFrame([(link, rank, pos, f"s{rank}") for link, rank, pos in rows], LINKS)
+
+
+def test_smallest_row_of_a_link_wins_whenever_it_comes(spark, tmp_path):
+    """Late duplicates, replays, nulls, and a compaction in between."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, "", *"abcdefghij"]), rng.randrange(5), i) for i in range(200)]
+    rng.shuffle(rows)
+    folder, order = str(tmp_path), ("source_rank", "position")
+    index = LinkIndex(spark, f"{folder}/links", order, buckets=4)
+    best = {}
+    for n in range(4):
+        part = rows[50 * n : 50 * n + 50]
+        for turn in range(1 + (n == 2)):  # the third batch is replayed
+            first_rows_of_batch(link_rows(spark, part), n, folder, index, NOW + timedelta(days=n))
+        for link, rank, pos in part:
+            best[link] = min(best.get(link, (9, 0)), (rank, pos))
+        found = read_first_rows(spark, folder, LINKS).collect()
+        assert len(found) == len(best) and {r.link: (r.source_rank, r.position) for r in found} == best
+        if n == 1:
+            index.compact(1)
+            written = index.spark.read.parquet(f"{folder}/links/versions/batch_id=1").count()
+            assert written == len(best)
+
+
+def test_stream_of_first_rows(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    for rows in ([("a", 3, 0), ("b", 1, 1), ("a", 2, 5)], [("a", 1, 9), ("b", 2, 0), ("c", 0, 0)]):
+        link_rows(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(LINKS).option("maxFilesPerTrigger", 1).parquet(folder)
+    write_first_rows(stream, str(tmp_path / "out"), lambda n: NOW, buckets=8).awaitTermination()
+    found = read_first_rows(spark, str(tmp_path / "out"), LINKS).collect()
+    assert {(r.link, r.source_rank, r.position) for r in found} == {("a", 1, 9), ("b", 1, 1), ("c", 0, 0)}
+
+
+def test_a_batch_reads_only_the_buckets_of_its_links(spark, tmp_path):
+    """Files of all other buckets may hold anything: they are never opened."""
+    index = LinkIndex(spark, str(tmp_path), (), buckets=16)
+    links = spark.createDataFrame([(f"l{i}",) for i in range(100)], "link string")
+    index.add(links, 0, NOW)
+    index.compact(0)
+    index.add(spark.createDataFrame([(f"m{i}",) for i in range(100)], "link string"), 1, NOW)
+    batch = spark.createDataFrame([("l7",), ("m9",), ("new",)], "link string")
+    wanted = {f"bucket={b}" for b in index.touched(batch)}
+    spoiled = 0
+    for path in tmp_path.rglob("*.parquet"):
+        if path.parent.name.startswith("bucket=") and path.parent.name not in wanted:
+            path.write_bytes(b"not a table")
+            spoiled += 1
+    assert spoiled > 16 and len(wanted) <= 3
+    assert sorted(r.link for r in index.known(batch, before=2).collect()) == ["l7", "m9"]
+    assert sorted(r.link for r in index.known(batch, before=1).collect()) == ["l7"]
+
+
+def test_index_forgets_links_that_were_not_seen_lately(spark, tmp_path):
+    index = LinkIndex(spark, str(tmp_path), (), buckets=4)
+    for n, names in enumerate(("ab", "bc", "d")):
+        index.add(spark.createDataFrame([(x,) for x in names], "link string"), n, NOW + timedelta(days=n))
+    index.compact(1, seen_since=NOW + timedelta(days=1))
+    everything = spark.createDataFrame([(x,) for x in "abcde"], "link string")
+    assert sorted(r.link for r in index.known(everything, before=3).collect()) == ["b", "c", "d"]
+
+
+def test_store_without_an_index_gets_one(spark, tmp_path):
+    """Tables of an earlier version: items, analysis, outbox and notified only."""
+    batch = land_batch(spark, tmp_path, [(HOT, "l1", "", 0), ("quiet", "l2", "", 0)])
+    old = Store(spark, str(tmp_path / "old")).create()
+    run_cycle(batch, 0, old, CycleSettings(clock=lambda n: NOW, notify_min_score=11))
+    store = Store(spark, str(tmp_path / "store"))
+    for table in ("items", "analysis", "outbox", "notified"):
+        store.write(table, old.read(table), 0)
+    store.create()
+    run_cycle(batch, 1, store, CycleSettings(clock=lambda n: NOW))
+    assert store.read("items").count() == 2
+    assert [r.title for r in store.read("outbox").collect()] == ["[leakbase] " + HOT]
+
+
+def land_batch(spark, tmp_path, rows):
+    folder = str(tmp_path / "in")
+    land(spark, folder, rows)
+    return identified(spark.read.schema(SCHEMA).parquet(folder), F.lit(NOW.isoformat()).cast("timestamp"))
+
+
+def test_notices_are_sent_once_a_period(spark, tmp_path):
+    batch = land_batch(spark, tmp_path, [(HOT, "l1", "", 0), ("quiet", "l2", "", 0)])
+    store = Store(spark, str(tmp_path / "store")).create()
+    # Saturday noon, the same local day, and the next one
+    times = [NOW, NOW + timedelta(hours=2), NOW + timedelta(days=1)]
+    settings = CycleSettings(clock=lambda n: times[n], daily_notice=True, weekly_notice_on=5,
+                             channels=(Channel("t", "text"), Channel("e", "embed", send_daily=False)))
+    for n in (0, 0, 1, 2, 2):
+        run_cycle(batch, n, store, settings)
+    rows = {(r.kind, r.period, r.channel): r.body for r in store.read("notices").collect()}
+    assert store.read("notices").count() == len(rows) == 4
+    assert rows["daily", "2024-01-20", "t"].startswith("2 leak items") and HOT in rows["daily", "2024-01-20", "t"]
+    assert rows["daily", "2024-01-21", "t"] == "0 leak items collected"
+    assert rows["weekly", "2024-01-15_2024-01-21", "t"] == rows["weekly", "2024-01-15_2024-01-21", "e"] == "2 leak items collected"
+
+
+def test_providers_answer_before_the_rules(spark, tmp_path):
+    good = '{"score": 9, "category": "access_sale", "summary": "m", "is_urgent": true}'
+
+    def providers(items):
+        answers = [(0, "first", '{"score": 99}'), (1, "second", good)]
+        each = F.explode(F.array(*(F.struct(F.lit(o).alias("ord"), F.lit(p).alias("provider"), F.lit(j).alias("json")) for o, p, j in answers)))
+        return items.filter("link = 'l1'").select(F.col("id").alias("item_id"), each.alias("a")).select(
+            "item_id", "a.provider", "a.ord", "a.json", F.lit(None).cast("string").alias("error"))
+
+    batch = land_batch(spark, tmp_path, [(HOT, "l1", "", 0), (HOT, "l4", "", 0)])
+    store = Store(spark, str(tmp_path / "store")).create()
+    run_cycle(batch, 0, store, CycleSettings(clock=lambda n: NOW, providers=providers))
+    links = {r.id: r.link for r in store.read("items").collect()}
+    models = {links[r.item_id]: (r.model_used, r.score) for r in store.read("analysis").collect()}
+    assert models["l1"] == ("second", 9) and models["l4"][0] == "rules-engine"
+    assert store.read("answers").count() == 2
+    assert {r.category for r in store.read("outbox").collect() if r.link == "l1"} == {"access_sale"}
+
+
+def test_without_analysis_every_fresh_item_is_a_message(spark, tmp_path):
+    batch = land_batch(spark, tmp_path, [(HOT, "l1", "", 0), ("quiet", "l2", "", 0), (HOT, "l3", "2024-01-01T00:00:00Z", 0)])
+    store = Store(spark, str(tmp_path / "store")).create()
+    run_cycle(batch, 0, store, CycleSettings(clock=lambda n: NOW, analyze=False))
+    assert sorted(r.link for r in store.read("outbox").collect()) == ["l1", "l2"]
+    assert store.read("analysis").count() == 0 and store.read("items").count() == 3
