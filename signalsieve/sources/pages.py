@@ -1,4 +1,8 @@
-"""Main text of raw pages as Markdown-like text, Arrow batch by Arrow batch."""
+"""Main text of raw pages as Markdown-like text.
+
+A small tokenizer in Python turns each page into blocks, (container, text) in page order; which container is the main
+one and what its text is follows from the blocks in Spark expressions, page by page and without a shuffle.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +12,13 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signalsieve.operators.settle import settle
+
 # workers get this helper by value, so a job needs no extra files on the executors
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -30,19 +36,25 @@ def _boilerplate(named: str) -> bool:
     return any(re.split("[-_]", name)[0] in BOILERPLATE for name in named.lower().split())
 
 
-class _Reader(HTMLParser):
+CONTAINERS = ("article", "main", "body")
+BLOCK = "struct<container:string,text:string>"
+
+
+class _Tokenizer(HTMLParser):
+    """Emits the blocks of a page; text in dropped elements is passed over."""
+
     def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
         self.url = url
         self.muted: list[str] = []  # open tags since a dropped one
         self.open: list[str] = []  # open tags around it
-        self.parts: dict[str, list[str]] = {"article": [], "main": [], "body": []}
+        self.blocks: list[dict] = []
         self.inside = {"article": 0, "main": 0}
         self.links: list[str] = []
 
     def _emit(self, text: str) -> None:
         place = next((k for k in ("article", "main") if self.inside[k]), "body")
-        self.parts[place].append(text)
+        self.blocks.append({"container": place, "text": text})
 
     def handle_starttag(self, tag, attrs):
         if self.muted:
@@ -104,42 +116,78 @@ class _Reader(HTMLParser):
             self._emit(re.sub(r"\s+", " ", data))
 
 
-def main_text(html: str | None, url: str | None = "") -> str | None:
-    """Main text of one page; None when the page has none."""
-    reader = _Reader(url or "")
+def _blocks_of(html: str | None, url: str | None) -> list[dict]:
+    tokenizer = _Tokenizer(url or "")
     try:
-        reader.feed(html or "")
-        reader.close()
+        tokenizer.feed(html or "")
+        tokenizer.close()
     except (AssertionError, ValueError):
-        return None
-    sizes = {place: sum(len(x.split()) for x in parts) for place, parts in reader.parts.items()}
-    fair = [p for p in ("article", "main") if sizes[p] >= FAIR_SHARE * sum(sizes.values())]
-    for place in [*fair, *sorted(sizes, key=sizes.get, reverse=True)]:
-        text = "".join(reader.parts[place])
-        text = re.sub(r"[ \t]*\n[ \t]*", "\n", re.sub(r"\*\*\s*\*\*|\[\s*\]\([^)]*\)", "", text))
-        text = re.sub(r"\n{3,}", "\n\n", text).strip()
-        if text:
-            return text
-    return None
+        return []  # a page that cannot be read has no text
+    return tokenizer.blocks
 
 
-def page_main_text(pages: DataFrame, max_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html) rows to (page_id, url, full_content), from whole pages. With ``max_bytes``
-    set, input beyond it is not read, as when a page was loaded in part."""
+def page_blocks(pages: DataFrame, max_bytes: int = 0) -> DataFrame:
+    """page_id, url, blocks (container and text, in page order) of (page_id, url, html) rows, from whole pages.
+    With ``max_bytes`` set, input beyond it is not read, as when a page was loaded in part."""
     cap = F.col("html")
     if max_bytes > 0:
         # characters first (cheap, JVM-side), exact bytes in the worker
         cap = F.when(F.octet_length("html") > max_bytes, F.substring("html", 1, max_bytes)).otherwise(F.col("html"))
+    kind = pa.list_(pa.struct([("container", pa.string()), ("text", pa.string())]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for html, url in zip(batch["html"], batch["url"]):
+            found = []
+            for html, url in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist()):
                 if html is not None and max_bytes > 0:
                     html = html.encode("utf-8")[:max_bytes].decode("utf-8", "ignore")
-                texts.append(main_text(html, url))
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "full_content": texts})
+                found.append(_blocks_of(html, url))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(found, kind)], names=["page_id", "url", "blocks"])
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", cap.alias("html")).mapInArrow(
+        run, f"page_id long, url string, blocks array<{BLOCK}>")
+
+
+def block_rows(blocks: DataFrame) -> DataFrame:
+    """page_id, url, block (from 0), container, text: the blocks of ``page_blocks`` as rows."""
+    return blocks.select("page_id", "url", F.posexplode("blocks").alias("block", "_b")).select("page_id", "url", "block", "_b.*")
 
-    return pages.select("page_id", "url", cap.alias("html")).mapInPandas(
-        run, "page_id bigint, url string, full_content string"
-    )
+
+def _joined(blocks: Column, container: str) -> Column:
+    """Text of a container; empty marks, spaces around line ends and blank lines beyond one are dropped."""
+    mine = F.filter(blocks, lambda b: b["container"] == container)
+    text = F.array_join(F.transform(mine, lambda b: b["text"]), "")
+    text = F.regexp_replace(text, r"\*\*\s*\*\*|\[\s*\]\([^)]*\)", "")
+    text = F.regexp_replace(F.regexp_replace(text, r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n")
+    return F.btrim(text, F.lit(" \t\n\r\f\x0b"))
+
+
+def _words(blocks: Column, container: str) -> Column:
+    words = lambda b: F.regexp_count(b["text"], F.lit(r"\S+"))
+    mine = F.filter(blocks, lambda b: b["container"] == container)
+    return F.aggregate(F.transform(mine, words), F.lit(0), lambda a, n: a + n)
+
+
+def main_text(blocks: DataFrame) -> DataFrame:
+    """page_id, url, full_content: the article or main text if it is a fair share of the page's words, else that of
+    the largest container; null where there is none."""
+    kept = ["page_id", "url"]
+    named = blocks.select(*kept, F.coalesce("blocks", F.array().cast(f"array<{BLOCK}>")).alias("blocks"))
+    sized = settle(named, [*kept, "blocks"], {f"_{c}": _words(F.col("blocks"), c) for c in CONTAINERS})
+    total = sum((F.col(f"_{c}") for c in CONTAINERS), F.lit(0))
+    ranked = []
+    for i, c in enumerate(CONTAINERS):
+        size = F.col(f"_{c}")
+        fair = (size >= F.lit(FAIR_SHARE) * total) & F.lit(c != "body")
+        # fair containers first in their order, then the largest
+        ranked.append(F.struct(
+            F.when(fair, 0).otherwise(1).alias("a"), F.when(fair, i).otherwise(-size).alias("b"), F.lit(i).alias("c"),
+            _joined(F.col("blocks"), c).alias("text")))
+    best = F.array_min(F.filter(F.array(*ranked), lambda r: r["text"] != ""))
+    return sized.select(*kept, best["text"].alias("full_content"))
+
+
+def page_main_text(pages: DataFrame, max_bytes: int = 0) -> DataFrame:
+    """(page_id, url, html) rows to (page_id, url, full_content); ``max_bytes`` as in ``page_blocks``."""
+    return main_text(page_blocks(pages, max_bytes))

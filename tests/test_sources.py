@@ -8,7 +8,7 @@ from signalsieve.operators import catalog as C
 from signalsieve.sources import directories as DIR
 from signalsieve.sources import victims as V
 from signalsieve.sources.feeds import author_name, feed_date, read_feed_files, scan_feed_xml
-from signalsieve.sources.pages import main_text, page_main_text
+from signalsieve.sources.pages import block_rows, page_blocks, page_main_text
 from signalsieve.sources.tables import INPUT_PARTITIONS, scan_items, spread
 
 
@@ -71,13 +71,37 @@ def test_victim_lists(spark, tmp_path):
 def test_main_text(spark):
     html = ("<html><head><title>x</title></head><body><nav>menu</nav><div class='ad'>buy</div><article><h1>Head</h1>"
             "<p>One <b>two</b> <a href='/x'>link</a></p><script>no()</script><ul><li>a<li>b</ul></article><footer>f</footer></body></html>")
-    assert main_text(html, "https://e.org/p") == "# Head\n\nOne **two** [link](https://e.org/x)\n\n- a\n- b"
-    assert main_text("<body><p>only</p></body>", "") == "only"
-    assert main_text("<nav>x</nav>", "") is None and main_text(None, "") is None
-    assert main_text('<div class="wrap no-sidebar"><p>kept</p></div><div class="ad-top">x</div>') == "kept"
-    assert main_text("<form><p>forum post</p></form>") == "forum post"
-    assert main_text("<div><nav>unclosed</div><p>rest</p>") == "rest"
-    assert main_text("<article>hi</article><div>" + "long text " * 9 + "</div>") == ("long text " * 9).strip()
+    pages = {
+        html: "# Head\n\nOne **two** [link](https://e.org/x)\n\n- a\n- b",
+        "<body><p>only</p></body>": "only",
+        "<nav>x</nav>": None,
+        None: None,
+        '<div class="wrap no-sidebar"><p>kept</p></div><div class="ad-top">x</div>': "kept",
+        "<form><p>forum post</p></form>": "forum post",
+        "<div><nav>unclosed</div><p>rest</p>": "rest",
+        "<article>hi</article><div>" + "long text " * 9 + "</div>": ("long text " * 9).strip(),
+        "<article> </article><main>in main</main><p>some other words out here</p>": "some other words out here",
+        "<article>two words</article><main>and two</main><p>x y</p>": "two words",
+        "<p>a &amp; b&nbsp;&lt;c&gt;</p><b> </b><a href='u'> </a>": "a & b <c>",
+    }
+    order = list(pages)
+    df = spark.createDataFrame([(i, "https://e.org/p", h) for i, h in enumerate(order)], "page_id long, url string, html string")
+    found = {r.page_id: r.full_content for r in page_main_text(df).collect()}
+    assert [found[i] for i in range(len(order))] == [pages[h] for h in order]
+    assert page_main_text(df.limit(0)).count() == 0
+
+
+def test_page_blocks(spark):
+    html = "<nav>menu</nav><article>one<br>two</article>three"
+    df = spark.createDataFrame([(1, None, html), (1, None, html), (None, "u", None)], "page_id long, url string, html string")
+    rows = block_rows(page_blocks(df))
+    got = sorted((r.block, r.container, r.text) for r in rows.filter("page_id = 1").collect() if r.text.strip())
+    assert got == sorted(2 * [(1, "article", "one"), (3, "article", "two"), (5, "body", "three")])
+    assert rows.filter("page_id IS NULL").count() == 0 and page_main_text(df).count() == 3
+
+
+def test_capped_pages(spark):
+    html = "<article><h1>Head</h1><p>x</p></article>"
     df = spark.createDataFrame([(1, "u", html), (2, "u", ""), (3, "u", "<p>" + "é" * 50)], "page_id long, url string, html string")
     rows = {r.page_id: r.full_content for r in page_main_text(df, max_bytes=0).collect()}
     assert rows[2] is None and rows[1].startswith("# Head") and len(rows[3]) == 50
