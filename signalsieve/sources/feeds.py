@@ -15,6 +15,7 @@ from signalsieve.functions.text import (
     text_or_empty,
     trim_space,
 )
+from signalsieve.operators.settle import settle
 
 # The parts of the feed formats that are read.
 RSS_SCHEMA = (
@@ -153,24 +154,29 @@ def _xml_entries(text: Column) -> Column:
     )
 
 
-def _entries(text: Column) -> Column:
-    """Entries of a feed document of any form, an empty list where there are none.
+def _with_entries(payloads: DataFrame) -> DataFrame:
+    """``payloads`` with ``entries``, the list of a document of any form; an empty one where there are none.
 
-    XML that gives none is read again with its bare ampersands written out, which is the usual fault.
+    XML that gives none is read again with its bare ampersands written out, which is the usual fault. Both
+    readings are settled, so that no filter behind them repeats a parse: a document is parsed once, and once more
+    only if it gave nothing.
     """
     none = F.array().cast(ENTRIES)
-    given = text_or_empty(text)
-    as_json = F.coalesce(_json_entries(F.from_json(given, JSON_SCHEMA)).cast(ENTRIES), none)
-    plain = _xml_entries(given).cast(ENTRIES)
-    mended = _xml_entries(F.regexp_replace(given, BARE_AMPERSAND, "&amp;")).cast(ENTRIES)
-    as_xml = let(plain, lambda e: F.when(F.size(F.coalesce(e, none)) > 0, e).otherwise(F.coalesce(mended, none)))
-    return F.when(trim_space(given).startswith("{"), as_json).otherwise(as_xml)
+    given = text_or_empty(F.col("xml"))
+    as_json = F.from_json(given, JSON_SCHEMA)
+    first = F.when(trim_space(given).startswith("{"), _json_entries(as_json).cast(ENTRIES)).otherwise(
+        _xml_entries(given).cast(ENTRIES))
+    read = settle(payloads, payloads.columns, {"_first": F.coalesce(first, none)})
+    again = _xml_entries(F.regexp_replace(given, BARE_AMPERSAND, "&amp;")).cast(ENTRIES)
+    empty = (F.size("_first") == 0) & ~trim_space(given).startswith("{") & given.contains("&")
+    entries = F.when(empty, F.coalesce(again, none)).otherwise(F.col("_first"))
+    return settle(read, payloads.columns, {"entries": entries})
 
 
 def unreadable_feeds(payloads: DataFrame) -> DataFrame:
     """(site_name, xml) documents that are not blank and give no entry at all."""
     blank = trim_space(text_or_empty(F.col("xml"))) == ""
-    return payloads.where(~blank & (F.size(_entries(F.col("xml"))) == 0))
+    return _with_entries(payloads).where(~blank & (F.size("entries") == 0)).select(*payloads.columns)
 
 
 def scan_feed_xml(payloads: DataFrame) -> DataFrame:
@@ -178,7 +184,7 @@ def scan_feed_xml(payloads: DataFrame) -> DataFrame:
 
     ``position`` is the place of the entry in its feed. What stays unreadable is in ``unreadable_feeds``.
     """
-    parsed = payloads.select("site_name", _entries(F.col("xml")).alias("entries"))
+    parsed = _with_entries(payloads.select("site_name", "xml"))
     rows = parsed.select("site_name", F.posexplode("entries").alias("position", "e"))
     e = F.col("e")
     rows = rows.select(
