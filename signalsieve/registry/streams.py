@@ -17,6 +17,7 @@ from signalsieve.registry.views import NOW, event_items, items_from, table
 from signalsieve.session import ensure_checkpoint_dir
 from signalsieve.streaming.cycle import CycleSettings, stream_cycle
 from signalsieve.streaming.links import read_first_rows, write_first_rows
+from signalsieve.streaming.retention import DayTable, write_retained
 from signalsieve.streaming.store import Store
 from signalsieve.streaming.windows import (
     read_counts, stream_counts, stream_dedup, stream_late, stream_retention, write_counts,
@@ -127,15 +128,19 @@ def _(spark, sf):
     return drained(stream_dedup(_events(spark, sf), "90 days").select("link"))
 
 
-@query("st2_stream_first_rows", f"""WITH {_EVENTS} SELECT link, id, site_name FROM ev
-QUALIFY row_number() OVER (PARTITION BY link ORDER BY id) = 1""")
-def _(spark, sf):
-    # the events in four files, so that later micro-batches bring smaller ids of known links
+def _events_in_files(spark, sf) -> DataFrame:
+    """The events as a stream of four files, so that later micro-batches bring smaller ids and older days."""
     landed = f"{new_folder(spark)}/in"
     events = table(spark, sf, "events")
     events.withColumn("part", c("event_id") % 4).repartition("part").write.partitionBy("part").parquet(landed)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{landed}/part=*")
-    rows, folder = event_items(stream), new_folder(spark)
+    return event_items(stream)
+
+
+@query("st2_stream_first_rows", f"""WITH {_EVENTS} SELECT link, id, site_name FROM ev
+QUALIFY row_number() OVER (PARTITION BY link ORDER BY id) = 1""")
+def _(spark, sf):
+    rows, folder = _events_in_files(spark, sf), new_folder(spark)
     write_first_rows(rows, folder, lambda _: NOW, order=("id",), buckets=16).awaitTermination()
     return read_first_rows(spark, folder, rows.schema, order=("id",)).select("link", "id", "site_name")
 
@@ -176,3 +181,11 @@ def _(spark, sf):
 WHERE created_at >= TIMESTAMP '{NOW}' - to_days(10)""")
 def _(spark, sf):
     return drained(stream_retention(_events(spark, sf), 10, NOW).select("id", "created_at"))
+
+
+@query("st5_stream_retained_table", f"""WITH {_EVENTS} SELECT id, link, {stamp('created_at')} AS created_at FROM ev
+WHERE created_at >= TIMESTAMP '{NOW}' - to_days(10)""")
+def _(spark, sf):
+    rows, folder = _events_in_files(spark, sf), new_folder(spark)
+    write_retained(rows, folder, 10, lambda _: NOW).awaitTermination()
+    return DayTable(spark, folder, rows.schema).read().select("id", "link", "created_at")
