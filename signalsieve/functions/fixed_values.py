@@ -302,12 +302,6 @@ DEFAULT_RULES = RuleBook()
 # Explanations recorded with a triage decision or a rule score.
 REASON_NAMED_TARGET = "named target detected"
 REASON_DEFAULT = "passed default"
-REASONING_VENDOR = 'Rule-based: vendor/spam pattern matched: "{word}"'
-REASONING_COMBO = "Rule-based: combo aggregate detected, score capped at {score}"
-REASONING_RULES = (
-    "Rule-based: base={base}, datatype_boost={types_boost}, freshness={freshness}, site={site} "
-    "-> final={final}. Records={records}, types=[{types}]"
-)
 REASONING_FALLBACK = "all providers exhausted"
 RULES_PROVIDER = "rules-engine"
 FALLBACK_PROVIDER = "fallback"

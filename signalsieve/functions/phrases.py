@@ -113,6 +113,15 @@ ENGLISH = Phrases(
 )
 
 
+# what the rules say about their score
+REASONING_VENDOR = 'Rules: wording of sellers or spam, "{word}"'
+REASONING_COMBO = "Rules: a collection of credentials, {score} points at most"
+REASONING_RULES = (
+    "Rules: size {base}, data types {types_boost}, recency {freshness}, site {site}: {final} points. "
+    "Records {records}, types ({types})"
+)
+
+
 def fill(template: str, **columns):
     """A template with ``{name}`` slots as a concat of literals and Columns."""
     import re

@@ -13,7 +13,7 @@ from signalsieve.functions.fixed_values import DEFAULT_RULES, RuleBook
 from signalsieve.functions.keywords import KeywordIndex
 from signalsieve.functions.matching import any_contains
 from signalsieve.functions.numbers import max_records, records_score
-from signalsieve.functions.phrases import ENGLISH, Phrases, fill
+from signalsieve.functions.phrases import ENGLISH, REASONING_COMBO, REASONING_RULES, REASONING_VENDOR, Phrases, fill
 from signalsieve.functions.reuse import reuse
 from signalsieve.functions.text import text_or_empty
 from signalsieve.operators.settle import settle
@@ -187,7 +187,7 @@ def reasoning(base: Column, types_boost: Column, freshness: Column, site: Column
               records: Column, types: Column) -> Column:
     """Every component of the score."""
     return fill(
-        fv.REASONING_RULES,
+        REASONING_RULES,
         base=base, types_boost=types_boost, freshness=freshness, site=site, final=final,
         records=records, types=F.array_join(types, " "),
     )
@@ -273,8 +273,8 @@ def _result_columns(phrases: Phrases, urgent_min_score: int) -> dict[str, Column
         "is_urgent": choose(F.lit(False), F.lit(False), is_urgent),
         "confidence_level": choose(F.lit("low"), F.lit("low"), confidence(c("records"), c("types"))),
         "reasoning": choose(
-            fill(fv.REASONING_VENDOR, word=c("vendor")),
-            fill(fv.REASONING_COMBO, score=combo_score(c("base"))),
+            fill(REASONING_VENDOR, word=c("vendor")),
+            fill(REASONING_COMBO, score=combo_score(c("base"))),
             reasoning(c("base"), c("types_boost"), c("freshness"), c("site_points"), c("final"),
                       c("records"), c("types")),
         ),

@@ -210,9 +210,9 @@ _URGENT = "(final >= 8 AND NOT neg AND (pos OR records >= 100000))"
 _TAGS = """list_concat(types, list_filter([rule_category, CASE WHEN pos THEN 'fresh' END, CASE WHEN neg THEN 'stale' END,
     CASE WHEN tier1 THEN 'tier1-forum' END, CASE WHEN tier2 THEN 'tier2-forum' END,
     CASE WHEN ransom THEN 'ransomware-site' END], lambda t: t IS NOT NULL))"""
-_REASONING = """'Rule-based: base=' || base || ', datatype_boost=' || types_boost || ', freshness=' || freshness
-    || ', site=' || site_points || ' -> final=' || final || '. Records=' || records
-    || ', types=[' || array_to_string(types, ' ') || ']'"""
+_REASONING = """'Rules: size ' || base || ', data types ' || types_boost || ', recency ' || freshness
+    || ', site ' || site_points || ': ' || final || ' points. Records ' || records
+    || ', types (' || array_to_string(types, ' ') || ')'"""
 
 
 def scored_cte(parts: str = "parts", name: str = "scored") -> str:
@@ -229,8 +229,8 @@ def scored_cte(parts: str = "parts", name: str = "scored") -> str:
          CAST([] AS VARCHAR[]) AS affected_targets, records AS estimated_records, types AS data_types,
          {choose('false', 'false', _URGENT)} AS is_urgent,
          {choose("'low'", "'low'", _CONFIDENCE)} AS confidence_level,
-         {choose("'Rule-based: vendor/spam pattern matched: \"' || vendor || '\"'",
-                 "'Rule-based: combo aggregate detected, score capped at ' || least(base, 4)", _REASONING)} AS reasoning
+         {choose("'Rules: wording of sellers or spam, \"' || vendor || '\"'",
+                 "'Rules: a collection of credentials, ' || least(base, 4) || ' points at most'", _REASONING)} AS reasoning
   FROM {parts}
 )"""
 

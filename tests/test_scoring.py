@@ -54,7 +54,7 @@ def test_vendor_beats_everything(spark):
     [r] = scored(spark, [("5 million email password telegram @x", "fresh combolist", "leakbase")])
     assert (r.score, r.category, r.tags, r.estimated_records) == (2, "general_discussion", ["vendor-ad", "low-value"], -1)
     assert (r.data_types, r.is_urgent, r.confidence_level) == ([], False, "low")
-    assert r.reasoning == 'Rule-based: vendor/spam pattern matched: "telegram @"'
+    assert r.reasoning == 'Rules: wording of sellers or spam, "telegram @"'
 
 
 def test_combo_cap(spark):
@@ -101,8 +101,8 @@ def test_wording(spark):
     [en], [own] = scored(spark, [row]), scored(spark, [row], phrases=other)
     assert en.summary == "unknown source: credential leak, about 5 million records, data types: email, password. Data looks recent."
     assert own.summary == "somewhere: credential leak, about 5 million records, data types: email + password. New!"
-    assert en.reasoning == ("Rule-based: base=7, datatype_boost=2, freshness=1, site=0 -> final=10. "
-                            "Records=5000000, types=[email password]")
+    assert en.reasoning == ("Rules: size 7, data types 2, recency 1, site 0: 10 points. "
+                            "Records 5000000, types (email password)")
 
 
 def test_custom_rules(spark):
