@@ -14,6 +14,7 @@ from signalsieve.functions.phrases import ENGLISH, Phrases, fill
 from signalsieve.functions.text import effective_body, preview, site_badge, text_or_empty
 from signalsieve.operators.numbering import number_rows
 from signalsieve.operators.store import datetime_text, last_7_days, top_scored_day
+from signalsieve.plans.files import write_period_files
 
 DAILY, WEEKLY, ALLTIME = "daily", "weekly", "alltime"
 
@@ -130,6 +131,11 @@ def write_blocks(blocks: DataFrame, folder: str) -> None:
     )
 
 
+def write_markdown_files(blocks: DataFrame, folder: str, kind: str) -> None:
+    """P4 as one file per period, ``Daily_2024-01-07.md``, on a mounted folder; several tasks write a large one."""
+    write_period_files(blocks, BLOCK_ORDER, folder, f"{kind.capitalize()}_", ".md")
+
+
 FEED_DATE = "EEE, dd MMM yyyy HH:mm:ss Z"
 
 
@@ -167,8 +173,11 @@ def report_rss(
     )
 
 
+NOT_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]"  # characters no XML 1.0 file may hold
+
+
 def _element(name: str, value: Column) -> Column:
-    text = text_or_empty(value)
+    text = F.regexp_replace(text_or_empty(value), NOT_XML, "\uFFFD")
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#39;")):
         text = F.replace(text, F.lit(raw), F.lit(safe))
     return F.concat(F.lit(f"<{name}>"), text, F.lit(f"</{name}>\n"))
@@ -182,6 +191,12 @@ def write_rss(blocks: DataFrame, folder: str, kind: str) -> None:
     write_blocks(newest, f"{folder}/latest_{kind}_rss")
 
 
+def write_rss_files(blocks: DataFrame, folder: str, kind: str) -> None:
+    """P5 as one well-formed feed file per period, ``daily_rss_2024-01-07.xml``, and ``latest_daily_rss.xml`` with the
+    last period of ``blocks``, on a mounted folder; several tasks write a large one."""
+    write_period_files(blocks, BLOCK_ORDER, folder, f"{kind}_rss_", ".xml", f"latest_{kind}_rss.xml")
+
+
 def source_distribution(counts: DataFrame) -> DataFrame:
     """Each source's share of the largest one in percent, at least 1.5. ``counts`` holds
     one row per source, so the single window partition is as small as the catalogue."""

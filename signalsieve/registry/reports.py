@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import Window
@@ -15,6 +16,7 @@ from signalsieve.registry.base import ANALYSIS, ITEMS, any_in, q, query, stamp
 from signalsieve.registry.store import DAY, NOTIFIED, WEEK_SQL, notified
 from signalsieve.registry.views import NOW, analysis_unique, items_unique, table
 from signalsieve.functions import fixed_values as fv
+from signalsieve.session import ensure_checkpoint_dir
 
 c = F.col
 UPDATED = datetime(2024, 1, 20, 12, 0, 0)
@@ -117,7 +119,7 @@ _HEAD = ('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0" '
          'xmlns:content="http://purl.org/rss/1.0/modules/content/">')
 
 
-@query("p5_report_rss", f"""WITH {ITEMS},
+_RSS_SQL = f"""WITH {ITEMS},
 x AS (SELECT {_D} AS period, * FROM it), t AS (SELECT DISTINCT period FROM x), l AS (SELECT chr(10) AS nl)
 SELECT period, CAST(0 AS INTEGER) AS section, CAST(0 AS BIGINT) AS neg_second, CAST(0 AS BIGINT) AS neg_id,
   {q(_HEAD)} || nl || '<channel>' || nl || '<title>Daily leak feed ' || period || '</title>' || nl
@@ -128,12 +130,34 @@ UNION ALL SELECT period, 3, -CAST(epoch(created_at) AS BIGINT), -id, '<item>' ||
   || {_esc("CASE WHEN full_content <> '' THEN full_content ELSE content END")} || '</description>' || nl
   || '<guid>' || {_esc("link || '_' || strftime(created_at, '%Y%m%d%H%M%S')")} || '</guid>' || nl
   || '<pubDate>' || strftime(created_at, '%a, %d %b %Y %H:%M:%S +0000') || '</pubDate>' || nl || '</item>' FROM x, l
-UNION ALL SELECT period, 4, 0, 0, '</channel>' || nl || '</rss>' FROM t, l""")
+UNION ALL SELECT period, 4, 0, 0, '</channel>' || nl || '</rss>' FROM t, l"""
+
+
+@query("p5_report_rss", _RSS_SQL)
 def _(spark, sf):
     rows = P.report_rss(items_unique(spark, sf), P.DAILY, SITE_URL, UPDATED)
     return rows.select("period", "section", "neg_second", "neg_id", "block")
 
 
+@query("p5_report_rss_files", f"""WITH b AS ({_RSS_SQL}),
+f AS (SELECT 'daily_rss_' || period || '.xml' AS file, block FROM b
+  UNION ALL SELECT 'latest_daily_rss.xml', block FROM b WHERE period = (SELECT max(period) FROM b)),
+z AS (SELECT file, CAST(sum(strlen(block) + 1) AS BIGINT) AS n_bytes FROM f GROUP BY 1),
+s AS (SELECT file, unnest(string_split(block, chr(10))) AS line FROM f)
+SELECT file, any_value(n_bytes) AS n_bytes, count(*) AS n_lines, CAST(count(*) FILTER (line = '<item>') AS BIGINT) AS n_items,
+  CAST(sum(CAST('0x' || substr(md5(line), 1, 8) AS BIGINT)) AS BIGINT) AS line_digests
+FROM s JOIN z USING (file) GROUP BY 1""")
+def _(spark, sf):
+    folder = f"{ensure_checkpoint_dir(spark)}/rss-{uuid.uuid4().hex}"
+    P.write_rss_files(P.report_rss(items_unique(spark, sf), P.DAILY, SITE_URL, UPDATED), folder, P.DAILY)
+    lines = spark.read.option("lineSep", "\n").text(folder).select(
+        c("_metadata.file_name").alias("file"), c("_metadata.file_size").alias("size"), "value")
+    digest = F.conv(F.substring(F.md5("value"), 1, 8), 16, 10).cast("long")
+    return lines.groupBy("file").agg(
+        F.max("size").alias("n_bytes"), F.count(F.lit(1)).alias("n_lines"),
+        F.count_if(c("value") == "<item>").alias("n_items"), F.sum(digest).alias("line_digests"))
+
+
 @query("p6_source_distribution", f"""WITH {ITEMS}, s AS (SELECT site_name, count(*) AS n FROM it GROUP BY 1)
 SELECT site_name, n, round(greatest(n * 100.0::DOUBLE / (SELECT max(n) FROM s), 1.5), 4) AS percent FROM s""")
 def _(spark, sf):
