@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from signalsieve import schemas
 from signalsieve.operators import dedup as D
 from signalsieve.operators import store as Q
+from signalsieve.operators.keyed import KeyedTable, merge_analysis, merge_items
 from signalsieve.registry.base import ANALYSIS, ITEMS, ITEMS_ALL, RESULT_COLUMNS, STORED, query, stamp
 from signalsieve.registry.views import (
     NOW,
@@ -80,13 +81,30 @@ def _(spark, sf):
     return D.dedup_links(rows, keys).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
 
 
-@query("d3_insert_ignore", f"""WITH {STORED}
+_D3_SQL = f"""WITH {STORED}
 SELECT id, link, site_name FROM stored
-UNION ALL SELECT id, link, site_name FROM it WHERE link NOT IN (SELECT link FROM stored)""")
+UNION ALL SELECT id, link, site_name FROM it WHERE link NOT IN (SELECT link FROM stored)"""
+
+
+@query("d3_insert_ignore", _D3_SQL)
 def _(spark, sf):
     return D.insert_ignore(items_stored(spark, sf), items_all(spark, sf)).select("id", "link", "site_name")
 
 
+def _keyed(rows, key):
+    """``rows`` as a stored table in a folder of its own."""
+    name = f"keyed_{uuid.uuid4().hex}"
+    return KeyedTable(rows.sparkSession, name, f"{ensure_checkpoint_dir(rows.sparkSession)}/{name}", rows.schema, key, 8, 8
+                      ).declare().replace(rows)
+
+
+@query("d3_merge_stored", _D3_SQL)
+def _(spark, sf):
+    stored = _keyed(items_stored(spark, sf), "link")
+    merge_items(stored, items_all(spark, sf))
+    return stored.read().select("id", "link", "site_name")
+
+
 _STALE = f"""(try_strptime(pub_date, '%Y-%m-%dT%H:%M:%SZ') IS NOT NULL
   AND try_strptime(pub_date, '%Y-%m-%dT%H:%M:%SZ') <= TIMESTAMP '{NOW}' - to_days(7))"""
 
@@ -239,14 +257,24 @@ def labelled(spark, sf):
     return version(1, "2024-02-02").unionByName(version(2, "2024-02-01"))
 
 
-@query("q9_upsert_analysis", f"""WITH {_RELABELLED}
+_Q9_SQL = f"""WITH {_RELABELLED}
 SELECT item_id, score, category, model_used FROM an WHERE item_id NOT IN (SELECT item_id FROM fresh_rows)
-UNION ALL SELECT item_id, score, category, model_used FROM fresh_rows WHERE analyzed_at = TIMESTAMP '2024-02-02 00:00:00'""")
+UNION ALL SELECT item_id, score, category, model_used FROM fresh_rows WHERE analyzed_at = TIMESTAMP '2024-02-02 00:00:00'"""
+
+
+@query("q9_upsert_analysis", _Q9_SQL)
 def _(spark, sf):
     rows = Q.upsert_analysis(analysis_unique(spark, sf), labelled(spark, sf))
     return rows.select("item_id", "score", "category", "model_used")
 
 
+@query("q9_merge_stored", _Q9_SQL)
+def _(spark, sf):
+    stored = _keyed(analysis_unique(spark, sf), "item_id")
+    merge_analysis(stored, labelled(spark, sf))
+    return stored.read().select("item_id", "score", "category", "model_used")
+
+
 @query("q10_denormalize", f"""WITH {ANALYSIS}
 SELECT it.id, coalesce(an.score, 0) AS ai_score, coalesce(an.category, '') AS ai_category,
   coalesce(an.is_urgent, false) AS ai_urgent FROM it LEFT JOIN an ON an.item_id = it.id""")
