@@ -1,8 +1,12 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-``text_measures`` gives the quantities that rules look at; ``cascade`` orders rules by what they
-reject per unit of cost, both estimated on a bounded sample, and tests them in that order until
-one rejects. The order changes the time a document takes, never its verdict.
+``text_measures`` gives the quantities that rules look at. Rules are expressions over them; ``measured_order`` times
+each on a sample of the whole table and orders them by what they reject per unit of cost, and the cascade tests
+them in that order until one rejects. The order changes the time a document takes, never its verdict.
+
+``good`` puts the measures' own expressions into the rules: a costly measure (``n_repeat_words``) is
+computed only for documents that the rules before it keep. ``judge`` returns all measures, so there the rules
+compare what is computed anyway, in the same order.
 
 Defined results: a null or empty text has no words and fails the base rules. Repeated rows and
 equal ids get a verdict each. An empty table gives an empty table. Input columns that carry the
@@ -12,16 +16,17 @@ name of an output column are left out; other columns pass through when ``keep``
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalsieve.llm.shared import WHITE, WORD
+from signalsieve.llm.shared import WHITE, WORD, written
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SAMPLE_ROWS = 2_000
+SAMPLE_FILES = 8
 
 
 @dataclass(frozen=True)
@@ -86,62 +91,90 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{WHITE}]+"), lambda w: w != "")
 
 
+def _dup_lines(body: Column) -> Column:
+    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD))
+    return _bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+
+
+def measures(text: Column, words: Column) -> dict[str, Column]:
+    """The MEASURES as expressions over a text (not null) and its words, as longs."""
+    return {
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.length(F.concat_ws("", words)).cast("long"),
+        "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]++", "")).cast("long"),
+        "n_dup_lines": _dup_lines(text),
+        "n_repeat_words": repeat_words(words),
+    }
+
+
+def _worded(df: DataFrame, keep: Sequence[str] = (), text: str = "text") -> tuple[DataFrame, dict[str, Column]]:
+    """``keep``, the text and its words, and the MEASURES over them. The words are made by a generator, so that no
+    later step spells them out again."""
+    body = F.coalesce(F.col(text), F.lit("")).alias("_text")
+    rows = df.select(*keep, F.inline(F.array(F.struct(body, words_of(F.col(text)).alias("_words")))))
+    return rows, measures(F.col("_text"), F.col("_words"))
+
+
 def text_measures(df: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` and the five MEASURES of the whole text, as longs. One scan, no shuffle."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD))
     rest = [c for c in keep if c not in MEASURES]
-    # every list is made by a generator, so that no later step spells it out again
-    base = df.select(
-        *rest,
-        F.inline(F.array(F.struct(
-            words_of(F.col(text)).alias("_words"),
-            F.length(F.regexp_replace(body, r"[^#*$%&|<>]++", "")).cast("long").alias("n_symbols"),
-            _bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        ))),
-    )
-    return base.select(
-        *rest,
-        F.inline(F.array(F.struct(
-            F.size("_words").cast("long").alias("n_words"),
-            F.length(F.concat_ws("", "_words")).cast("long").alias("word_chars"),
-            "n_symbols", "n_dup_lines",
-            repeat_words(F.col("_words")).alias("n_repeat_words"),
-        ))),
-    )
+    base, found = _worded(df, rest, text)
+    return base.select(*rest, F.inline(F.array(F.struct(*[found[m].alias(m) for m in MEASURES]))))
+
+
+def _named() -> dict[str, Column]:
+    return {m: F.col(m) for m in MEASURES}
+
+
+def base_rules(m: Mapping[str, Column]) -> list[Rule]:
+    return [
+        Rule("few_words", m["n_words"] < 50),
+        Rule("repeated_words", 100 * m["n_repeat_words"] > 50 * m["n_words"]),
+    ]
 
 
 def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    few, repeated = base_rules(_named())
+    return few.rejects | repeated.rejects
 
 
-def default_rules() -> list[Rule]:
-    """Rules over MEASURES. The bounds are wide: they turn away what is plainly not prose."""
-    n = F.col("n_words")
+def default_rules(m: Mapping[str, Column]) -> list[Rule]:
+    """Rules over the measures ``m``. The bounds are wide: they turn away what is plainly not prose."""
+    n = m["n_words"]
     return [
-        Rule("symbol_heavy", 10 * F.col("n_symbols") > n),
-        Rule("short_words", F.col("word_chars") < 2 * n),
-        Rule("long_words", F.col("word_chars") > 15 * n),
-        Rule("repeated_lines", F.col("n_dup_lines") * 20 > n),
+        Rule("symbol_heavy", 10 * m["n_symbols"] > n),
+        Rule("short_words", m["word_chars"] < 2 * n),
+        Rule("long_words", m["word_chars"] > 15 * n),
+        Rule("repeated_lines", m["n_dup_lines"] * 20 > n),
     ]
 
 
 def measured_order(df: DataFrame, rules: Sequence[Rule], sample_rows: int) -> list[Rule]:
-    """``rules`` by rejections per second on the first ``sample_rows`` rows (one job a rule), ties by name.
+    """``rules`` by rejections per second, ties by name, measured on about ``sample_rows`` rows of all of ``df``.
 
-    Taking rows reads only as many partitions as it needs. They become a local table, so that only the
-    rule is timed.
+    The sample is written once and spread over a few files; a rule's cost is the time of its job beyond that
+    of a job without a rule. An empty sample keeps the given order.
     """
-    taken = df.take(sample_rows)
-    if not taken:
+    total = df.count()
+    if not total or len(rules) < 2:
         return list(rules)
-    rows, total = df.sparkSession.createDataFrame(taken, df.schema), len(taken)
+    part = df.sample(min(1.0, sample_rows / total), seed=10) if total > sample_rows else df
+    rows = written(part.repartition(SAMPLE_FILES), "rules-sample")
+
+    def timed(rejects: Column) -> tuple[int, float]:
+        began = time.perf_counter()
+        # counted in one column per row, so that no rule is folded away
+        hits = rows.select(F.coalesce(rejects, F.lit(False)).alias("hit"), *rows.columns).agg(
+            F.count_if("hit"), F.count(rows.columns[-1])).first()[0]
+        return hits, time.perf_counter() - began
+
+    none = F.rand(1) < 0
+    timed(none)  # the first job also pays for starting
+    overhead = timed(none)[1]
     rated = []
     for rule in rules:
-        began = time.perf_counter()
-        rejected = rows.agg(F.count_if(rule.rejects)).first()[0]
-        cost = max(time.perf_counter() - began, 1e-6) / total
-        rated.append((-(rejected / total) / cost, rule.name, rule))
+        hits, seconds = timed(rule.rejects)
+        rated.append((-hits / max(seconds - overhead, 1e-3), rule.name, rule))
     return [r for _, _, r in sorted(rated, key=lambda x: x[:2])]
 
 
@@ -156,29 +189,33 @@ def first_rejection(rules: Sequence[Rule]) -> Column:
 def cascade(df: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Adds ``rejected_by`` to ``df``: the first rule, in the measured order, that rejects the row.
 
-    ``sample_rows`` bounds the rows the order is estimated on; every row is judged by every rule
+    ``sample_rows`` is about the number of rows the order is estimated on; every row is judged by every rule
     it takes to reject it.
     """
-    narrow = df.select(*[c for c in df.columns if c in MEASURES]) if set(MEASURES) <= set(df.columns) else df
-    ordered = measured_order(narrow, rules, sample_rows)
-    return df.withColumn("rejected_by", first_rejection(ordered))
+    return df.withColumn("rejected_by", first_rejection(measured_order(df, rules, sample_rows)))
 
 
 def judge(
-    df: DataFrame, keep: Sequence[str] = ("doc_id",), rules: Sequence[Rule] | None = None,
-    sample_rows: int = SAMPLE_ROWS,
+    df: DataFrame, keep: Sequence[str] = ("doc_id",),
+    rules: Callable[[Mapping[str, Column]], Sequence[Rule]] = default_rules, sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """``keep``, MEASURES, ``base_failed`` and ``kept`` for every row."""
-    measured = text_measures(df, keep)
-    judged = cascade(measured, default_rules() if rules is None else rules, sample_rows)
+    texts, found = _worded(df)
+    order = [r.name for r in measured_order(texts, rules(found), sample_rows)]
+    named = {r.name: r for r in rules(_named())}
     failed = base_failed()
-    return judged.select(
+    return text_measures(df, keep).select(
         *[c for c in keep if c not in MEASURES], *MEASURES, failed.alias("base_failed"),
-        (~failed & F.col("rejected_by").isNull()).alias("kept"),
+        (~failed & first_rejection([named[n] for n in order]).isNull()).alias("kept"),
     )
 
 
-def good(df: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def good(
+    df: DataFrame, rules: Callable[[Mapping[str, Column]], Sequence[Rule]] = default_rules,
+    sample_rows: int = SAMPLE_ROWS,
+) -> DataFrame:
     """The rows of ``df`` that the base rules and the cascade keep, with all their columns."""
-    whole = df.select(F.struct("*").alias("_row"), "text")
-    return judge(whole, ("_row",), rules, sample_rows).where("kept").select("_row.*")
+    texts, found = _worded(df)
+    order = measured_order(texts, [*base_rules(found), *rules(found)], sample_rows)
+    rows, _ = _worded(df.select(F.struct("*").alias("_row"), "text"), ("_row",))
+    return rows.where(first_rejection(order).isNull()).select("_row.*")
