@@ -61,9 +61,12 @@ READERS = set("comment comments reply replies respond disqus discussion related
 GONE_ROLES = set("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
 MODIFIERS = set("no has with without is not hide hides".split())
 
+MARKUP = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
+# possessive: the first sign of each piece decides, so that going back never finds another reading
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+    MARKUP + r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?P<close>>)?", re.S)
+# behind a tag or quote that never ends: quotes say nothing, and a tag that is not closed before the next one is text
+BROKEN = re.compile(MARKUP + r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*+)(?P<attrs>[^<>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
@@ -81,13 +84,17 @@ class Node:
 
 
 def parse(text: str) -> Node:
-    """The element tree of a page; unclosed elements end with their parent."""
+    """The element tree of a page; unclosed elements end with their parent. Every part of the page is read a bounded
+    number of times, however broken its markup is."""
     root = Node("#page")
     stack = [root]
     beside: dict[tuple[int, str], int] = {}  # open elements beyond MAX_DEPTH, by place in the stack and tag
-    at, end_of_text = 0, len(text)
+    at, end_of_text, token = 0, len(text), TOKEN
     while at < end_of_text:
-        m = TOKEN.search(text, at)
+        m = token.search(text, at)
+        if token is TOKEN and m and m["tag"] and not m["close"]:  # read to the end of the page, which happens once
+            token = BROKEN
+            m = token.search(text, at)
         if m is None:
             stack[-1].children.append(text[at:])
             break

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import time
 
 import pytest
 
@@ -168,3 +169,22 @@ def test_versions_dates_and_broken_files(spark, tmp_path):
     out = {(r.record_type, r.url, r.date) for r in warc.read_warc(spark, f"file://{tmp_path}/out").collect()}
     assert ("response", "http://a b/c", "1996-09-23T14:21:00Z") in out and ("resource", "dns:a", "1996-09-23T00:00:00Z") in out
     assert any(kind == "warcinfo" for kind, _, _ in out)
+
+
+@pytest.mark.parametrize("piece", ["<", "<a", '<a "', "<b x ", "<a '", '<i x="', "</a ", "<!", "<p<", '"<b>'])
+def test_long_broken_markup_is_read_in_linear_time(piece):
+    page = "<p>first</p>" + (piece * (500_000 // len(piece)) if piece != "<a" else "<" + "a" * 500_000)
+    began = time.process_time()
+    root = html_text.parse(page)
+    assert time.process_time() - began < 3
+    assert root.children[0].tag == "p" and root.children[0].children == ["first"]
+
+
+def test_text_behind_broken_markup_stays():
+    def text(page):
+        return html_text.page_text("http://a/b", page, lambda hashes: [False] * len(hashes))
+
+    assert text('<p>one</p><p>two <a href="x>three</a> four</p><p>five</p>').split()[:2] == ["one", "two"]
+    assert text('<p>one</p><p>two <a href="x>three</a> four</p><p>five</p>').endswith("five")
+    assert text("if a <b then c") == "if a <b then c"
+    assert text('<p title="a > b">one <b class=\'<i>\'>two</b></p>') == "one two"
