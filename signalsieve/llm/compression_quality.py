@@ -6,7 +6,8 @@ the sizes, next to the size per byte (text that repeats itself compresses well w
 logistic calibration fitted on other labelled texts and weighted to the labels' true shares.
 
 Only the fit uses a sample, bounded by DICTIONARY_ROWS and CALIBRATION_ROWS a class, chosen by a hash of the
-id; the scores read every text whole and nothing else.
+id. A dictionary is built from at most DICTIONARY_BLOCKS blocks of DICTIONARY_BLOCK_CHARS characters, in turns one
+of each of its texts, from anywhere in them. The scores read every text whole and nothing else.
 
 Defined results: a null or empty text gets the share of good labels as its score; without labels of both
 classes, so does every text; documents with contradicting labels are not learned from; a null id is never
@@ -21,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard as zs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,8 @@ from signalsieve.llm.shared import written
 
 DICTIONARY_ROWS = 500
 CALIBRATION_ROWS = 2_000
-DICTIONARY_CHARS = 8_000  # of each text a dictionary is built from
+DICTIONARY_BLOCKS = 2_000
+DICTIONARY_BLOCK_CHARS = 2_048
 DICTIONARY_BYTES = 64 << 10
 BLOCK_BYTES = 2_048
 LEVEL = 3
@@ -116,6 +119,33 @@ def _measured(rows: DataFrame, good: bytes, bad: bytes, keep: Sequence[str]) ->
     return rows.mapInArrow(run, f"{ddl}, n long, g long, b long")
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(y, block, turn, place) of the DICTIONARY_BLOCK_CHARS blocks of whole texts; ``place`` is a hash of text and
+    block, ``turn`` the rank of a block by it among those of its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for y, o, text in zip(*(batch.column(c) for c in ("y", "o", "text"))):
+                whole = text.as_py() or ""
+                cuts = range(0, len(whole), DICTIONARY_BLOCK_CHARS)
+                places = [xxhash.xxh64_intdigest(f"{o.as_py()} {at}") >> 1 for at in cuts]
+                ordered = sorted(zip(places, cuts))[:DICTIONARY_BLOCKS]  # more of one text can never be taken
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([y.as_py()] * len(ordered), pa.int32()),
+                     pa.array([whole[at : at + DICTIONARY_BLOCK_CHARS] for _, at in ordered], pa.string()),
+                     pa.array(range(len(ordered)), pa.int64()), pa.array([p for p, _ in ordered], pa.int64())],
+                    names=["y", "block", "turn", "place"])
+
+    return rows.select(F.col("y").cast("int").alias("y"), "o", "text").mapInArrow(
+        run, "y int, block string, turn long, place long")
+
+
+def _material(rows: DataFrame, y: int) -> list[str]:
+    """The blocks that the dictionary of a class is built from, best last."""
+    best = _blocks(rows.where(F.col("y") == y)).orderBy("turn", "place", "block").limit(DICTIONARY_BLOCKS)
+    return [r.block for r in best.collect()][::-1]
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Learns from labelled documents outside the held-out fold."""
     known = (
@@ -138,8 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     # of each class, every fifth row or so builds the dictionary and the others calibrate
     fraction = DICTIONARY_ROWS / wanted
     part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(1000)) < int(1000 * fraction)
-    built = sample.where(part).select("y", F.substring("text", 1, DICTIONARY_CHARS).alias("text"), "o").orderBy("o", "text").collect()
-    good, bad = (build_dictionary([r.text for r in built if r.y == y]) for y in (1, 0))
+    good, bad = (build_dictionary(_material(sample.where(part), y)) for y in (1, 0))
     rows = _measured(sample.where(~part), good, bad, ("y",)).orderBy("y", "n", "g", "b").toArrow()
     y = rows.column("y").to_numpy().astype(float)
     if len(set(y.tolist())) < 2:

@@ -96,3 +96,17 @@ def test_word_beginnings_count():
     first, second = set(found[text == 0].tolist()), set(found[text == 1].tolist())
     assert first & second == set(toxicity_chain.held_signs(pa.array(["alph"]))[1].tolist()) & first or first & second
     assert not len(found[text >= 2])
+
+
+def test_dictionary_blocks_come_from_whole_texts(spark, monkeypatch):
+    size = compression_quality.DICTIONARY_BLOCK_CHARS
+    long = "".join(chr(97 + k) * size for k in range(20)) + "tail"
+    rows = spark.createDataFrame([(1, 5, long), (1, 6, "short"), (1, 7, ""), (1, 8, None), (0, 9, "other")], "y int, o long, text string")
+    whole = compression_quality._material(rows, 1)
+    assert sorted(whole) == sorted([*(long[i : i + size] for i in range(0, len(long), size)), "short"])
+    monkeypatch.setattr(compression_quality, "DICTIONARY_BLOCKS", 3)
+    few = compression_quality._material(rows, 1)
+    # each text gives one before any gives a second, and which one is not the first of the text
+    assert len(few) == 3 and "short" in few[1:] and set(few) <= set(whole)
+    assert compression_quality._material(rows, 0) == ["other"]
+    assert compression_quality._material(rows.limit(0), 1) == []
