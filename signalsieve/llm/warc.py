@@ -13,8 +13,9 @@ leaves nothing behind.
 
 Defined results: a null html is an empty payload, a null url the address ``unknown:``; white space and
 controls in an address are percent-encoded; a null page_id stays null; repeated rows are records of their
-own; an empty table gives no records. A file that breaks off or has a bad header line yields its good
-records and one row with ``error`` set. Other columns are not read.
+own; an empty table gives no records. A file that breaks off, has a bad header line or a wrong length yields one row with
+``error`` set for each such place, and its records from the next line on that is a header; what no longer
+unzips is lost from there. ``to_warc`` writes those rows to a table where it is named one. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -178,14 +179,41 @@ def http_number(head: bytes, name: str) -> int | None:
     return int(found[1]) if found else None
 
 
+def _length(field: bytes) -> int:
+    if not re.fullmatch(rb"[0-9]+", field):
+        raise ValueError(f"no length: {field[:40]!r}")
+    return int(field)
+
+
+def _is_arc_header(line: bytes, fields: list[str]) -> bool:
+    """Whether a line behind damage is a header beyond doubt: all fields, an address, 14 digits, a length."""
+    parts = line.rsplit(b" ", len(fields) - 1)
+    return (len(parts) == len(fields) and bool(re.match(rb"[A-Za-z][A-Za-z0-9+.-]*:", parts[0]))
+            and bool(re.fullmatch(rb"[0-9]{14}", parts[2])) and bool(re.fullmatch(rb"[0-9]+", parts[-1])))
+
+
+def _next_header(reader: Reader, is_header: Callable[[bytes], bool]) -> tuple[int, bytes | None]:
+    """(offset, line) of the next line that is a header; (end, None) where there is none."""
+    while True:
+        at = reader.offset
+        line = reader.line()
+        if line is None or is_header(line):
+            return at, line
+
+
 def parse_arc(name: str, data: bytes) -> Iterator[tuple]:
     """RECORDS of a file, its version block first (mime ``filedesc``)."""
     reader, version = Reader(data), 1
     fields = ARC_FIELDS[1]
+    damaged = False
     while True:
         at = reader.offset
         try:
-            line = reader.line()
+            if damaged:
+                at, line = _next_header(reader, lambda x: _is_arc_header(x, fields))
+                damaged = False
+            else:
+                line = reader.line()
             if line is None:
                 return
             if not line:
@@ -195,13 +223,16 @@ def parse_arc(name: str, data: bytes) -> Iterator[tuple]:
             parts = line.split(b" ") if is_head else line.rsplit(b" ", len(fields) - 1)
             if not is_head and len(parts) != len(fields):
                 raise ValueError(f"{len(parts)} fields, {len(fields)} expected")
-            block = reader.take(int(parts[-1]))
+            block = reader.take(_length(parts[-1]))
             if is_head:
                 version = int(block.split(b" ", 1)[0])
                 fields = ARC_FIELDS[version]
         except (ValueError, KeyError, zlib.error) as problem:
             yield (name, at, version, None, None, None, None, None, b"", b"", 0, None, str(problem))
-            return
+            if isinstance(problem, zlib.error):
+                return
+            damaged = True
+            continue
         url, ip, date, mime = (p.decode("utf-8", "replace") for p in parts[:4])
         if is_head:
             yield (name, at, version, url, ip, date, "filedesc", None, b"", block, len(block), None, None)
@@ -310,9 +341,14 @@ def warc_records(records: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> Data
     return typed.select(F.concat(F.encode(head, "UTF-8"), body, F.encode(F.lit("\r\n\r"), "UTF-8")).alias("value"))
 
 
-def to_warc(spark: SparkSession, arc_path: str, warc_path: str, revisit_bytes: int = REVISIT_BYTES) -> None:
-    """Converts all archives below ``arc_path``."""
-    _write(warc_records(read_arc(spark, arc_path), revisit_bytes), warc_path)
+def to_warc(spark: SparkSession, arc_path: str, warc_path: str, revisit_bytes: int = REVISIT_BYTES,
+            errors_path: str | None = None) -> None:
+    """Converts all archives below ``arc_path``. Damaged places go to a Parquet table (file, offset, error) at
+    ``errors_path``, for which the archives are read once more."""
+    records = read_arc(spark, arc_path)
+    _write(warc_records(records, revisit_bytes), warc_path)
+    if errors_path:
+        records.where("error IS NOT NULL").select("file", "offset", "error").write.parquet(errors_path)
 
 
 WARC_RECORDS = ("file string, offset long, record_type string, record_id string, url string, date string, "
@@ -323,11 +359,15 @@ WARC_RECORDS = ("file string, offset long, record_type string, record_id string,
 def parse_warc(name: str, data: bytes) -> Iterator[tuple]:
     """WARC_RECORDS of a file. Digest and size are those of the full payload: of a response they are
     taken from its bytes, of a revisit from what it declares."""
-    reader = Reader(data)
+    reader, damaged = Reader(data), False
     while True:
         at = reader.offset
         try:
-            line = reader.line()
+            if damaged:
+                at, line = _next_header(reader, lambda x: bool(re.fullmatch(rb"WARC/[0-9]\.[0-9]+", x)))
+                damaged = False
+            else:
+                line = reader.line()
             if line is None:
                 return
             if not line:
@@ -338,10 +378,13 @@ def parse_warc(name: str, data: bytes) -> Iterator[tuple]:
             while line := reader.line():
                 key, _, value = line.partition(b":")
                 fields[key.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-            block = reader.take(int(fields["content-length"]))
+            block = reader.take(_length(fields["content-length"].encode()))
         except (ValueError, KeyError, zlib.error) as problem:
             yield (name, at, None, None, None, None, None, None, None, None, None, str(problem))
-            return
+            if isinstance(problem, zlib.error):
+                return
+            damaged = True
+            continue
         kind = fields.get("warc-type")
         head, payload = split_http(block) if kind in ("response", "revisit") else (b"", block)
         if kind == "revisit":

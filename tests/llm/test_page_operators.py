@@ -188,3 +188,35 @@ def test_text_behind_broken_markup_stays():
     assert text('<p>one</p><p>two <a href="x>three</a> four</p><p>five</p>').endswith("five")
     assert text("if a <b then c") == "if a <b then c"
     assert text('<p title="a > b">one <b class=\'<i>\'>two</b></p>') == "one two"
+
+
+def _arc(version, *records):
+    return warc.arc_head(version, "x.arc") + b"\n" + b"".join(r + b"\n" for r in records)
+
+
+@pytest.mark.parametrize("version", [1, 2])
+@pytest.mark.parametrize("harm", [b"a stray line\n", b"http://a/ 0.0.0.0 20240101000000 text/html -3\n", b"\xff\xfe\x00\n\n1 2 3\n",
+                                  b"http://a/ 0.0.0.0 20240101000000 text/html 99999999\n"])
+def test_damaged_archives_keep_what_follows(spark, tmp_path, version, harm):
+    records = [warc.arc_record(version, "x.arc", k, f"http://h/{k}", b"payload %d" % k, 0) for k in range(4)]
+    data = _arc(version, records[0], records[1]) + harm + b"".join(r + b"\n" for r in records[2:])
+    got = list(warc.parse_arc("x.arc", data))
+    assert [r[9] for r in got if r[-1] is None and r[6] != "filedesc"] == [b"payload %d" % k for k in range(4)]
+    errors = [r for r in got if r[-1] is not None]
+    assert len(errors) == 1 and data[errors[0][1]:].startswith(harm[:1])
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.arc").write_bytes(data)
+    paths = [f"file://{tmp_path}/{n}" for n in ("in", "out", "errors")]
+    warc.to_warc(spark, paths[0], paths[1], errors_path=paths[2])
+    assert warc.read_warc(spark, paths[1]).where("record_type = 'response' AND error IS NULL").count() == 4
+    assert [r.offset for r in spark.read.parquet(paths[2]).collect()] == [errors[0][1]]
+
+
+def test_damaged_warc_keeps_what_follows():
+    def record(k, length=None):
+        return (f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: u{k}\r\nContent-Length: "
+                f"{length if length is not None else 4}\r\n\r\nbody\r\n\r\n").encode()
+
+    got = list(warc.parse_warc("x", record(1) + b"junk\n" + record(2) + record(3, -4) + record(4) + record(5, 10 ** 9) + record(6)))
+    assert [r[4] for r in got if r[-1] is None] == ["u1", "u2", "u4", "u6"]
+    assert sum(r[-1] is not None for r in got) == 3
