@@ -107,18 +107,16 @@ def measures(text: Column, words: Column) -> dict[str, Column]:
     }
 
 
-def _worded(df: DataFrame, keep: Sequence[str] = (), text: str = "text") -> tuple[DataFrame, dict[str, Column]]:
-    """``keep``, the text and its words, and the MEASURES over them. The words are made by a generator, so that no
-    later step spells them out again."""
+def _worded(df: DataFrame, keep: Sequence[str] = (), text: str = "text") -> DataFrame:
+    """``keep``, ``_text`` and ``_words``, made by a generator, so that no later step spells them out again."""
     body = F.coalesce(F.col(text), F.lit("")).alias("_text")
-    rows = df.select(*keep, F.inline(F.array(F.struct(body, words_of(F.col(text)).alias("_words")))))
-    return rows, measures(F.col("_text"), F.col("_words"))
+    return df.select(*keep, F.inline(F.array(F.struct(body, words_of(F.col(text)).alias("_words")))))
 
 
 def text_measures(df: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` and the five MEASURES of the whole text, as longs. One scan, no shuffle."""
     rest = [c for c in keep if c not in MEASURES]
-    base, found = _worded(df, rest, text)
+    base, found = _worded(df, rest, text), measures(F.col("_text"), F.col("_words"))
     return base.select(*rest, F.inline(F.array(F.struct(*[found[m].alias(m) for m in MEASURES]))))
 
 
@@ -149,17 +147,19 @@ def default_rules(m: Mapping[str, Column]) -> list[Rule]:
     ]
 
 
-def measured_order(df: DataFrame, rules: Sequence[Rule], sample_rows: int) -> list[Rule]:
+def measured_order(
+    df: DataFrame, rules: Sequence[Rule], sample_rows: int, prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows
+) -> list[Rule]:
     """``rules`` by rejections per second, ties by name, measured on about ``sample_rows`` rows of all of ``df``.
 
-    The sample is written once and spread over a few files; a rule's cost is the time of its job beyond that
+    ``prepare`` makes of the sampled rows what the rules look at. The sample is written once and spread over a few files; a rule's cost is the time of its job beyond that
     of a job without a rule. An empty sample keeps the given order.
     """
     total = df.count()
     if not total or len(rules) < 2:
         return list(rules)
     part = df.sample(min(1.0, sample_rows / total), seed=10) if total > sample_rows else df
-    rows = written(part.repartition(SAMPLE_FILES), "rules-sample")
+    rows = written(prepare(part.repartition(SAMPLE_FILES)), "rules-sample")
 
     def timed(rejects: Column) -> tuple[int, float]:
         began = time.perf_counter()
@@ -200,8 +200,8 @@ def judge(
     rules: Callable[[Mapping[str, Column]], Sequence[Rule]] = default_rules, sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """``keep``, MEASURES, ``base_failed`` and ``kept`` for every row."""
-    texts, found = _worded(df)
-    order = [r.name for r in measured_order(texts, rules(found), sample_rows)]
+    found = measures(F.col("_text"), F.col("_words"))
+    order = [r.name for r in measured_order(df.select("text"), rules(found), sample_rows, _worded)]
     named = {r.name: r for r in rules(_named())}
     failed = base_failed()
     return text_measures(df, keep).select(
@@ -215,7 +215,7 @@ def good(
     sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """The rows of ``df`` that the base rules and the cascade keep, with all their columns."""
-    texts, found = _worded(df)
-    order = measured_order(texts, [*base_rules(found), *rules(found)], sample_rows)
-    rows, _ = _worded(df.select(F.struct("*").alias("_row"), "text"), ("_row",))
+    found = measures(F.col("_text"), F.col("_words"))
+    order = measured_order(df.select("text"), [*base_rules(found), *rules(found)], sample_rows, _worded)
+    rows = _worded(df.select(F.struct("*").alias("_row"), "text"), ("_row",))
     return rows.where(first_rejection(order).isNull()).select("_row.*")

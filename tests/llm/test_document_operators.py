@@ -61,7 +61,8 @@ def test_cascade_order_never_changes_verdict(spark):
 
 def test_cascade_stops_at_the_first_rejection(spark):
     """Measures that fail where they are computed are not computed behind a rule that rejects."""
-    texts, found = quality_rules._worded(spark.createDataFrame([("short",), ("w " * 60,), (None,)], "text string"))
+    texts = quality_rules._worded(spark.createDataFrame([("short",), ("w " * 60,), (None,)], "text string"))
+    found = quality_rules.measures(F.col("_text"), F.col("_words"))
     few, repeated = quality_rules.base_rules(found)
     late = quality_rules.Rule("late", F.when(found["n_words"] < 50, F.raise_error(F.lit("evaluated"))).otherwise(F.lit(False)))
     got = texts.select(quality_rules.first_rejection([few, late, repeated]).alias("by")).collect()
@@ -74,10 +75,11 @@ def test_rules_are_ordered_by_rejections_per_cost(spark):
     """The costly rule that rejects no more than the cheap ones comes behind them, and is not computed before."""
     words = [" ".join(f"w{(i * k) % 997}" for i in range(3000)) for k in range(1, 40)] + ["a b"] * 40
     docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
-    texts, found = quality_rules._worded(docs)
+    found = quality_rules.measures(F.col("_text"), F.col("_words"))
     few, repeated = quality_rules.base_rules(found)
     none = quality_rules.Rule("none", found["n_symbols"] > 10 ** 9)
-    order = [r.name for r in quality_rules.measured_order(texts, [none, repeated, few], 1000)]
+    order = [r.name for r in quality_rules.measured_order(
+        docs, [none, repeated, few], 1000, quality_rules._worded)]
     assert order[0] == "few_words" and order[-1] == "none"
     plan = quality_rules.good(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_distinct") >= 1 and "n_repeat_words" not in plan and "CASE WHEN" in plan
