@@ -1,14 +1,17 @@
 """Main text of web pages, by removing what a site repeats.
 
 A first pass hashes the element subtrees of every page (tag, class, id, text) and counts, per host, on how
-many pages of different content each occurs; copies of an article count once. Subtrees that recur on
-RECURS_ON or more are the site's template and are deleted in a second pass, next to elements that name
-themselves as no article (``nav``, ``footer``, ``aside``, classes such as ``ad`` or ``comments``).
-
-What remains is read from the main container: the ``article`` or ``main`` that holds a fair share of the
-page's words, else the innermost element that holds most of them. Inside the container, recurring prose
-(paragraphs, headings, list items, and anything of more than PROSE_WORDS words) stays, for an article may
-share a passage with others.
+many pages of different content each occurs, and how many different contents the host has; copies of an
+article count once. A subtree is the site's template if it recurs on FRAME_SHARE of the host's contents, on
+at least FEWEST of them, and in any case if it recurs on RECURS_ON. The second pass deletes templates, next
+to elements that name themselves as no article (``nav``, ``footer``, ``aside``, classes such as ``ad`` or
+``comments``).
+
+The main container is the ``article`` or ``main`` that holds a fair share of the page's words, else the
+innermost element that holds most of them. It is chosen anew where it does not hold most of what the
+templates leave. An article may share a passage with others. Prose (paragraphs, headings, list items, and anything of more than PROSE_WORDS words) therefore stays
+in a declared container (``article``, ``main``), however often it recurs, and is deleted from any other only
+if it recurs on PROSE_SHARE of the host's contents, again on at least FEWEST of them.
 
 Defined results: a null, empty or text-only page gives its own text, "" if none; a null url is a host of
 its own; broken markup is closed at its parent's end; repeated rows are each given; an empty table gives
@@ -30,7 +33,11 @@ from pyspark.sql import functions as F
 from signalsieve.llm.shared import written
 from signalsieve.llm.words import slices
 
-RECURS_ON = 10  # pages of different content on one host
+FRAME_SHARE = 0.2  # of a host's different contents, for a subtree to be its template
+FEWEST = 3  # contents that a template is on, however few the host has
+RECURS_ON = 10  # contents that are enough, however many the host has
+PROSE_SHARE = 0.5  # of a host's different contents, for prose inside a container that is not declared
+HOST_PARTS = 16
 HELD_TEMPLATES = 1_000_000  # template subtrees (8 bytes each) that a task may hold
 PROSE_WORDS = 40
 FAIR_SHARE = 0.3  # of the page's words, for an article or main element to be the container
@@ -196,8 +203,9 @@ def elements(node: Node) -> Iterator[Node]:
             yield from elements(child)
 
 
-def mark(root: Node) -> Node:
-    """Marks elements that are no article as gone, and returns the main container."""
+def mark(root: Node, most: float = MOST) -> Node:
+    """Marks elements that are no article as gone, and returns the main container of what is not gone. Where none is
+    declared, an element's child is looked into if it holds ``most`` of the words."""
     articles: list[Node] = []
 
     outer: set[int] = set()  # articles that lie in no other
@@ -205,7 +213,7 @@ def mark(root: Node) -> Node:
     def walk(node: Node, in_article: bool, nested: bool) -> None:
         node.left = node.own
         for child in node.children:
-            if isinstance(child, str):
+            if isinstance(child, str) or child.gone:
                 continue
             if child.tag in RAW:
                 child.gone = True
@@ -248,7 +256,7 @@ def mark(root: Node) -> Node:
     node = root
     while True:
         heavy = [c for c in node.children if isinstance(c, Node) and c.tag not in PROSE and c.tag not in INLINE
-                 and kept_words(c) >= MOST * node.left]
+                 and kept_words(c) >= most * node.left]
         if not node.left or not heavy:
             return node
         node = heavy[0]
@@ -314,9 +322,15 @@ def _is_prose(node: Node) -> bool:
     return node.tag in PROSE or node.words > PROSE_WORDS
 
 
-def removable(root: Node, main: Node) -> Iterator[Node]:
-    """Subtrees that are deleted where they recur: all outside the container, what is not prose inside it."""
+def _declared(main: Node) -> bool:
+    return main.tag in ("article", "main") or "main" in main.attrs and main.named().get("role") == "main"
+
+
+def removable(root: Node, main: Node) -> Iterator[tuple[Node, int]]:
+    """(subtree, key) of those that are deleted where they recur: all outside the container, what is not prose inside
+    it, and prose inside a container that is not declared. The key is the hash, its last bit set for such prose."""
     holds_main: set[int] = set()
+    declared = _declared(main)
 
     def holders(node: Node) -> bool:
         found = node is main
@@ -329,63 +343,89 @@ def removable(root: Node, main: Node) -> Iterator[Node]:
 
     holders(root)
 
-    def walk(node: Node, inside: bool) -> Iterator[Node]:
+    def walk(node: Node, inside: bool) -> Iterator[tuple[Node, int]]:
         for child in node.children:
             if isinstance(child, str) or child.tag in RAW or child.tag in INLINE or not child.words:
                 continue
             if id(child) in holds_main:
                 yield from walk(child, inside or child is main)
             elif not inside:
-                yield child
+                yield child, child.hash & ~1
                 yield from walk(child, False)
             elif not _is_prose(child):
-                yield child
-            elif child.tag not in PROSE:
-                yield from walk(child, True)
+                yield child, child.hash & ~1
+            else:
+                if not declared:
+                    yield child, child.hash | 1
+                if child.tag not in PROSE:
+                    yield from walk(child, True)
 
     yield from walk(root, root is main)
 
 
 def page_text(url: str | None, page: str | None, is_template) -> str:
-    """The main text; ``is_template(hashes)`` tells which subtree hashes recur on the host."""
+    """The main text; ``is_template(keys)`` tells which subtrees recur on the host."""
     root, main = prepared(url, page)
     found = list(removable(root, main))
-    for node, drop in zip(found, is_template([n.hash for n in found]) if found else ()):
-        node.gone = node.gone or bool(drop)
+    drops = is_template([key for _, key in found]) if found else ()
+    deleted = [node for (node, _), drop in zip(found, drops) if drop and not node.gone]
+    for node in deleted:
+        node.gone = True
+    if deleted:
+        again = mark(root, 1.0)  # without the frame, the article is all that is left
+        if main.left < MOST * root.left:
+            main = again
     return " ".join(blocks_of(main))
 
 
 def _sites(pages: DataFrame) -> DataFrame:
-    """(hash, content): the removable subtrees of each page with the hash of its main text."""
+    """(host, key, content): the removable subtrees of each page with the hash of its main text, and one row of each
+    page without a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, "html"):
-                seen: set[tuple[int, int]] = set()
+                seen: set[tuple[int, int, int]] = set()
+                pages_of: set[tuple[int, int]] = set()
                 for url, page in zip(rows.column("url").to_pylist(), rows.column("html").to_pylist()):
                     root, main = prepared(url, page)
+                    host = xxhash.xxh64_intdigest(_host(url))
                     content = xxhash.xxh64_intdigest(" ".join(blocks_of(main)))
-                    seen.update((n.hash, content) for n in removable(root, main))
-                pairs = np.array(list(seen), np.uint64).reshape(-1, 2).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["hash", "content"])
+                    pages_of.add((host, content))
+                    seen.update((host, key, content) for _, key in removable(root, main))
+                whole = np.array(list(pages_of), np.uint64).reshape(-1, 2).view(np.int64)
+                parts = np.array(list(seen), np.uint64).reshape(-1, 3).view(np.int64)
+                keys = pa.concat_arrays([pa.nulls(len(whole), pa.int64()), pa.array(parts[:, 1])])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([whole[:, 0], parts[:, 0]])), keys,
+                     pa.array(np.concatenate([whole[:, 1], parts[:, 2]]))], names=["host", "key", "content"])
 
-    return pages.select("url", "html").mapInArrow(run, "hash long, content long")
+    return pages.select("url", "html").mapInArrow(run, "host long, key long, content long")
 
 
-def templates(pages: DataFrame, recurs_on: int = RECURS_ON) -> DataFrame:
-    """(hash) of the subtrees that recur on their host; the hash includes the host.
+def templates(pages: DataFrame, recurs_on: int = RECURS_ON, fewest: int = FEWEST) -> DataFrame:
+    """(key) of the subtrees that recur on their host; the hash behind a key includes the host.
 
-    Counted by hash and content, then by hash: a subtree on a third of all pages is combined in every
-    task before it is shuffled.
+    Counted by host, key and content, then by host and key: a subtree on a third of all pages is combined in
+    every task before it is shuffled. What recurs at all meets its host's number of contents, which lies in
+    HOST_PARTS copies, so that the templates of one host are not one task's.
     """
-    counted = _sites(pages).distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    return counted.where(F.col("n") >= recurs_on).select("hash")
+    counted = written(
+        _sites(pages).distinct().groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("key").isNull() | (F.col("n") >= min(fewest, recurs_on))), "html-counts")
+    hosts = counted.where("key IS NULL").select(
+        "host", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))).alias("part"), F.col("n").alias("contents"))
+    found = counted.where("key IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(HOST_PARTS)).cast("int"))
+    prose = F.col("key").bitwiseAND(F.lit(1)) == 1
+    enough = F.greatest(F.lit(fewest), F.ceil(F.col("contents") * F.when(prose, PROSE_SHARE).otherwise(FRAME_SHARE)))
+    enough = F.when(prose, enough).otherwise(F.least(F.lit(recurs_on), enough))
+    return found.join(hosts, ["host", "part"]).where(F.col("n") >= enough).select("key")
 
 
 def main_text(pages: DataFrame, recurs_on: int = RECURS_ON, held: int = HELD_TEMPLATES) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    The template hashes, while they are few enough to be ``held``, go to every task. Beyond that they are
+    The template keys, while they are few enough to be ``held``, go to every task. Beyond that they are
     taken in parts: a pass for each part adds to each page which of its subtrees recur.
     """
     known = written(templates(pages, recurs_on), "html-templates")
@@ -394,8 +434,8 @@ def main_text(pages: DataFrame, recurs_on: int = RECURS_ON, held: int = HELD_TEM
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html",
                         F.array().cast("array<bigint>").alias("found"))
     for k in range(parts):
-        part = known if parts == 1 else known.where(F.pmod(F.xxhash64("hash"), F.lit(parts)) == k)
-        table = np.sort(part.toArrow().column("hash").to_numpy().view(np.uint64))
+        part = known if parts == 1 else known.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == k)
+        table = np.sort(part.toArrow().column("key").to_numpy().view(np.uint64))
         rows = _last(rows, table) if k == parts - 1 else _marked(rows, table)
     return rows
 
@@ -411,7 +451,7 @@ def _lookup(table: np.ndarray):
 
 
 def _marked(rows: DataFrame, table: np.ndarray) -> DataFrame:
-    """``rows`` with the hashes of a part of the templates added to ``found``."""
+    """``rows`` with the keys of a part of the templates added to ``found``."""
     which = _lookup(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,7 +459,7 @@ def _marked(rows: DataFrame, table: np.ndarray) -> DataFrame:
             for part in slices(batch, "html"):
                 out = []
                 for row in part.to_pylist():
-                    hashes = [n.hash for n in removable(*prepared(row["url"], row["html"]))]
+                    hashes = [key for _, key in removable(*prepared(row["url"], row["html"]))]
                     mine = np.array(hashes, np.uint64)[which(hashes)].view(np.int64).tolist() if hashes else []
                     out.append(row["found"] + mine)
                 columns = [*part.columns[:3], pa.array(out, pa.list_(pa.int64()))]

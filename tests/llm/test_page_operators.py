@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import random
 import time
 
 import pytest
@@ -45,16 +46,47 @@ def test_deep_and_long_pages():
     assert len(text_of(long_page).split()) == 80_000
 
 
+SHARED = "a passage of more than forty words that many pages of the site have in common " * 4
+LEGAL = "<p>" + "terms that stand below the text of every page of this site and are of no interest to anyone " * 3 + "</p>"
+LINKS = "<div>" + "".join(f"<div>more from this site number {k}</div>" for k in range(40)) + "</div>"
+
+
 def site(n, menu="<div><div>Home Shop About</div></div>"):
-    """Pages without any telling tag or class, with the same frame, and three copies of one article."""
+    """Pages without any telling tag or class: the same frame on all, links that are longer than the articles, a
+    passage on two of five articles, and copies of one article."""
     def page(i):
         body = f"article {i if i % 4 else 0} " + " ".join(f"own{i if i % 4 else 0}_{k}" for k in range(80))
-        shared = "a passage of more than forty words that many pages of the site have in common " * 4
-        return f"<html><body>{menu}<div><div>{body}</div><p>{shared}</p><div>Read it aloud</div></div><div>All rights with us</div></body></html>"
+        shared = f"<p>{SHARED}</p>" if i % 5 < 2 else f"<p>the end of {i if i % 4 else 0}</p>"
+        return (f"<html><body>{menu}<div><div>{body}</div>{shared}<div>Read it aloud</div>{LEGAL}</div>{LINKS}"
+                "<div>All rights with us</div></body></html>")
 
     return [(i, f"http://site.example/{i}", page(i)) for i in range(n)]
 
 
+def plain_texts(pages):
+    """The texts by counting subtrees of all pages in one dictionary."""
+    on, contents = {}, {}
+    for _, url, page in pages:
+        root, main = html_text.prepared(url, page)
+        content = " ".join(html_text.blocks_of(main))
+        contents.setdefault(html_text._host(url), set()).add(content)
+        for _, key in html_text.removable(root, main):
+            on.setdefault((html_text._host(url), key), set()).add(content)
+
+    def recurs(url):
+        host = html_text._host(url)
+
+        def which(keys):
+            out = []
+            for key in keys:
+                n, of = len(on[host, key]), len(contents[host])
+                out.append(n >= 3 and (n >= 0.5 * of if key % 2 else n >= 10 or n >= 0.2 * of))
+            return out
+        return which
+
+    return {i: html_text.page_text(url, page, recurs(url)) for i, url, page in pages}
+
+
 @pytest.mark.parametrize("tag", ["select", "svg", "math", "object", "template", "noscript"])
 def test_unclosed_elements_end_with_their_parent(tag):
     page = f"<body><article><div><{tag}><b>gone</div><p>the rest of the article stays</p></article></body>"
@@ -69,15 +101,54 @@ def test_ends_of_deep_elements_close_nothing_else():
     assert html_text.page_text("u", page, lambda h: [False] * len(h)) == "deep the rest of the article stays"
 
 
-def test_frames_are_removed_and_passages_stay(spark):
-    pages = spark.createDataFrame([(*p, "x") for p in site(40)], "page_id long, url string, html string, text string")
+@pytest.mark.parametrize("n", [40, 7])
+def test_frames_are_removed_and_passages_stay(spark, n):
+    pages = spark.createDataFrame([(*p, "x") for p in site(n)], "page_id long, url string, html string, text string")
     got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
-    for i in range(40):
-        assert got[i].startswith(f"article {i if i % 4 else 0} ") and got[i].endswith("have in common"), got[i]
-    # few pages prove no frame
-    assert "Home" not in got[5] and "Read it aloud" not in got[5]
-    few = {r.page_id: r.text for r in html_text.main_text(pages.where("page_id < 5")).collect()}
-    assert "Read it aloud" in few[1]
+    for i in range(n):
+        own = i if i % 4 else 0
+        words = " ".join(f"own{own}_{k}" for k in range(80))
+        end = SHARED.strip() if i % 5 < 2 else f"the end of {own}"
+        assert got[i].startswith(f"article {own} {words}") and LEGAL[3:40] not in got[i] and "more from" not in got[i]
+        assert n < 40 or got[i] == f"article {own} {words} {end}"
+    assert not any("Home" in t or "Read it aloud" in t or "All rights" in t for t in got.values())
+
+
+def test_without_its_templates_a_page_is_read_elsewhere():
+    [(_, url, page)] = site(1)
+    assert "more from this site number 0 more" in html_text.page_text(url, page, lambda keys: [False] * len(keys))
+
+
+def test_two_pages_prove_no_frame(spark):
+    pages = spark.createDataFrame(site(3)[1:], "page_id long, url string, html string")
+    assert all("Read it aloud" in r.text or "more from" in r.text for r in html_text.main_text(pages).collect())
+
+
+def test_prose_of_a_declared_article_stays(spark):
+    rows = [(i, "http://d.example/", f"<nav>menu</nav><article><h1>Weather</h1><p>own words {i}</p>{LEGAL}<div>Share it</div></article>")
+            for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html_text.main_text(pages).collect():
+        assert r.text == f"Weather own words {r.page_id} {LEGAL[3:-4].strip()}"
+
+
+def test_counts_and_removals_agree_with_plain_counting(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(160):
+        host = rng.choice(["big", "big", "big", "small", "tiny", f"one{i}"])
+        parts = [f"<div>own text {rng.randrange(60)} {'word ' * rng.randrange(30)}</div>"]
+        parts += [f"<{tag}>part {k} of {host} {'more ' * size}</{tag}>" for k, (tag, size, odds) in enumerate(
+            [("div", 2, 0.9), ("div", 60, 0.7), ("p", 5, 0.6), ("p", 50, 0.4), ("li", 3, 0.3), ("section", 4, 0.15)])
+            if rng.random() < odds]
+        rng.shuffle(parts)
+        tag = rng.choice(["div", "div", "article"])
+        rows.append((i, f"http://{host}.example/{i}", f"<body>{parts[0]}<{tag}>{''.join(parts[1:])}</{tag}></body>"))
+    want = plain_texts(rows)
+    assert want != {i: html_text.page_text(u, p, lambda keys: [False] * len(keys)) for i, u, p in rows}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert {r.page_id: r.text for r in html_text.main_text(pages).collect()} == want
+    assert {r.page_id: r.text for r in html_text.main_text(pages, held=2).collect()} == want
 
 
 def test_copies_of_a_page_are_no_template(spark):
