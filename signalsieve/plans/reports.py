@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalsieve.functions import fixed_values as fv
@@ -15,6 +15,7 @@ from signalsieve.functions.text import effective_body, preview, site_badge, text
 from signalsieve.operators.numbering import number_rows
 from signalsieve.operators.store import datetime_text, last_7_days, top_scored_day
 from signalsieve.plans.files import write_period_files
+from signalsieve.plans.paged import ROWS_PER_FILE, read_page, write_paged
 
 DAILY, WEEKLY, ALLTIME = "daily", "weekly", "alltime"
 
@@ -213,10 +214,7 @@ def source_headline(counts: DataFrame) -> DataFrame:
     )
 
 
-def report_table(
-    items: DataFrame, q: str = "", src: str = "", sort: str = "", asc: bool = True
-) -> DataFrame:
-    """Filtered and sorted table rows with their new number and page of 50."""
+def _table_rows(items: DataFrame, q: str, src: str) -> DataFrame:
     q = q.strip().lower()
     rows = items
     if q:
@@ -225,16 +223,39 @@ def report_table(
         )
     if src:
         rows = rows.filter(F.col("site_name") == src)
-    rows = rows.select("id", "title", "link", "site_name", "created_at")
+    return rows.select("id", "title", "link", "site_name", "created_at")
+
+
+def _table_order(sort: str, asc: bool) -> list[Column]:
     order = [F.col("created_at").desc(), F.col("id").desc()]
     keys = {"title": F.lower("title"), "source": F.lower("site_name"), "time": F.col("created_at")}
     if sort:
         order.insert(0, keys[sort].asc() if asc else keys[sort].desc())
-    return number_rows(rows, order).withColumn(
+    return order
+
+
+def report_table(
+    items: DataFrame, q: str = "", src: str = "", sort: str = "", asc: bool = True
+) -> DataFrame:
+    """Filtered and sorted table rows with their new number and page of 50."""
+    return number_rows(_table_rows(items, q, src), _table_order(sort, asc)).withColumn(
         "page", F.ceil(F.col("row_number") / F.lit(fv.TABLE_PAGE_ROWS)).cast("long")
     )
 
 
+def write_report_table(
+    items: DataFrame, path: str, q: str = "", src: str = "", sort: str = "", asc: bool = True,
+    rows_per_file: int = ROWS_PER_FILE,
+) -> None:
+    """P8 as a stored table in its order, for any number of ``report_page`` reads."""
+    write_paged(_table_rows(items, q, src), _table_order(sort, asc), path, rows_per_file)
+
+
+def report_page(spark: SparkSession, path: str, page: int) -> DataFrame:
+    """One page of 50 rows of a stored P8 or P11 table; only the files that hold it are read."""
+    return read_page(spark, path, page, fv.TABLE_PAGE_ROWS)
+
+
 def topn_digest(
     items: DataFrame, analysis: DataFrame, day: date, n: int = fv.DEFAULT_DAILY_TOP_N,
     tz_offset_hours: int = fv.DEFAULT_TZ_OFFSET_HOURS,
@@ -268,12 +289,20 @@ def activity_share(
     return days.select("day", "label", "n", F.round(F.col("n") / largest, 6).alias("share"))
 
 
-def report_table_rows(items: DataFrame) -> DataFrame:
-    """Rows of the report table, newest first, already cut down before numbering."""
-    rows = items.select(
+def _shown_rows(items: DataFrame) -> DataFrame:
+    return items.select(
         "id", "title", "link", "site_name", "created_at",
         F.when(text_or_empty(F.col("content")) != "", preview(F.col("content"), fv.TABLE_PREVIEW_CHARS)).alias("preview"),
         site_badge(F.col("site_name")).alias("badge"),
         F.date_format("created_at", "MM-dd HH:mm").alias("time_label"),
     )
-    return number_rows(rows, [F.col("created_at").desc(), F.col("id").desc()])
+
+
+def report_table_rows(items: DataFrame) -> DataFrame:
+    """Rows of the report table, newest first, already cut down before numbering."""
+    return number_rows(_shown_rows(items), _table_order("", True))
+
+
+def write_report_table_rows(items: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """P11 as a stored table, newest first, for any number of ``report_page`` reads."""
+    write_paged(_shown_rows(items), _table_order("", True), path, rows_per_file)

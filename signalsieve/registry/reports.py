@@ -186,6 +186,20 @@ def _(spark, sf):
     return P.report_table(items_unique(spark, sf), src="press", sort="time")
 
 
+def _paged(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/paged-{uuid.uuid4().hex}"
+
+
+@query("p8_report_page", f"""WITH {ITEMS}
+SELECT id, title, link, site_name, {stamp('created_at')} AS created_at, row_number, CAST(2 AS BIGINT) AS page
+FROM (SELECT *, row_number() OVER (ORDER BY lower(title), created_at DESC, id DESC) AS row_number FROM it) x
+WHERE row_number BETWEEN 51 AND 100""")
+def _(spark, sf):
+    path = _paged(spark)
+    P.write_report_table(items_unique(spark, sf), path, sort="title")
+    return P.report_page(spark, path, 2)
+
+
 _TOP = f"""(SELECT row_number() OVER (ORDER BY an.score DESC, it.id) AS rank, an.score, it.title, an.summary, it.link
   FROM it JOIN an ON an.item_id = it.id WHERE CAST(it.created_at + to_hours(8) AS DATE) = DATE '{DAY}'
   QUALIFY row_number() OVER (ORDER BY an.score DESC, it.id) <= 20)"""
@@ -213,6 +227,16 @@ def _(spark, sf):
     return P.report_table_rows(items_unique(spark, sf))
 
 
+@query("p11_report_rows_page", f"""WITH {ITEMS}
+SELECT id, title, link, site_name, strftime(created_at, '%m-%d %H:%M') AS time_label, row_number, CAST(3 AS BIGINT) AS page
+FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) AS row_number FROM it) x
+WHERE row_number BETWEEN 101 AND 150""")
+def _(spark, sf):
+    path = _paged(spark)
+    P.write_report_table_rows(items_unique(spark, sf), path)
+    return P.report_page(spark, path, 3).select("id", "title", "link", "site_name", "time_label", "row_number", "page")
+
+
 # ── alerts ────────────────────────────────────────────────────────────────────────────
 _ALERT = """an.item_id, {title} AS title, an.summary AS body, it.link, it.site_name, {kind} AS kind, an.score, an.category,
   an.summary, an.affected_targets, an.data_types, an.estimated_records, an.is_urgent, an.confidence_level"""

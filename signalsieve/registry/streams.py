@@ -8,6 +8,7 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from signalsieve.operators.alerts import Channel
 from signalsieve.registry.base import ITEMS, parts_cte, query, scored_cte, stamp, triage_cte
@@ -20,7 +21,7 @@ from signalsieve.streaming.links import read_first_rows, write_first_rows
 from signalsieve.streaming.retention import DayTable, write_retained
 from signalsieve.streaming.store import Store
 from signalsieve.streaming.windows import (
-    read_counts, stream_counts, stream_dedup, stream_late, stream_retention, write_counts,
+    read_counts, read_side, stream_counts, stream_dedup, stream_late, stream_retention, write_counts, write_split,
 )
 
 c = F.col
@@ -151,6 +152,27 @@ def _(spark, sf):
     return drained(stream_late(_events(spark, sf), 7).select("id", "site_name", "late"))
 
 
+def _split(spark, sf) -> tuple[str, StructType]:
+    rows, folder = _events_in_files(spark, sf), new_folder(spark)
+    write_split(rows, folder, 7).awaitTermination()
+    return folder, rows.schema
+
+
+_LATE = "strptime(pub_date, '%Y-%m-%dT%H:%M:%SZ') <= created_at - to_days(7)"
+
+
+@query("st3_stream_late_side", f"WITH {_EVENTS} SELECT id, link, site_name FROM ev WHERE {_LATE}")
+def _(spark, sf):
+    folder, schema = _split(spark, sf)
+    return read_side(spark, folder, schema, late=True).select("id", "link", "site_name")
+
+
+@query("st3_stream_timely_side", f"WITH {_EVENTS} SELECT id, link, site_name FROM ev WHERE NOT coalesce({_LATE}, false)")
+def _(spark, sf):
+    folder, schema = _split(spark, sf)
+    return read_side(spark, folder, schema, late=False).select("id", "link", "site_name")
+
+
 def _window_sql(start: str, days: int) -> str:
     return f"""WITH {_EVENTS}, w AS (SELECT {start} - to_hours(8) AS s, site_name, count(*) AS n FROM ev GROUP BY 1, 2)
 SELECT {stamp('s')} AS window_start, {stamp(f's + to_days({days})')} AS window_end, site_name, n FROM w"""

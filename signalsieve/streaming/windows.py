@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from signalsieve.functions import fixed_values as fv
 from signalsieve.functions.periods import utc_literal
@@ -34,12 +35,48 @@ def is_late(pub_date: Column, reference: Column, max_age_days: int) -> Column:
 
 
 def stream_late(stream: DataFrame, max_age_days: int, now: datetime | None = None) -> DataFrame:
-    """ST3: adds ``late``. Late rows are stored but not scored: write both sides from one
-    query by filtering on the flag."""
+    """ST3: adds ``late``. Late rows are stored but not scored: ``write_split`` keeps both sides."""
     reference = utc_literal(now) if now is not None else F.col("created_at")
     return stream.withColumn("late", is_late(F.col("pub_date"), reference, max_age_days))
 
 
+def write_split(
+    stream: DataFrame, folder: str, max_age_days: int, now: datetime | None = None, trigger: dict | None = None,
+) -> StreamingQuery:
+    """ST3 as one query with two outputs below ``folder``: timely rows and late rows, and a metric of each batch.
+
+    A micro-batch is computed once and commits both sides together; a replay overwrites them. The metric is
+    counted from the written rows.
+    """
+    schema = StructType([*stream.schema.fields, StructField("late", BooleanType())])
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        path = f"{folder}/rows/batch_id={batch_id}"
+        stream_late(batch, max_age_days, now).write.mode("overwrite").partitionBy("late").parquet(path)
+        rows = batch.sparkSession.read.schema(schema).parquet(path)
+        metric = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("late").alias("n_late"), F.max("created_at").alias("newest"))
+        metric.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
+            f"{folder}/metrics/batch_id={batch_id}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(
+        **(trigger or {"availableNow": True})).start()
+
+
+def read_side(spark: SparkSession, folder: str, schema: StructType, late: bool) -> DataFrame:
+    """Late or timely rows of ``write_split`` so far; the files of the other side are not read."""
+    whole = StructType([*schema.fields, StructField("late", BooleanType())])
+    rows = read_table(spark, f"{folder}/rows", whole)
+    return rows.where(F.col("late") == F.lit(late)).select(*schema.names)
+
+
+def read_split_metrics(spark: SparkSession, folder: str, max_age_days: int) -> DataFrame:
+    """batch, n, n_late, newest, watermark of each micro-batch; the watermark is the newest row so far less the age
+    limit, and never moves back. One row per batch passes the window."""
+    rows = read_table(spark, f"{folder}/metrics", "n long, n_late long, newest timestamp, batch long")
+    so_far = F.max("newest").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select("batch", "n", "n_late", "newest", (so_far - F.make_dt_interval(F.lit(max_age_days))).alias("watermark"))
+
+
 def _starts(tz_offset_hours: int) -> dict[str, str]:
     hours = -tz_offset_hours % 24
     # the epoch is a Thursday: the first Monday is four days in, three when the local

@@ -7,7 +7,9 @@ from signalsieve.operators.alerts import Channel
 from signalsieve.streaming.cycle import CycleSettings, identified, run_cycle, stream_cycle
 from signalsieve.streaming.links import LinkIndex, first_rows_of_batch, read_first_rows, write_first_rows
 from signalsieve.streaming.store import TABLES, Store
-from signalsieve.streaming.windows import read_counts, stream_counts, stream_dedup, stream_retention, write_counts
+from signalsieve.streaming.windows import (
+    read_counts, read_side, read_split_metrics, stream_counts, stream_dedup, stream_retention, write_counts, write_split,
+)
 
 NOW = datetime(2024, 1, 20, 12)
 SCHEMA = ("title string, link string, pub_date string, author string, category string, content string, full_content string, "
@@ -293,3 +295,35 @@ def test_without_analysis_every_fresh_item_is_a_message(spark, tmp_path):
     run_cycle(batch, 0, store, CycleSettings(clock=lambda n: NOW, analyze=False))
     assert sorted(r.link for r in store.read("outbox").collect()) == ["l1", "l2"]
     assert store.read("analysis").count() == 0 and store.read("items").count() == 3
+
+
+def test_late_and_timely_rows_are_two_outputs(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "id long, pub_date string, created_at timestamp"
+
+    def land_rows(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+
+    def run(at=out):
+        write_split(spark.readStream.schema(schema).parquet(folder), at, 7).awaitTermination()
+
+    old, new = "2024-01-01T00:00:00Z", "2024-01-19T00:00:00Z"
+    typed = spark.createDataFrame([], schema).schema
+    assert read_side(spark, out, typed, True).count() == read_split_metrics(spark, out, 7).count() == 0
+    land_rows((1, old, NOW), (2, new, NOW), (3, None, NOW), (4, "no date", None))
+    run()
+    land_rows((5, old, NOW - timedelta(days=3)), (6, new, NOW - timedelta(days=3)))
+    run()
+    assert sorted(r.id for r in read_side(spark, out, typed, True).collect()) == [1, 5]
+    timely = read_side(spark, out, typed, False)
+    assert sorted(r.id for r in timely.collect()) == [2, 3, 4, 6] and timely.columns == ["id", "pub_date", "created_at"]
+    assert "PartitionFilters: [isnotnull(late" in timely._jdf.queryExecution().toString()
+    limit = NOW - timedelta(days=7)  # a batch of older rows does not move it back
+    assert sorted((r.batch, r.n, r.n_late, r.watermark) for r in read_split_metrics(spark, out, 7).collect()) == [
+        (0, 4, 1, limit), (1, 2, 1, limit)]
+    # the last batch again, as after a failure before its commit
+    (tmp_path / "out" / "checkpoint" / "commits" / "1").unlink()
+    (tmp_path / "out" / "checkpoint" / "commits" / ".1.crc").unlink(missing_ok=True)
+    run()
+    assert sorted(r.id for r in read_side(spark, out, typed, True).collect()) == [1, 5]
+    assert read_split_metrics(spark, out, 7).count() == 2
