@@ -43,6 +43,17 @@ def count_pages(spark: SparkSession, path: str, page_rows: int) -> int:
     return -(-count_rows(spark, path) // page_rows)
 
 
+def read_numbered(spark: SparkSession, path: str, page_rows: int) -> DataFrame:
+    """All rows with ``row_number`` and ``page``, in one scan: no sort, and no shuffle of the rows where the index
+    (one row per file) is small enough to be sent to them. Filters on other columns reach the scan."""
+    stored = spark.read.parquet(f"{path}/rows")
+    rows = stored.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    index = _index(spark, path).select(F.col("file").alias("_file"), F.col("before").alias("_before"))
+    number = F.col("_before") + F.col("_place") + 1
+    return rows.join(index, "_file").select(
+        *stored.columns, number.alias("row_number"), F.ceil(number / F.lit(page_rows)).cast("long").alias("page"))
+
+
 def read_page(spark: SparkSession, path: str, page: int, page_rows: int) -> DataFrame:
     """The rows of page 1, 2, ... with ``row_number`` and ``page``; none behind the last page.
 

@@ -15,7 +15,7 @@ from signalsieve.functions.text import effective_body, preview, site_badge, text
 from signalsieve.operators.numbering import number_rows
 from signalsieve.operators.store import datetime_text, last_7_days, top_scored_day
 from signalsieve.plans.files import write_period_files
-from signalsieve.plans.paged import ROWS_PER_FILE, read_page, write_paged
+from signalsieve.plans.paged import ROWS_PER_FILE, read_numbered, read_page, write_paged
 
 DAILY, WEEKLY, ALLTIME = "daily", "weekly", "alltime"
 
@@ -251,6 +251,11 @@ def write_report_table(
     write_paged(_table_rows(items, q, src), _table_order(sort, asc), path, rows_per_file)
 
 
+def report_pages(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a stored P8 or P11 table with their number and page of 50."""
+    return read_numbered(spark, path, fv.TABLE_PAGE_ROWS)
+
+
 def report_page(spark: SparkSession, path: str, page: int) -> DataFrame:
     """One page of 50 rows of a stored P8 or P11 table; only the files that hold it are read."""
     return read_page(spark, path, page, fv.TABLE_PAGE_ROWS)

@@ -200,6 +200,15 @@ def _(spark, sf):
     return P.report_page(spark, path, 2)
 
 
+@query("p8_report_stored", f"""WITH {ITEMS}
+SELECT id, title, link, site_name, {stamp('created_at')} AS created_at, row_number, CAST(ceil(row_number / 50.0) AS BIGINT) AS page
+FROM (SELECT *, row_number() OVER (ORDER BY lower(site_name), created_at DESC, id DESC) AS row_number FROM it) x""")
+def _(spark, sf):
+    path = _paged(spark)
+    P.write_report_table(items_unique(spark, sf), path, sort="source")
+    return P.report_pages(spark, path)
+
+
 _TOP = f"""(SELECT row_number() OVER (ORDER BY an.score DESC, it.id) AS rank, an.score, it.title, an.summary, it.link
   FROM it JOIN an ON an.item_id = it.id WHERE CAST(it.created_at + to_hours(8) AS DATE) = DATE '{DAY}'
   QUALIFY row_number() OVER (ORDER BY an.score DESC, it.id) <= 20)"""

@@ -25,6 +25,9 @@ def test_pages_agree_with_the_numbered_table(spark, tmp_path, sort, asc):
     got = [tuple(r) for k in range(1, count_pages(spark, path, 50) + 1)
            for r in P.report_page(spark, path, k).select("row_number", "page", "id").collect()]
     assert sorted(got) == want and len(want) == 733 == count_rows(spark, path)
+    whole = P.report_pages(spark, path)
+    assert sorted(tuple(r) for r in whole.select("row_number", "page", "id").collect()) == want
+    assert "Exchange hash" not in whole._jdf.queryExecution().toString()
     assert P.report_page(spark, path, 16).count() == 0
 
 
