@@ -327,3 +327,50 @@ def test_late_and_timely_rows_are_two_outputs(spark, tmp_path):
     run()
     assert sorted(r.id for r in read_side(spark, out, typed, True).collect()) == [1, 5]
     assert read_split_metrics(spark, out, 7).count() == 2
+
+
+def names(spark, *links):
+    return spark.createDataFrame([(x,) for x in links], "link string")
+
+
+def test_few_runs_however_many_batches(spark, tmp_path, monkeypatch):
+    """Runs of a level become one of the next; files of runs that went into another are never opened again."""
+    monkeypatch.setattr("signalsieve.streaming.links.FAN", 2)
+    index = LinkIndex(spark, str(tmp_path), (), buckets=64)
+    for n in range(7):
+        index.add(names(spark, f"l{n}", f"m{n}"), n, NOW)
+        if n == 3:
+            index.add(names(spark, "l3", "m3"), n, NOW)  # a replay of the batch with which two levels were filled
+        assert sum(2**r.level for r in index._runs(n + 1)) == n + 1
+    assert [r.level for r in index._runs(7)] == [2, 1, 0]
+    kept = {r.folder for n in (5, 7) for r in index._runs(n)}  # 5: for compact below
+    for folder in (tmp_path / "runs").iterdir():
+        if f"runs/{folder.name}" not in kept:
+            for path in folder.rglob("*.parquet"):
+                path.write_bytes(b"not a table")
+    everything = names(spark, *(f"{x}{n}" for x in "lm" for n in range(9)))
+    assert sorted(r.link for r in index.known(everything, before=7).collect()) == [f"{x}{n}" for x in "lm" for n in range(7)]
+    index.compact(4)  # in the middle of a run
+    index.add(names(spark, "l8"), 9, NOW)  # the numbers have a gap
+    assert sorted(r.link for r in index.known(names(spark, "l4", "m6", "l7", "l8"), before=20).collect()) == ["l4", "l8", "m6"]
+
+
+def test_index_of_an_earlier_layout_is_read_on(spark, tmp_path):
+    """Formerly each batch had a folder a bucket and nothing listed the batches."""
+    index = LinkIndex(spark, str(tmp_path), (), buckets=4)
+    for n, x in enumerate("ab"):
+        old = names(spark, x).withColumns({"seen": F.lit(NOW), "bucket": index._bucket(F.col("link"))})
+        old.write.partitionBy("bucket").parquet(f"{tmp_path}/batches/batch_id={n}")
+    index.add(names(spark, "c"), 2, NOW)
+    assert sorted(r.link for r in index.known(names(spark, *"abcd"), before=3).collect()) == ["a", "b", "c"]
+    assert sorted(r.link for r in index.known(names(spark, *"abcd"), before=1).collect()) == ["a"]
+
+
+def test_batches_without_notices_leave_no_folder(spark, tmp_path):
+    """What looks up the notices sent lists one folder a period, not one a batch."""
+    batch = land_batch(spark, tmp_path, [(HOT, "l1", "", 0)])
+    store = Store(spark, str(tmp_path / "store")).create()
+    for n in range(2):
+        run_cycle(batch, n, store, CycleSettings(clock=lambda n: NOW, daily_notice=True))
+    assert [p.name for p in (tmp_path / "store" / "notices").iterdir()] == ["batch_id=0"]
+    assert store.last_batch(5) == store.last_batch(2) == 1 and store.last_batch(0) == -1
